@@ -50,12 +50,10 @@ class Words:
         brk = np.flatnonzero(raw == 32)
         doc_starts = off[:-1][off[:-1] < off[1:]]
         self.start = np.union1d(brk + 1, doc_starts)
-        self.start = self.start[self.start < len(raw)] if len(raw) else self.start[:0]
+        self.start = self.start[self.start < len(raw)]
+        self.start = self.start[raw[self.start] != 32]
         ends = np.union1d(brk, off[1:][off[:-1] < off[1:]])
-        keep = np.searchsorted(ends, self.start, "left")
-        self.end = ends[keep] if len(self.start) else self.start
-        ok = self.end > self.start
-        self.start, self.end = self.start[ok], self.end[ok]
+        self.end = ends[np.searchsorted(ends, self.start, "right")]
         self.first = np.searchsorted(self.start, off, "left")
         self.doc = np.repeat(np.arange(self.rows), np.diff(self.first))
         p, _ = _powers(len(raw) + 1)

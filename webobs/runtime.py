@@ -50,3 +50,20 @@ def cut(df: DataFrame) -> DataFrame:
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle that is planned by hand (range partitioning)."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers, once per application, wherever they run."""
+    import pathlib
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_webobs_shipped", False):
+        return
+    root = pathlib.Path(__file__).resolve().parent
+    path = pathlib.Path(tempfile.mkdtemp(prefix="webobs-ship-")) / "webobs_package.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._webobs_shipped = True
