@@ -6,13 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webobs.llm import boilerplate as bp
-from webobs.llm import copies, leak, neardup, residue
+from webobs.llm import copies, leak, match, mix, neardup, residue, split
+from webobs.runtime import stage
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match.match(_t(spark, d, "as_info"), _t(spark, d, "peeringdb_net"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_matches(spark, d).select("as_id", "net_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return bp.boilerplate(bp.stage(bp.judged_lines(bp.featured_pages(_t(spark, d, "page_content")))))
 
@@ -56,4 +65,16 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
     return leak.leaks(_t(spark, d, "documents"), _t(spark, d, "eval_item"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_bodies, p3_found, p5_found, p5_records, p6_found, p6_groups, p7_found, p7_passages)}
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix.mixture(_t(spark, d, "documents"), _t(spark, d, "source_plan"))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix.shares(stage(p8_mix(spark, d)), _t(spark, d, "source_plan"))
+
+
+def p9_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split.pieces(_t(spark, d, "documents"), _t(spark, d, "source_plan"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_bodies, p3_found, p5_found, p5_records, p6_found, p6_groups, p7_found, p7_passages, p8_mix, p8_shares, p9_pieces)}
