@@ -47,18 +47,26 @@ class Words:
         raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         off = off - off[0]
         self.raw, self.rows = raw, len(col)
-        brk = np.flatnonzero(raw == 32)
-        doc_starts = off[:-1][off[:-1] < off[1:]]
-        self.start = np.union1d(brk + 1, doc_starts)
-        self.start = self.start[self.start < len(raw)]
-        self.start = self.start[raw[self.start] != 32]
-        ends = np.union1d(brk, off[1:][off[:-1] < off[1:]])
-        self.end = ends[np.searchsorted(ends, self.start, "right")]
+        inside = raw != 32
+        # A word starts after a blank or where a row starts, and ends before a blank or where a row ends.
+        begin = np.ones(len(raw) + 1, bool)
+        begin[1:] = ~inside
+        stop = ~inside[1:] if len(raw) else inside
+        begin[off] = True
+        stop = np.r_[stop, True] if len(raw) else stop
+        stop[off[1:][off[1:] > 0] - 1] = True
+        self.start = np.flatnonzero(inside & begin[:-1])
+        self.end = np.flatnonzero(inside & stop) + 1
         self.first = np.searchsorted(self.start, off, "left")
         self.doc = np.repeat(np.arange(self.rows), np.diff(self.first))
         p, _ = _powers(len(raw) + 1)
         self._sum = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * p[: len(raw)], dtype=np.uint64)])
 
+    def numeric(self) -> np.ndarray:
+        """Which words consist of ASCII digits."""
+        n = np.concatenate([np.zeros(1, np.int64), np.cumsum((self.raw >= 48) & (self.raw <= 57))])
+        return n[self.end] - n[self.start] == self.end - self.start
+
     def hashes(self, k: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(first word, hash) of each run of k words of one row; a hash depends on the bytes of the run only."""
         n = len(self.start)
@@ -78,3 +86,23 @@ def distinct_in_rows(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.nda
     row, h = row[o], h[o]
     at = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])])
     return row[at], h[at], np.diff(np.r_[at, len(row)])
+
+
+def packed(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, int]:
+    """(row, hash) as one 64-bit key, row first, with as many bits of the hash as fit, and how many these are: sorts fast."""
+    bits = 64 - max(1, int(rows).bit_length())
+    return (row.astype(np.uint64) << np.uint64(bits)) | (h >> np.uint64(64 - bits)), bits
+
+
+def common_and_union(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows 2i and 2i+1 as sets of hashes: sizes of intersection and union, for all i."""
+    key, bits = packed(row, h, rows)
+    key.sort()
+    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
+    size = np.bincount((key >> np.uint64(bits)).astype(np.int64), minlength=rows)
+    low = np.uint64((1 << bits) - 1)
+    pair = ((key >> np.uint64(bits + 1)) << np.uint64(bits)) | (key & low)
+    pair.sort()
+    twice = pair[1:][pair[1:] == pair[:-1]]
+    both = np.bincount((twice >> np.uint64(bits)).astype(np.int64), minlength=rows // 2)
+    return both, size[0::2] + size[1::2] - both
