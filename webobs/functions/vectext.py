@@ -35,9 +35,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of an Arrow string column: for word w, its row (doc) and its bytes start..end; first[r]..first[r+1] are row r's."""
+    """Words of an Arrow string column: for word w, its row (doc) and its bytes start..end; first[r]..first[r+1] are row r's.
 
-    def __init__(self, col: pa.Array):
+    lower: take the capitals of ASCII and Latin-1 as small letters.
+    """
+
+    def __init__(self, col: pa.Array, lower: bool = False):
         col = col.fill_null("") if col.null_count else col
         if pa.types.is_large_string(col.type):
             off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
@@ -46,6 +49,9 @@ class Words:
         data = col.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
         off = off - off[0]
+        if lower and len(raw):  # the letters of ASCII and Latin-1
+            after = np.r_[False, raw[:-1] == 0xC3]
+            raw = raw + 32 * (((raw >= 65) & (raw <= 90)) | (after & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97))).astype(np.uint8)
         self.raw, self.rows = raw, len(col)
         inside = raw != 32
         # A word starts after a blank or where a row starts, and ends before a blank or where a row ends.
