@@ -9,17 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webobs.functions.vectext import Words, distinct_in_rows, mix
+from webobs.functions.vectext import Words, common_and_union, mix
 from webobs.llm.copies import word_key
 from webobs.operators.graph import components
 from webobs.operators.near import pairs_within
 from webobs.runtime import cut
 
-BANDS, ROWS = 40, 4  # at similarity 0.7 a pair shares no band with probability 0.00002
+BANDS, ROWS = 30, 4  # at similarity 0.7 a pair shares no band with probability 0.0003
 
 
 def probminhash(row: np.ndarray, elem: np.ndarray, weight: np.ndarray, rows: int, m: int) -> np.ndarray:
-    """ProbMinHash signatures, rows x m, of weighted sets given as distinct (row, element) with weights > 0.
+    """ProbMinHash signatures, rows x m, of weighted sets given as (row, element) with weights > 0; repeats change nothing.
 
     Each element is a Poisson process of its weight's rate, a function of the element alone; each arrival falls into one of
     m registers, which keeps the earliest. An element ends when its next arrival is later than all registers of its row.
@@ -50,7 +50,7 @@ def _sketch(words: int, least: int, bands: int, per: int):
                 c = b.slice(lo, 512)
                 w = Words(c.column(1))
                 i, h = w.hashes(words)
-                row, elem, _ = distinct_in_rows(w.doc[i], h)
+                row, elem = w.doc[i], h  # a repeated element arrives at the same times and changes nothing
                 keep = np.flatnonzero(np.diff(w.first) >= least)
                 if not len(keep):
                     continue
@@ -87,12 +87,7 @@ def _similar(words: int, above: float, inclusive: bool):
             c = b.slice(0, n)
             w = Words(c.column(2))
             i, h = w.hashes(words)
-            row, elem, _ = distinct_in_rows(w.doc[i], h)
-            size = np.bincount(row, minlength=n)
-            _, _, times = distinct_in_rows(row // 2, elem)
-            pair, _, _ = distinct_in_rows(row // 2, elem)
-            both = np.bincount(pair[times == 2], minlength=n // 2)
-            union = size[0::2] + size[1::2] - both
+            both, union = common_and_union(w.doc[i], h, n)
             sim = both / np.maximum(union, 1)
             ok = np.flatnonzero((sim >= above) if inclusive else (sim > above))
             at = pa.array(ok * 2)
@@ -102,12 +97,12 @@ def _similar(words: int, above: float, inclusive: bool):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int, above: float, inclusive: bool = False) -> DataFrame:
-    """(a, b, sim) of the distinct pairs (a, b) whose sets of word runs are similar; texts has (id, norm).
+    """(a, b, sim) of the distinct pairs (a, b) whose sets of word runs are similar; texts has (id, text).
 
     Each text travels once to its pairs and from there to the pair's task; texts in no pair are dropped by the join.
     """
     ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id"))
-    both = ends.join(texts, "id").select("a", "b", "norm")
+    both = ends.join(texts, "id").select("a", "b", word_key("text").alias("norm"))
     return both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(_similar(words, above, inclusive), "a long, b long, sim double")
 
 
@@ -123,8 +118,8 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, words: int = 5, a
     the pairs between different components found so far: no link between different groups is lost, and a hot bucket of
     similar texts never makes all its pairs.
     """
-    texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), word_key(text_col).alias("norm"))
-    sk = cut(texts.mapInArrow(_sketch(words, least_words, bands, rows), "id long, h1 long, h2 long, bands array<long>"))
+    texts = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    sk = cut(texts.select("id", word_key("text").alias("norm")).mapInArrow(_sketch(words, least_words, bands, rows), "id long, h1 long, h2 long, bands array<long>"))
     rep = cut(sk.groupBy("h1", "h2").agg(F.min("id").alias("rep")))
     member = sk.select("id", "h1", "h2").join(rep, ["h1", "h2"]).select("id", "rep")
     lone = sk.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", F.explode("bands").alias("bucket"))
