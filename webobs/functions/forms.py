@@ -6,6 +6,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from webobs.functions.html import Node, parse
@@ -164,6 +165,11 @@ def records(html: str | None) -> list[dict]:
     return []
 
 
-@F.pandas_udf(f"array<{RECORD}>")
-def form_records(html: pd.Series) -> pd.Series:
-    return html.map(records)
+def form_records(html: Column) -> Column:
+    """records as a column: an array of RECORD."""
+
+    @F.pandas_udf(f"array<{RECORD}>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(records)
+
+    return run(html)

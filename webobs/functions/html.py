@@ -132,17 +132,18 @@ def tag_names(html: str) -> list[str]:
     return [x.tag for x in parse(html).walk() if isinstance(x, Node) and x.tag]
 
 
-def links_near(html: str, words: list[str]) -> list[str]:
-    """Targets of links inside the parent element of each text that holds one of words; each once, in order."""
-    low, out = [w.lower() for w in words], []
+def links_near(html: str, words: list[str], exact: bool = False) -> list[str]:
+    """Targets of links inside the element of each text that holds one of words (of a link: the element around it); each once, in order."""
+    low, out = words if exact else [w.lower() for w in words], []
 
     def visit(n: Node) -> None:
         for x in n.kids:
             if isinstance(x, Node):
                 if x.tag not in _HIDDEN:
                     visit(x)
-            elif any(w in x.lower() for w in low):
-                out.extend(a.attrs["href"] for a in (n.up or n).all("a") if a.attrs.get("href"))
+            elif any(w in (x if exact else x.lower()) for w in low):
+                holder = n.up if n.tag == "a" and n.up else n
+                out.extend(a.attrs["href"] for a in holder.all("a") if a.attrs.get("href"))
 
     visit(parse(html))
     return list(dict.fromkeys(out))
@@ -190,8 +191,35 @@ def tags_udf():
     return _udf(tag_names, "array<string>")
 
 
-def links_near_udf(words: list[str]):
-    return _udf(lambda h: links_near(h, words), "array<string>")
+def links_near_udf(words: list[str], exact: bool = False):
+    """exact: words in the case given."""
+    return _udf(lambda h: links_near(h, words, exact), "array<string>")
+
+
+def context(text: str, words: list[str], most: int = 10, side: int = 200, whole: int = 2000) -> str | None:
+    """Keywords in context: None without a hit; the whole text up to `whole` characters; else windows of `side` characters
+    around the last `most` hits (whole words, any case), grown to the next blanks, overlapping ones merged, joined by a blank."""
+    hits = [m.span() for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", text, re.I)]
+    if not hits:
+        return None
+    if len(text) <= whole:
+        return text
+    spans: list[list[int]] = []
+    for a, b in hits[-most:]:
+        lo, hi = max(0, a - side), min(len(text), b + side)
+        while lo > 0 and not text[lo - 1].isspace():
+            lo -= 1
+        while hi < len(text) and not text[hi].isspace():
+            hi += 1
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = max(hi, spans[-1][1])
+        else:
+            spans.append([lo, hi])
+    return " ".join(text[a:b] for a, b in spans)
+
+
+def context_udf(words: list[str]):
+    return _udf(lambda t: context(t, words), "string")
 
 
 def table_udf(cells: int | None = None):

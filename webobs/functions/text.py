@@ -36,9 +36,9 @@ def useful(parts: Column, least: int = 4, most: int = 50) -> Column:
 
 def shingle_set(words: Column, k: int) -> Column:
     """Distinct runs of k words, as strings; [] for fewer words."""
-    n = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    return F.when(n >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    # Bound as a lambda's variable, so that the words are made once and not for every run.
+    runs = lambda w: F.when(F.size(w) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, k), " ")))).otherwise(F.array().cast("array<string>"))
+    return F.transform(F.array(words), runs)[0]
 
 
 def word_list(text: Column) -> Column:

@@ -7,6 +7,7 @@ import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TRACE = "struct<dest_ip:string,is_successful:boolean,hops:array<struct<ip:string,hop_index:int,rtt:double,hostname:string>>>"
@@ -75,7 +76,12 @@ def trace(response: str | None) -> dict | None:
     return {"dest_ip": dest, "is_successful": dest in hops, "hops": list(hops.values())}
 
 
-@F.pandas_udf(TRACE)
-def parse_trace(response: pd.Series) -> pd.DataFrame:
-    got = [trace(r) or {"dest_ip": None, "is_successful": None, "hops": None} for r in response]
-    return pd.DataFrame(got, columns=["dest_ip", "is_successful", "hops"])
+def parse_trace(response: Column) -> Column:
+    """trace as a column: a TRACE; its fields are null where trace gives None."""
+
+    @F.pandas_udf(TRACE)
+    def run(s: pd.Series) -> pd.DataFrame:
+        got = [trace(r) or {"dest_ip": None, "is_successful": None, "hops": None} for r in s]
+        return pd.DataFrame(got, columns=["dest_ip", "is_successful", "hops"])
+
+    return run(response)

@@ -6,7 +6,7 @@ import math
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,9 +86,12 @@ def sequence_ratio(a: list[str], b: list[str]) -> float:
     return sum(x.size for x in m.get_matching_blocks()) / (min(len(a), len(b)) + math.log2(max(len(a), len(b))))
 
 
-@F.pandas_udf("double")
-def sequence_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([sequence_ratio(x, y) for x, y in zip(a, b)])
+def sequence_ratio_of(a: str, b: str) -> Column:
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([sequence_ratio(p, q) for p, q in zip(x, y)])
+
+    return run(a, b)
 
 
 def tag_links(docs: DataFrame, id_col: str, tags: str, least: float = 0.8, k: int = 6) -> DataFrame:
@@ -105,4 +108,4 @@ def tag_links(docs: DataFrame, id_col: str, tags: str, least: float = 0.8, k: in
     d = cut(d.join(rep, "id"))
     c = overlap_links(d, "id", "runs", least * 0.75)
     v = c.join(d.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(d.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
-    return v.select("a", "b", sequence_ratio_udf("ta", "tb").alias("sim")).filter(F.col("sim") >= least)
+    return v.select("a", "b", sequence_ratio_of("ta", "tb").alias("sim")).filter(F.col("sim") >= least)

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webobs.operators import near
+from webobs.plans import web  # noqa: F401  (registers its queries)
+from webobs.plans.registry import ORACLES, QUERIES
+
+
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
