@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webobs.operators import near
-from webobs.plans import network, web  # noqa: F401  (register their queries)
+from webobs.plans import misc, network, web  # noqa: F401  (register their queries)
 from webobs.plans.registry import ORACLES, QUERIES
 
 

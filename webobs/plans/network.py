@@ -255,7 +255,7 @@ def _sites(t):
     return t.replica_site.select("site_id", "provider", col("latitude").alias("s_lat"), col("longitude").alias("s_lon"), col("country_code").alias("s_cc"), col("city").alias("s_city"))
 
 
-@query(f"WITH {_P} SELECT v.loc_id, round({_VR}, 6) AS km FROM v, replica_site s WHERE s.site_id = (SELECT min(site_id) FROM replica_site)")
+@query(f"WITH {_P} SELECT v.loc_id, round({_VR}, 6) AS km FROM v, replica_site s WHERE s.site_id = (SELECT min(site_id) FROM replica_site)", name="haversine")
 def haversine_km(t):
     first = _sites(t).orderBy("site_id").limit(1)
     return geo.with_distance(_points(t), first).select("loc_id", F.round("dist", 6).alias("km"))

@@ -20,17 +20,17 @@ class Tables:
         return self._spark.read.parquet(f"{self._d}/{name}.parquet")
 
 
-def query(sql: str | None = None):
-    """Registers f(t: Tables) -> DataFrame under its name."""
+def query(sql: str | None = None, name: str | None = None):
+    """Registers f(t: Tables) -> DataFrame under its name, or the one given."""
 
     def add(f):
         def run(spark: SparkSession, d: str) -> DataFrame:
             return f(Tables(spark, d))
 
-        run.__name__ = f.__name__
-        QUERIES[f.__name__] = run
+        key = run.__name__ = name or f.__name__
+        QUERIES[key] = run
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[key] = sql
         return f
 
     return add
