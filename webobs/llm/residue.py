@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from webobs.functions.vectext import Words, distinct_in_rows
+from webobs.functions.vectext import Words
 
 # Labelled exemplars of residue, by kind. PH is any unfilled placeholder; numbers stand for any number.
 EXEMPLARS: dict[str, list[str]] = {
@@ -46,29 +46,29 @@ EXEMPLARS: dict[str, list[str]] = {
 STAND_INS = ["undefined", "null", "nan", "none", "changeme", "todo", "tbd", "xxx", "yourdomain", "yourhost", "yoursite", "hostname", "domain", "placeholder", "%s", "%d", "insert"]
 
 _SLOT = (
-    r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|&lt;\w[\w -]*&gt;|<your[ _-]\w+>|@@\w+@@|%%\w+%%|(?<!\w)__\w+?__(?!\w)|\$[A-Za-z_]+\$|\[\[\w+\]\]"
+    r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|&lt;\w[\w -]*&gt;|<your[ _-]\w+>|@@\w+@@|%%\w+%%|(?<!\w)__\w+?__(?!\w)|\$[A-Za-z_]\w*\$|\[\[\w+\]\]"
     r"|\[insert \w+ here\]|\[\w+ goes here\]|(?<![\w{])\{\w+\}(?!\w)|(?<![\w:]):[A-Za-z_]+[A-Za-z0-9_]*:(?![\w:])|TODO: \w+"
 )
 
 
 def slots_to_words(c: Column) -> Column:
     """Text with each unfilled placeholder as the word phslot."""
-    maybe = c.rlike(r"[{}$%<@#]|__|\[\[|\[insert|goes here\]|&lt;|:[A-Za-z_]+:|TODO")  # a cheap test first: few lines hold any
+    maybe = c.rlike(r"[{}$%<@#]|__|\[\[|\[insert|goes here\]|&lt;|:[A-Za-z_]\w*:|TODO")  # a cheap test first: few lines hold any
     return F.when(maybe, F.regexp_replace(c, "(?i)" + _SLOT, " phslot ")).otherwise(c)
 
 
-def plain(c: Column, host: Column | None = None) -> Column:
-    """The words of a line as the index has them: placeholders, the host and numbers are each one word of their own."""
+def plain(c: Column, host: Column) -> Column:
+    """A line as words with blanks between: a placeholder and the host are each one word. Case is left to the index."""
     c = slots_to_words(c)
-    if host is not None:
-        c = F.when(F.length(host) > 0, F.replace(F.lower(c), host, F.lit(" hostslot "))).otherwise(F.lower(c))
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "), r"(?<![\p{L}])[0-9]+(?![\p{L}])", "0"))
+    c = F.when(F.length(host) > 0, F.replace(c, host, F.lit(" hostslot "))).otherwise(c)
+    return F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")
 
 
-class Index:
-    """The inverted index: word -> exemplars, with the weights of words."""
+FREE = -2  # a word that weighs nothing: a number, or the own host
+
 
-    FREE = ("0", "hostslot")  # numbers and the own host weigh nothing
+class Index:
+    """The inverted index: word -> exemplars."""
 
     def __init__(self, texts: dict[str, list[str]]):
         rows = []
@@ -79,11 +79,10 @@ class Index:
         norm = [self._norm(x) for _, x in rows]
         w = Words(pa.array(norm))
         _, h = w.hashes(1)
-        free = set(Words(pa.array(list(self.FREE))).hashes(1)[1].tolist())
-        keep = np.array([x not in free for x in h.tolist()], bool)
+        self.host = Words(pa.array(["hostslot"])).hashes(1)[1][0]
+        keep = ~w.numeric() & (h != self.host)
         doc, h = w.doc[keep], h[keep]
         self.vocab = np.unique(h)
-        self.free = np.array(sorted(free), np.uint64)
         self.has = np.zeros((len(self.vocab), len(rows)), np.float32)
         self.has[np.searchsorted(self.vocab, h), doc] = 1
         self.bag = np.array([k == "filler" and len(x.split()) > 20 for (k, x) in rows])
@@ -93,82 +92,82 @@ class Index:
         import re
 
         x = x.replace("PH", " phslot ").replace("HOST", " hostslot ").lower()
-        x = re.sub(r"[\W_]+", " ", x).strip()
-        return re.sub(r"(?<![^\W\d_])\d+(?![^\W\d_])", "0", x)
+        return re.sub(r"[\W_]+", " ", x).strip()
 
     def ids(self, h: np.ndarray) -> np.ndarray:
-        """Place of each word in the vocabulary, -1 for other words, -2 for words without weight."""
+        """Place of each word in the vocabulary, -1 for other words, FREE for the host."""
         at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
         out = np.where(self.vocab[at] == h, at, -1)
-        return np.where(np.isin(h, self.free), -2, out)
+        out[h == self.host] = FREE
+        return out
 
-    def score(self, h: np.ndarray, win: np.ndarray, n: int, idf: np.ndarray, other: float, cover: float) -> np.ndarray:
-        """For n windows: the largest TF-IDF containment of the window's distinct words in an exemplar.
+    def score(self, at: np.ndarray, win: np.ndarray, n: int, idf: np.ndarray, other: float, cover: float) -> np.ndarray:
+        """For n windows of words (places at, window numbers win): the largest TF-IDF containment of a window in an exemplar.
 
-        Exemplars are retrieved by the words they share with the window; one that a window covers by less than `cover`
-        doesn't count, but for bags of filler words.
+        A word of the vocabulary counts once in a window, other words each time. Exemplars are retrieved by the words they
+        share with the window; one that a window covers by less than `cover` doesn't count, but for bags of filler words.
         """
-        row, hh, _ = distinct_in_rows(win, h)
-        at = self.ids(hh)
-        total = np.bincount(row, np.where(at >= 0, idf[np.maximum(at, 0)], np.where(at == -1, other, 0.0)), minlength=n)
-        best = np.zeros(n)
         hit = at >= 0
-        some = np.unique(row[hit])
+        total = np.bincount(win[at == -1], minlength=n) * other
+        key = np.unique(win[hit] * len(self.vocab) + at[hit])
+        row, a = key // len(self.vocab), key % len(self.vocab)
+        total = total + np.bincount(row, idf[a], minlength=n)
+        best = np.zeros(n)
         full = (self.has * idf[:, None]).sum(axis=0)
-        for lo in range(0, len(some), 4096):
-            part = some[lo : lo + 4096]
-            m = hit & (row >= part[0]) & (row <= part[-1])
-            r, a = np.searchsorted(part, row[m]), at[m]
-            got = np.zeros((len(part), self.has.shape[1]))
-            np.add.at(got, r, self.has[a] * idf[a][:, None])
-            got *= (got >= cover * full) | self.bag
-            best[part] = got.max(axis=1) / np.maximum(total[part], 1e-9)
-        best[total == 0] = 0
-        return best
+        w = self.has * idf[:, None].astype(np.float32)
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+        for lo in range(0, len(first), 4096):  # in blocks of windows
+            at0 = first[lo : lo + 4096]
+            end = first[lo + 4096] if lo + 4096 < len(first) else len(row)
+            got = np.add.reduceat(w[a[at0[0] : end]], at0 - at0[0], axis=0)
+            got[(got < cover * full) & ~self.bag] = 0
+            best[row[at0]] = got.max(axis=1)
+        return best / np.maximum(total, 1e-9)
 
 
-def document_frequencies(texts: DataFrame, index: Index) -> tuple[int, np.ndarray]:
-    """(texts, texts with each word of the vocabulary), over all texts (column norm); a row of counts per task is summed."""
+def document_frequencies(pages: DataFrame, index: Index) -> tuple[int, np.ndarray]:
+    """(pages, pages with each word of the vocabulary), over all pages (column voc); one row per task and word is summed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(len(index.vocab), np.int64)
+        n, v = 0, len(index.vocab)
+        df = np.zeros(v, np.int64)
         for b in batches:
-            w = Words(b.column(0))
-            _, h = w.hashes(1)
-            at = index.ids(h)
-            _, a, _ = distinct_in_rows(w.doc[at >= 0], at[at >= 0])
-            df += np.bincount(a, minlength=len(df))
+            at = b.column(0).flatten().to_numpy().astype(np.int64)
+            doc = np.repeat(np.arange(b.num_rows), b.column(0).value_lengths().to_numpy())
+            df += np.bincount(np.unique(doc[at >= 0] * v + at[at >= 0]) % v, minlength=v)
             n += b.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(df) + 1)), pa.array(np.r_[df, n])], ["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(v + 1)), pa.array(np.r_[df, n])], ["w", "n"])
 
-    got = {r["w"]: r["n"] for r in texts.select("norm").mapInArrow(count, "w long, n long").groupBy("w").sum("n").toDF("w", "n").collect()}
+    got = {r["w"]: r["n"] for r in pages.select("voc").mapInArrow(count, "w long, n long").groupBy("w").sum("n").toDF("w", "n").collect()}
     return got.get(len(index.vocab), 0), np.array([got.get(i, 0) for i in range(len(index.vocab))], float)
 
 
-def line_scorer(index: Index, idf: np.ndarray, other: float, window: int = 24, least: float = 0.5, cover: float = 0.4):
-    """For lines (an Arrow string column of plain words): (words, words inside windows that reach `least`).
+def line_scorer(index: Index, idf: np.ndarray, other: float, window: int = 24, least: float = 0.45, cover: float = 0.4):
+    """For lines of n words with places voc: the words of each line inside windows that reach `least`.
 
     A line of up to `window` words is one window; a longer one is cut into windows of that size, half overlapping.
     """
 
-    def run(lines: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        w = Words(lines)
-        _, h = w.hashes(1)
-        n = np.diff(w.first)
+    def run(n: np.ndarray, voc: np.ndarray) -> np.ndarray:
+        first = np.concatenate([[0], np.cumsum(n)])
         step = window // 2
         k = np.maximum(1, -(-np.maximum(n - window, 0) // step) + 1)
         line = np.repeat(np.arange(len(n)), k)
         j = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-        lo = w.first[:-1][line] + j * step
-        hi = np.minimum(lo + window, w.first[1:][line])
+        lo = first[:-1][line] + j * step
+        hi = np.minimum(lo + window, first[1:][line])
         size = np.maximum(hi - lo, 0)
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
-        ok = index.score(h[at], np.repeat(np.arange(len(line)), size), len(line), idf, other, cover) >= least
-        mark = np.zeros(len(h) + 1, np.int64)
+        # Windows with under a fifth of their words in the vocabulary can't reach `least` and are passed over.
+        inv = np.concatenate([[0], np.cumsum(voc >= 0)])
+        maybe = np.flatnonzero((inv[hi] - inv[lo]) * 5 >= size)
+        sz = size[maybe]
+        at = np.arange(sz.sum()) - np.repeat(np.cumsum(sz) - sz, sz) + np.repeat(lo[maybe], sz)
+        ok = maybe[index.score(voc[at], np.repeat(np.arange(len(maybe)), sz), len(maybe), idf, other, cover) >= least]
+        mark = np.zeros(len(voc) + 1, np.int64)
         np.add.at(mark, lo[ok], 1)
         np.add.at(mark, hi[ok], -1)
-        inside = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)]) if len(h) else np.zeros(1, int)
-        return n, inside[w.first[1:]] - inside[w.first[:-1]]
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)]) if len(voc) else np.zeros(1, np.int64)
+        return inside[first[1:]] - inside[first[:-1]]
 
     return run
 
