@@ -116,9 +116,9 @@ class Index:
         full = (self.has * idf[:, None]).sum(axis=0)
         w = self.has * idf[:, None].astype(np.float32)
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
-        for lo in range(0, len(first), 4096):  # in blocks of windows
-            at0 = first[lo : lo + 4096]
-            end = first[lo + 4096] if lo + 4096 < len(first) else len(row)
+        for lo in range(0, len(first), 1024):  # in blocks of windows
+            at0 = first[lo : lo + 1024]
+            end = first[lo + 1024] if lo + 1024 < len(first) else len(row)
             got = np.add.reduceat(w[a[at0[0] : end]], at0 - at0[0], axis=0)
             got[(got < cover * full) & ~self.bag] = 0
             best[row[at0]] = got.max(axis=1)
