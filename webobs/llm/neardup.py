@@ -82,16 +82,14 @@ def _similar(words: int, above: float, inclusive: bool):
                 b = pa.concat_batches([rest, b])
             n = b.num_rows // 2 * 2
             rest = b.slice(n) if n < b.num_rows else None
-            if not n:
-                continue
-            c = b.slice(0, n)
-            w = Words(c.column(2))
-            i, h = w.hashes(words)
-            both, union = common_and_union(w.doc[i], h, n)
-            sim = both / np.maximum(union, 1)
-            ok = np.flatnonzero((sim >= above) if inclusive else (sim > above))
-            at = pa.array(ok * 2)
-            yield pa.RecordBatch.from_arrays([c.column(0).take(at), c.column(1).take(at), pa.array(sim[ok])], ["a", "b", "sim"])
+            for lo in range(0, n, 1000):  # whole pairs, in slices that bound the arrays
+                c = b.slice(lo, min(1000, n - lo))
+                w = Words(c.column(2))
+                i, h = w.hashes(words)
+                both, union = common_and_union(w.doc[i], h, c.num_rows)
+                sim = both / np.maximum(union, 1)
+                at = pa.array(np.flatnonzero((sim >= above) if inclusive else (sim > above)) * 2)
+                yield pa.RecordBatch.from_arrays([c.column(0).take(at), c.column(1).take(at), pa.array(sim[at.to_numpy() // 2])], ["a", "b", "sim"])
 
     return run
 
