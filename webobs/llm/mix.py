@@ -10,6 +10,9 @@ from webobs.llm.tokens import DEFAULT, with_tokens
 from webobs.runtime import cut, stage
 
 
+LARGE = (0.1, 0.02, 0.005)  # edges of the classes of size, as parts of a source's tokens to draw
+
+
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Flight phase for the constraints (total size, number of units), in the order given.
 
@@ -82,7 +85,8 @@ def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str
     The mixture is as large as the plan allows: the total T is the least of max_repeats x tokens / target_share over the
     sources. A document of a source is used floor(f) times, f = share x T / tokens of the source, and once more with
     probability f - floor(f) <= 1, balanced by the cube method on tokens and documents: flights run in blocks of `block`
-    documents, what each leaves (at most two) joins the next round, and a last block lands. So f <= max_repeats bounds
+    documents, what each leaves (at most two) joins the next round, and a last block lands. Large documents (classes
+    at the edges LARGE) are drawn before smaller ones, whose probability is set so that all together meet the total. So f <= max_repeats bounds
     the use of every document. Documents of sources without a plan, with a null source, and without tokens aren't used;
     a planned source without tokens raises, as no mixture reaches its share.
     """
@@ -114,16 +118,36 @@ def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str
 
         return run
 
-    todo = d.filter("p > 0").select("source", "doc_id", "n_tokens", "p", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).alias("blk"))
-    blocks, got = max(max(1, -(-v["n"] // block)) for v in stats.values()), None
+    # Classes of size, the largest first: each is drawn so that it and what is left meet the total, so what one misses is
+    # made good by smaller ones. At most 1 / (edge x p) documents of a source lie over an edge.
+    left = {s: max(0.0, x - int(x + 1e-12)) * stats[s]["t"] for s, x in f.items()}
+    edges = spark.createDataFrame([(s, *(e * v for e in LARGE)) for s, v in left.items()], "source string, " + ", ".join(f"e{i} double" for i in range(len(LARGE))))
+    cls = F.coalesce(*[F.when(F.col("n_tokens") > F.col(f"e{i}"), i) for i in range(len(LARGE))], F.lit(len(LARGE)))
+    d = stage(d.join(F.broadcast(edges), "source").withColumn("cls", cls).drop(*[f"e{i}" for i in range(len(LARGE))]))
+    sums = {(r["source"], r["cls"]): r["t"] for r in d.groupBy("source", "cls").agg(F.sum("n_tokens").alias("t")).collect()}  # a row a source and class
+
+    def drawn(k: int) -> DataFrame:
+        ps = [(s, min(1.0, max(0.0, v / r)) if (r := sum(t for (q, c), t in sums.items() if q == s and c >= k)) else 0.0) for s, v in left.items()]
+        return d.filter((F.col("cls") == k) & (F.col("p") > 0)).drop("p").join(F.broadcast(spark.createDataFrame(ps, "source string, p double")), "source").select("source", "doc_id", "n_tokens", "p", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).alias("blk"))
+
+    got = spark.createDataFrame([], schema)
+    for k in range(len(LARGE)):
+        if any(c == k for _, c in sums):
+            part = stage(drawn(k).withColumn("blk", F.lit(0)).groupBy("source", "blk").applyInPandas(fly(True), schema)).filter("p = 1")
+            for r in part.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect():
+                left[r["source"]] -= r["t"]
+            got = got.union(part)
+    todo = drawn(len(LARGE))
+    got = got.union(todo.filter("p = 1").drop("blk"))
+    todo = todo.filter("p > 0 and p < 1")
+    blocks = max(max(1, -(-v["n"] // block)) for v in stats.values())
     while blocks > 1:
         flown = stage(todo.groupBy("source", "blk").applyInPandas(fly(False), schema))
-        done = flown.filter("p = 0 or p = 1")
-        got = done if got is None else got.union(done)
+        got = got.union(flown.filter("p = 1"))
         blocks = -(-2 * blocks // block)
         todo = flown.filter("p > 0 and p < 1").withColumn("blk", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(blocks)))
     end = todo.withColumn("blk", F.lit(0)).groupBy("source", "blk").applyInPandas(fly(True), schema)
-    chosen = (end if got is None else got.union(end)).filter("p = 1").select("doc_id", F.lit(1).cast("long").alias("more"))
+    chosen = got.union(end).filter("p = 1").select("doc_id", F.lit(1).cast("long").alias("more"))
     return d.join(chosen, "doc_id", "left").select("doc_id", "source", "n_tokens", (F.col("whole") + F.coalesce("more", F.lit(0))).alias("n_used")).filter("n_used > 0")
 
 
