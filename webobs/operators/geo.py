@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,10 +13,19 @@ from webobs.operators.near import haversine
 KM_PER_MS = 100.0
 
 
+BLOCK = 50_000  # sites that go to every task at once
+
+
 def with_distance(points: DataFrame, sites: DataFrame, lat: str = "latitude", lon: str = "longitude", slat: str = "s_lat", slon: str = "s_lon") -> DataFrame:
-    """Every point with every site and dist (km): a stated site table against all points. Rows without coordinates are left out."""
+    """Every point with every site and dist (km): a stated site table against all points. Rows without coordinates are left out.
+
+    Sites are counted first; of more than BLOCK, one block after the other goes to the tasks, so what is sent is bounded.
+    """
     p = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    return p.crossJoin(F.broadcast(sites)).withColumn("dist", haversine(F.col(lat), F.col(lon), F.col(slat), F.col(slon)))
+    blocks = max(1, -(-sites.count() // BLOCK))
+    parts = [sites] if blocks == 1 else [sites.filter(F.pmod(F.xxhash64(*sites.columns), F.lit(blocks)) == k) for k in range(blocks)]
+    all_ = reduce(DataFrame.union, [p.crossJoin(F.broadcast(s)) for s in parts])
+    return all_.withColumn("dist", haversine(F.col(lat), F.col(lon), F.col(slat), F.col(slon)))
 
 
 def nearest(points: DataFrame, keys: list[str], sites: DataFrame, site: str) -> DataFrame:
