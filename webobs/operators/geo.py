@@ -44,3 +44,69 @@ def top_scopes(dists: DataFrame, key: str, site: str, scopes: dict[str, Column],
     one = dists.withColumn("scope", F.explode(F.array(*[F.when(c, F.lit(n)) for n, c in scopes.items()]))).filter("scope is not null")
     r = F.row_number().over(Window.partitionBy(key, "scope").orderBy("dist", site))
     return one.withColumn("rank", r).filter(F.col("rank") <= k).select(key, "scope", "rank", site)
+
+
+def hint_places(hints: DataFrame, cities: DataFrame, codes: DataFrame, spread: float | None = 0.5) -> DataFrame:
+    """(id, city, lat, lon): the place a hint names; ids whose hint names none, or several places far apart, have no row.
+
+    hints: (id, hint); cities: (city, admin, lat, lon, population), lower-cased names; codes: (code, city) of airports.
+    A name of several words that occurs in the hint wins; then a token that is an airport code, if its city's name or
+    'ixp' is among the tokens too; then a token that is a city's name. Of two or more places of that name those whose admin is
+    among the tokens are kept, if any. What is left must lie within `spread` degrees on both axes (the first by
+    population is given); with spread=None the most populous is taken instead.
+    """
+    from webobs.functions.text import split_hint
+    from webobs.operators.joins import contains_first
+
+    t = hints.select("id", "hint", split_hint(F.col("hint")).alias("toks"))
+    names = cities.filter(F.contains("city", F.lit(" "))).groupBy("city").agg(F.max("population").alias("p")).withColumn("ord", -F.col("p"))
+    long = contains_first(hints, "id", "hint", names, "city", "ord").select("id", F.col("name").alias("city"), F.lit(1).alias("way"))
+    one = t.select("id", "toks", F.explode("toks").alias("tok"))
+    code = one.join(codes, one["tok"] == codes["code"]).filter(F.array_contains("toks", F.lit("ixp")) | F.array_contains("toks", F.col("city"))).select("id", "city", F.lit(2).alias("way"))
+    plain_ = one.join(cities.select(F.col("city").alias("tok")).distinct(), "tok").select("id", F.col("tok").alias("city"), F.lit(3).alias("way"))
+    best = long.union(code).union(plain_).groupBy("id").agg(F.min(F.struct("way", "city")).alias("m")).select("id", "m.city")
+    c = best.join(cities, "city").join(t.select("id", "toks"), "id").withColumn("own", F.coalesce(F.array_contains("toks", F.col("admin")), F.lit(False)))
+    n = c.groupBy("id").agg(F.max("own").alias("any"))
+    c = c.join(n, "id").filter(F.col("own") | ~F.col("any"))
+    g = c.groupBy("id").agg(F.max_by(F.struct("city", "lat", "lon"), F.struct("population", "lat", "lon")).alias("m"), (F.max("lat") - F.min("lat")).alias("dy"), (F.max("lon") - F.min("lon")).alias("dx"))
+    if spread is not None:
+        g = g.filter((F.col("dy") <= spread) & (F.col("dx") <= spread))
+    return g.select("id", "m.*")
+
+
+def verified_hops(hops: DataFrame, vantages: DataFrame, by_name: DataFrame, by_net: DataFrame, prefix: int = 24, km_per_ms: float = KM_PER_MS) -> DataFrame:
+    """hops with the place (h_lat, h_lon) their name or else their network tells, if the round trip from the vantage allows it.
+
+    hops: (target, vantage, hop_index, ip, hostname, rtt); vantages: (vantage, v_lat, v_lon); by_name: (hostname, lat, lon);
+    by_net: (net, lat, lon) of networks of length `prefix`. A name that tells a place isn't overruled by the network.
+    """
+    from webobs.functions.net import subnet
+
+    h = hops.filter("ip is not null and rtt is not null").withColumn("net", subnet(F.col("ip"), prefix))
+    h = h.join(by_name.toDF("hostname", "n_lat", "n_lon"), "hostname", "left").join(by_net.toDF("net", "a_lat", "a_lon"), "net", "left").join(vantages, "vantage")
+    named = F.col("n_lat").isNotNull()
+    h = h.withColumn("h_lat", F.when(named, F.col("n_lat")).otherwise(F.col("a_lat"))).withColumn("h_lon", F.when(named, F.col("n_lon")).otherwise(F.col("a_lon")))
+    ok = plausible(haversine(F.col("v_lat"), F.col("v_lon"), F.col("h_lat"), F.col("h_lon")), F.col("rtt"), km_per_ms)
+    return h.filter(F.col("h_lat").isNotNull() & ok).drop("n_lat", "n_lon", "a_lat", "a_lon", "net")
+
+
+def site_candidates(ends: DataFrame, middle: DataFrame, sites: DataFrame, k: int = 3, km_per_ms: float = KM_PER_MS, typical: float = 66.7) -> DataFrame:
+    """(target, vantage, site_id, way): replica sites a vantage's trace allows.
+
+    ends: (target, vantage, v_lat, v_lon, rtt) at the destination; middle: verified_hops. 'all' are the sites within reach of
+    the vantage and, for every verified hop, within reach of the hop in the rest of the round trip (at least 0.3 ms).
+    Where no site passes, the k sites whose distance from the verified hop nearest in time is most like its rest of the
+    round trip are given as 'residual'.
+    """
+    from webobs.operators.joins import for_all
+
+    e = with_distance(ends, sites, "v_lat", "v_lon").filter(plausible(F.col("dist"), F.col("rtt"), km_per_ms)).select("target", "vantage", "site_id", "s_lat", "s_lon", F.col("rtt").alias("end_rtt"))
+    gap = F.greatest(F.abs(F.col("end_rtt") - F.col("rtt")), F.lit(0.3))
+    m = middle.select("target", "vantage", F.col("rtt"), "h_lat", "h_lon")
+    good = for_all(e, m, ["target", "vantage"], plausible(haversine(F.col("h_lat"), F.col("h_lon"), F.col("s_lat"), F.col("s_lon")), gap, km_per_ms)).select("target", "vantage", "site_id")
+    none = ends.join(good.select("target", "vantage").distinct(), ["target", "vantage"], "left_anti").select("target", "vantage", F.col("rtt").alias("end_rtt"))
+    near_ = m.join(none, ["target", "vantage"]).withColumn("gap", gap).groupBy("target", "vantage").agg(F.min(F.struct("gap", "h_lat", "h_lon")).alias("a")).select("target", "vantage", "a.*")
+    off = with_distance(near_, sites, "h_lat", "h_lon").withColumn("off", F.round(F.abs(F.col("dist") - F.col("gap") * typical), 6))
+    rank = F.row_number().over(Window.partitionBy("target", "vantage").orderBy("off", "site_id"))  # the sites of one anchor
+    rest = off.withColumn("r", rank).filter(F.col("r") <= k).select("target", "vantage", "site_id")
+    return good.withColumn("way", F.lit("all")).union(rest.withColumn("way", F.lit("residual")))

@@ -385,3 +385,31 @@ SELECT loc_id, array_to_string(list_sort(list_distinct(list_filter(list_transfor
 """)
 def hint_tokens(t):
     return t.vp_location.select("loc_id", F.array_join(T.split_hint(col("hint")), "|").alias("tokens"))
+
+
+def _dictionary(t):
+    c = t.vp_location.filter("city is not null and latitude is not null and longitude is not null")
+    return c.groupBy(F.lower("city").alias("city"), F.lower("country_code").alias("admin")).agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.count("*").alias("population"))
+
+
+@query()
+def hint_place(t):
+    """The place each hint names, by a dictionary of the vantage points' own cities (the most populous of a name)."""
+    d = cut(_dictionary(t))
+    codes = d.select(F.substring("city", 1, 3).alias("code"), "city").groupBy("code").agg(F.min("city").alias("city"))
+    return geo.hint_places(t.vp_location.filter("hint is not null").select(col("loc_id").alias("id"), "hint"), d, codes, spread=None).select(col("id").alias("loc_id"), "city", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+@query()
+def site_candidates(t):
+    """Replica sites each vantage's trace to a host allows, by verified middle hops."""
+    v = _points(t).select(col("loc_id").alias("vantage"), col("latitude").alias("v_lat"), col("longitude").alias("v_lon"))
+    h = t.trace_hop.select(col("target_host").alias("target"), col("loc_id").alias("vantage"), "hop_index", "ip", "hostname", "rtt", "dest_ip").filter("ip is not null and rtt is not null")
+    ends = h.filter("ip = dest_ip").groupBy("target", "vantage").agg(F.min("rtt").alias("rtt")).join(v, "vantage")
+    d = cut(_dictionary(t))
+    part = F.split("hostname", r"\.")[1]
+    short = d.groupBy(F.substring("city", 1, 3).alias("code")).agg(F.max_by(F.struct("lat", "lon"), F.struct("population", "city")).alias("m"))
+    by_name = h.filter("hostname is not null").select("hostname").distinct().join(short, part == col("code")).select("hostname", "m.lat", "m.lon")
+    at = _points(t).filter(N.is_ipv4(col("ip_addr"))).groupBy(N.subnet(col("ip_addr"), 24).alias("net")).agg(F.min_by(F.struct(col("latitude").alias("lat"), col("longitude").alias("lon")), "loc_id").alias("m")).select("net", "m.lat", "m.lon")
+    middle = cut(geo.verified_hops(h.filter("ip <> dest_ip").select("target", "vantage", "hop_index", "ip", "hostname", "rtt"), v, by_name, at))
+    return geo.site_candidates(ends, middle, _sites(t))
