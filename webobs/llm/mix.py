@@ -87,19 +87,17 @@ def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str
     probability f - floor(f) <= 1, balanced by the cube method on tokens and documents: flights run in blocks of `block`
     documents, what each leaves (at most two) joins the next round, and a last block lands. Large documents (classes
     at the edges LARGE) are drawn before smaller ones, whose probability is set so that all together meet the total. So f <= max_repeats bounds
-    the use of every document. Documents of sources without a plan, with a null source, and without tokens aren't used;
-    a planned source without tokens raises, as no mixture reaches its share.
+    the use of every document. Documents of sources without a plan, with a null source, and without tokens aren't used.
+    A planned source without tokens has no part in the mixture: the others keep their shares in proportion.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).filter("doc_id is not null")
     known = plan.filter("target_share > 0").groupBy("source").agg(F.first("target_share").alias("share"), F.first("max_repeats").alias("most"))  # one row a source
     d = stage(with_tokens(d.join(F.broadcast(known.select("source")), "source", "left_semi"), "text", path).filter("n_tokens > 0"))
     spark = d.sparkSession
     stats = {r["source"]: r for r in d.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # one row a source
-    rows = known.collect()
-    if missing := [r["source"] for r in rows if r["source"] not in stats]:
-        raise ValueError(f"sources without tokens: {missing}")
+    rows = [r for r in known.collect() if r["source"] in stats]
     if not rows:
-        return d.select("*", F.lit(0).cast("long").alias("n_used")).limit(0)
+        return d.select("doc_id", "source", "n_tokens", F.lit(0).cast("long").alias("n_used")).limit(0)
     total = min(r["most"] * stats[r["source"]]["t"] / r["share"] for r in rows)
     f = {r["source"]: min(float(r["most"]), r["share"] * total / stats[r["source"]]["t"]) for r in rows}
     plan_f = spark.createDataFrame([(s, int(x + 1e-12), max(0.0, x - int(x + 1e-12)), max(1, -(-stats[s]["n"] // block))) for s, x in f.items()], "source string, whole long, p double, blocks long")
