@@ -240,8 +240,9 @@ def test_mixture(spark):
         assert s["small"]["most_used"] <= 3 and s["big"]["most_used"] == 1
         assert m.filter("doc_id >= 450 and doc_id < 460 or doc_id in (700, 701)").count() == 0
         assert m.count() == m.select("doc_id").distinct().count()
-    with pytest.raises(ValueError):
-        mix.mixture(d.filter("source = 'big'"), plan)
+    alone = mix.mixture(d.filter("source = 'big'"), plan)
+    assert {x for x, in alone.select("source").distinct().collect()} == {"big"} and alone.filter("n_used > 1").count() == 0
+    assert mix.mixture(d.limit(0), plan).count() == 0
     assert mix.mixture(d, plan.limit(0)).count() == 0
 
 
