@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webobs.functions.net import is_bogon, is_ipv4, subnet
 from webobs.operators.graph import components
@@ -24,11 +25,12 @@ def usable_traces(hops: DataFrame, most: int = 64) -> DataFrame:
 
 
 def second_last(hops: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of the second-highest hop index of each key (which may have several rows); keys with one index have none."""
-    idx = hops.select(*keys, "hop_index").distinct()
-    top = idx.groupBy(*keys).agg(F.max("hop_index").alias("top"))
-    two = idx.join(top, keys).filter("hop_index < top").groupBy(*keys).agg(F.max("hop_index").alias("hop_index"))
-    return hops.join(two, [*keys, "hop_index"], "left_semi")
+    """Rows of the second-highest hop index of each key (which may have several rows); keys with one index have none.
+
+    One shuffle by key; the rows of a trace are few (hops are at most some dozens).
+    """
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(F.desc("hop_index")))
+    return hops.withColumn("__r", rank).filter("__r = 2").drop("__r")
 
 
 def greedy_sites(sets: list[tuple[int, set]]) -> list[tuple[int, int]]:
@@ -121,5 +123,5 @@ def hostnames(hops: DataFrame) -> DataFrame:
 
 def end_networks(hops: DataFrame, prefix: int) -> DataFrame:
     """(dest_ip, loc_id, rtt, net): networks of the second-last answering hops of each trace."""
-    h = hops.filter("ip is not null and dest_ip is not null").dropDuplicates(["trace_id", "hop_index", "ip"])
-    return second_last(h, ["trace_id"]).select("dest_ip", "loc_id", "rtt", subnet(F.col("ip"), prefix).alias("net"))
+    h = hops.filter("ip is not null and dest_ip is not null").select("trace_id", "loc_id", "dest_ip", "hop_index", "ip", "rtt")
+    return second_last(h, ["trace_id"]).distinct().select("dest_ip", "loc_id", "rtt", subnet(F.col("ip"), prefix).alias("net"))
