@@ -58,4 +58,6 @@ def test_regions(spark):
     pts = spark.createDataFrame([(1, 2.0, 2.0), (2, 4.0, 2.0), (3, 10.5, 12.0), (4, 13.0, 12.0), (5, 13.0, 13.5), (6, None, 1.0)], "id long, latitude double, longitude double")
     got = {tuple(r) for r in near.locate_in_regions(pts, "id", regs, "region", "ring").collect()}
     assert got == {(1, 1), (3, 2), (5, 2)}
+    small = near.locate_in_regions(pts, "id", regs, "region", "ring", block=2)
+    assert {tuple(r) for r in small.collect()} == got
     assert near.locate_in_regions(pts.limit(0), "id", regs, "region", "ring").count() == 0

@@ -168,7 +168,7 @@ def near_pairs(df: DataFrame, id_col: str, lat: str = "latitude", lon: str = "lo
     return pairs_within(member, "place", "id").union(other)
 
 
-def locate_in_regions(points: DataFrame, id_col: str, regions: DataFrame, region_col: str, ring_col: str, lat: str = "latitude", lon: str = "longitude", slab: float = 1.0) -> DataFrame:
+def locate_in_regions(points: DataFrame, id_col: str, regions: DataFrame, region_col: str, ring_col: str, lat: str = "latitude", lon: str = "longitude", slab: float = 1.0, block: int = 50_000) -> DataFrame:
     """(point id, region): regions whose polygon holds the point.
 
     regions has one row per polygon with ring_col: array<struct<lat, lon>>, a simple ring in degrees that doesn't cross
@@ -212,8 +212,12 @@ def locate_in_regions(points: DataFrame, id_col: str, regions: DataFrame, region
                 regs.append(np.full(len(odd), region))
         return pd.DataFrame({"id": np.concatenate(ids) if ids else [], "region": np.concatenate(regs) if regs else []})
 
-    salt = 16  # points of a slab are spread; edges of a slab are repeated for each share
-    pts = pts.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salt)))
-    edges = edges.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
+    # A slab's points and regions are cut into blocks by hash, as many as their counts ask for; each two blocks meet once.
+    n = pts.groupBy("slab").agg(F.ceil(F.count("*") / block).cast("long").alias("kp"))
+    n = n.join(edges.groupBy("slab").agg(F.ceil(F.count("*") / block).cast("long").alias("ke")), "slab")
+    of = lambda c, k: F.pmod(F.xxhash64(c), F.col(k))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    pts = pts.join(n, "slab").select("id", "y", "x", "slab", of("id", "kp").alias("bp"), every("ke").alias("be"))
+    edges = edges.join(n, "slab").select("region", "lat0", "lon0", "lat1", "lon1", "slab", of("region", "ke").alias("be"), every("kp").alias("bp"))
     kinds = dict(pts.dtypes) | dict(edges.dtypes)
-    return edges.groupBy("slab", "salt").cogroup(pts.groupBy("slab", "salt")).applyInPandas(inside, f"id {kinds['id']}, region {kinds['region']}")
+    return edges.groupBy("slab", "bp", "be").cogroup(pts.groupBy("slab", "bp", "be")).applyInPandas(inside, f"id {kinds['id']}, region {kinds['region']}")

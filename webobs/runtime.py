@@ -75,4 +75,17 @@ def stage(df: DataFrame) -> DataFrame:
 
     at = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    sc = df.sparkSession.sparkContext
+    sc._webobs_stages = [*getattr(sc, "_webobs_stages", []), at]
     return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def drop_stages(spark: SparkSession) -> int:
+    """Delete the staged tables of this application, once no result that reads them is needed; gives their number."""
+    sc = spark.sparkContext
+    done = getattr(sc, "_webobs_stages", [])
+    for at in done:
+        path = sc._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._webobs_stages = []
+    return len(done)
