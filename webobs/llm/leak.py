@@ -43,9 +43,8 @@ def _plan(n: int, least: int, per: int) -> int:
     return m // (m // per + 1)
 
 
-def _finder(ids: np.ndarray, words: list[np.ndarray], least: int, per: int):
-    flat = np.concatenate(words)
-    first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
+def _index(words: list[np.ndarray], least: int, per: int) -> dict[int, tuple]:
+    """By length of segment: codes in order, their item and position, and which codes occur."""
     by_k: dict[int, tuple] = {}
     for k in sorted({_plan(len(w), least, per) for w in words}):
         own = [i for i, w in enumerate(words) if _plan(len(w), least, per) == k]
@@ -56,6 +55,12 @@ def _finder(ids: np.ndarray, words: list[np.ndarray], least: int, per: int):
         seen = np.zeros(1 << BITS, bool)
         seen[code] = True
         by_k[k] = code[o], item[o], pos[o], seen
+    return by_k
+
+
+def _finder(ids: np.ndarray, words: list[np.ndarray], least: int, per: int):
+    flat = np.concatenate(words)
+    first = np.concatenate([[0], np.cumsum([len(w) for w in words])])
 
     def check(doc: np.ndarray, item: int, shift: int) -> tuple[int, int] | None:
         """(words, equal words) of the longest leak on one alignment: it begins and ends with equal words."""
@@ -76,6 +81,7 @@ def _finder(ids: np.ndarray, words: list[np.ndarray], least: int, per: int):
         return best
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_k = _index(words, least, per)  # made in the task: only the items' word hashes travel
         for whole in batches:
             size = np.diff(np.r_[0, np.cumsum(pa.compute.binary_length(whole.column(1)).fill_null(0).to_numpy())])
             part = np.cumsum(size) // 2_000_000  # slices of about 2 MB, or one text
