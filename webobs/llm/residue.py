@@ -177,12 +177,13 @@ def address_is_residue(url: Column) -> Column:
 
     Wrapping brackets and quotes around the whole address and percent-encoded characters are no placeholders. Null is false.
     """
-    u = F.regexp_replace(F.coalesce(url, F.lit("")), r"^[\s<\[(\"']+(?=[A-Za-z]+ ?:)|[\s,.\"']+$", "")
+    u = F.regexp_replace(F.coalesce(url, F.lit("")), r"\h+", " ")
+    u = F.regexp_replace(u, r"^[\s<\[(\"']+(?=[A-Za-z]+ ?:)|[\s,.\"']+$", "")
     # A closing bracket at the end belongs to the wrapping only if none opens inside.
     u = F.when(~u.rlike(r"[<\[(]"), F.regexp_replace(u, r"[\s>\])]+$", "")).otherwise(u)
     slot = (
-        r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|<your[ _-]\w+>|@@\w+@@|__\w+__|%\(\w+\)s|%[a-z_]{3,}%|\$\w+\$|\[[a-z_]+\](?=[/:.]|$)|\[object object\]"
-        r"|your[_-]\w+[_-]here|insert[ _]\w+[ _]here|//:[a-z_]+|xxx\.xxx"
+        r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|<your[ _-]\w+>|@@\w+@@|__\w+__|%\(\w+\)s|%[a-z_]{3,}%|\$\w+\$|\[[a-z_]+\](?=[/:.]|$)|\[object\s+object\]"
+        r"|your[_-]\w+[_-]here|insert[\s_]+\w+[\s_]+here|[/\\]\s*:[a-z_]+|xxx\.xxx"
     )
     rest = F.regexp_replace(F.lower(u), r"^\s*[a-z]+\s*:[\s/\\]*", "")
     parts = F.transform(F.split(F.regexp_replace(rest, r"[?#].*$", ""), r"[/\\]+"), lambda p: F.trim(p))
