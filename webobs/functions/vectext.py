@@ -34,13 +34,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow["p"], _pow["i"]
 
 
+_WORD = np.zeros(256, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def _blank_punctuation(raw: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes with the bytes of punctuation as blanks."""
+    out = np.where(_WORD[raw], raw, np.uint8(32))
+    two = np.flatnonzero(raw[:-1] == 0xC2)  # U+0080..U+00BF, less the letters among them
+    two = two[~np.isin(raw[two + 1], (0xAA, 0xB5, 0xBA))]
+    three = np.flatnonzero(((raw[:-2] == 0xE2) & ((raw[1:-1] == 0x80) | (raw[1:-1] == 0x81))) | ((raw[:-2] == 0xE3) & (raw[1:-1] == 0x80)))
+    for at, n in ((two, 2), (three, 3)):
+        for j in range(n):
+            out[at + j] = 32
+    return out
+
+
 class Words:
     """Words of an Arrow string column: for word w, its row (doc) and its bytes start..end; first[r]..first[r+1] are row r's.
 
-    lower: take the capitals of ASCII and Latin-1 as small letters.
+    lower: take the capitals of ASCII and Latin-1 as small letters. punctuation: take punctuation as blanks, that of ASCII,
+    Latin-1, the general block (dashes, quotes, bullets) and CJK.
     """
 
-    def __init__(self, col: pa.Array, lower: bool = False):
+    def __init__(self, col: pa.Array, lower: bool = False, punctuation: bool = False):
         col = col.fill_null("") if col.null_count else col
         if pa.types.is_large_string(col.type):
             off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
@@ -52,6 +69,8 @@ class Words:
         if lower and len(raw):  # the letters of ASCII and Latin-1
             after = np.r_[False, raw[:-1] == 0xC3]
             raw = raw + 32 * (((raw >= 65) & (raw <= 90)) | (after & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97))).astype(np.uint8)
+        if punctuation and len(raw):
+            raw = _blank_punctuation(raw)
         self.raw, self.rows = raw, len(col)
         inside = raw != 32
         # A word starts after a blank or where a row starts, and ends before a blank or where a row ends.
