@@ -32,6 +32,8 @@ def test_words_of_batches():
     flat = [x for s in t for x in (s or "").split()]
     assert len({(x, int(y)) for x, y in zip(flat, h)}) == len(set(flat)) == len(set(h.tolist()))
     assert len(Words(pa.array([], pa.string())).hashes(3)[0]) == 0
+    w = Words(pa.array(["a·b – “ccc”, x_y»", "…", "é·", "ªº。链"]), punctuation=True)
+    assert [bytes(w.raw[a:b]).decode() for a, b in zip(w.start, w.end)] == ["a", "b", "ccc", "x", "y", "é", "ªº", "链"] and list(w.first) == [0, 5, 5, 6, 8]
     assert len(Words(pa.array(["ÄB"]), lower=True).hashes(1)[0]) == 1 and Words(pa.array(["ÄB"]), lower=True).hashes(1)[1][0] == Words(pa.array(["äb"])).hashes(1)[1][0]
 
 

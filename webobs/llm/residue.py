@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,17 +52,21 @@ _SLOT = (
 )
 
 
+def may_have_slots(text: Column) -> Column:
+    """A cheap test of a whole text: false only if no line of it holds a placeholder."""
+    marks = [F.contains(text, F.lit(m)) for m in ("{", "$", "%", "<", "&lt;", "@@", "__", "[[", "[insert ", "[INSERT ", "goes here]", "GOES HERE]", "TODO: ", "todo: ")]
+    return reduce(lambda x, y: x | y, marks) | text.rlike(r"(?<![\w:]):[A-Za-z_]\w*:(?![\w:])")
+
+
 def slots_to_words(c: Column) -> Column:
     """Text with each unfilled placeholder as the word phslot."""
-    maybe = c.rlike(r"[{}$%<@#]|__|\[\[|\[insert|goes here\]|&lt;|:[A-Za-z_]\w*:|TODO")  # a cheap test first: few lines hold any
-    return F.when(maybe, F.regexp_replace(c, "(?i)" + _SLOT, " phslot ")).otherwise(c)
+    return F.regexp_replace(c, "(?i)" + _SLOT, " phslot ")
 
 
-def plain(c: Column, host: Column) -> Column:
-    """A line as words with blanks between: a placeholder and the host are each one word. Case is left to the index."""
-    c = slots_to_words(c)
-    c = F.when(F.length(host) > 0, F.replace(c, host, F.lit(" hostslot "))).otherwise(c)
-    return F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")
+def plain(c: Column, host: Column, slots: Column) -> Column:
+    """A line with each placeholder (looked for where slots is true) and the host as a word; case and punctuation are left to the index."""
+    c = F.when(slots, slots_to_words(c)).otherwise(c)
+    return F.when(F.length(host) > 0, F.replace(c, host, F.lit(" hostslot "))).otherwise(c)
 
 
 FREE = -2  # a word that weighs nothing: a number, or the own host
