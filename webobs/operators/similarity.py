@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webobs.operators.graph import components
-from webobs.runtime import cut
+from webobs.runtime import cut, stage
 
 
 def classes(docs: DataFrame, id_col: str, items: str) -> DataFrame:
     """(id, rep): equal sets of items are one class, named by its smallest id. Empty sets are left out."""
-    d = docs.filter(F.size(items) > 0).select(F.col(id_col).alias("id"), F.md5(F.encode(F.array_join(F.array_sort(items), "\u0001"), "UTF-8")).alias("h"))
+    d = docs.filter(F.size(items) > 0).select(F.col(id_col).alias("id"), F.array_sort(items).alias("s"))
+    d = d.select("id", F.struct(F.xxhash64("s").alias("a"), F.hash("s").alias("b"), F.size("s").alias("n")).alias("h"))  # 96 bits and the size
     rep = d.groupBy("h").agg(F.min("id").alias("rep"))
     return d.join(rep, "h").select("id", "rep")
 
@@ -30,8 +31,8 @@ def overlap_links(docs: DataFrame, id_col: str, items: str, least: float) -> Dat
     their whole sets. Sets are arrays of distinct items.
     """
     d = docs.filter(F.size(items) > 0).select(F.col(id_col).alias("id"), F.transform(F.col(items), lambda x: F.xxhash64(x)).alias("s"))
-    rep = classes(docs, id_col, items).select("rep").distinct()
-    d = cut(d.join(rep, d["id"] == rep["rep"], "left_semi"))
+    rep = classes(docs, id_col, items).select(F.col("rep").alias("id")).distinct()
+    d = stage(d.join(rep, "id", "left_semi"))
     t = d.select("id", F.size("s").alias("n"), F.explode("s").alias("item"))
     df = t.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
     t = t.join(df, "item")

@@ -10,7 +10,7 @@ from webobs.functions import text as T
 from webobs.functions import urls as U
 from webobs.operators import dedup, graph, joins, similarity, slices, tfidf
 from webobs.plans.registry import query
-from webobs.runtime import cut
+from webobs.runtime import cut, stage
 
 col = F.col
 
@@ -210,8 +210,9 @@ def shingles(t):
 
 
 def _sets(t):
-    s = T.shingle_set(T.word_list(col("content")), 5)
-    return t.page_content.select("page_id", s.alias("s")).filter(F.size("s") > 0)
+    """(page_id, s): hashes of each page's shingles, made once and staged."""
+    s = F.transform(T.shingle_set(T.word_list(col("content")), 5), lambda x: F.xxhash64(x))
+    return stage(t.page_content.select("page_id", s.alias("s")).filter(F.size("s") > 0))
 
 
 _LINKS = f"""
@@ -279,7 +280,7 @@ def two_stage_clusters(t):
     p = t.page_content
     first = p.groupBy(F.lower("host").alias("h")).agg(F.min("page_id").alias("cluster"))
     s1 = p.select(col("page_id").alias("id"), F.lower("host").alias("h")).join(first, "h").select("id", "cluster")
-    d = p.select("page_id", T.shingle_set(T.word_list(col("content")), 5).alias("s")).filter(F.size("s") > 0)
+    d = _sets(t)
     l = similarity.overlap_links(d, "page_id", "s", 0.8)
     # Members of a class are linked in a chain to its representative, and classes by their representatives' hosts: the
     # links inside a cluster are found over members, one per class and cluster.
