@@ -110,6 +110,28 @@ def test_sequence_ratio():
     assert similarity.sequence_ratio(["a", "b"], ["a", "b"]) == pytest.approx(2 / 3)
 
 
+def test_tag_links_lose_no_pair(spark):
+    r = random.Random(3)
+    base = [[r.choice(["div", "a", "li", "p"]) for _ in range(n)] for n in (26, 30, 40, 90)]
+    docs = [(1, ["p"]), (2, [])]
+    for b in base * 12:
+        s = list(b)
+        for _ in range(r.randrange(5)):  # scattered edits: every run of 6 tags around one is another
+            k = r.randrange(len(s))
+            s[k : k + r.randrange(2)] = [r.choice(["div", "a", "li", "tr"])]
+        docs.append((len(docs) + 1, s))
+    docs += [(len(docs) + 1, docs[4][1]), (len(docs) + 2, docs[4][1][::-1])]
+    first = {}
+    for i, s in docs:
+        if s:
+            first.setdefault(tuple(s), i)
+    want = sorted((i, j, similarity.sequence_ratio(s, t)) for s, i in first.items() for t, j in first.items() if i < j and similarity.sequence_ratio(s, t) >= 0.8)
+    df = spark.createDataFrame(docs, "id long, tags array<string>")
+    for block in (64, 1):
+        assert rows(similarity.tag_links(df, "id", "tags", 0.8, block=block)) == want
+    assert len(want) > 100 and similarity.tag_links(df.limit(0), "id", "tags").count() == 0
+
+
 def test_cluster_keywords_equal_refit(spark):
     import math
 

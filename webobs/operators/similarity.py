@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,11 +24,11 @@ def classes(docs: DataFrame, id_col: str, items: str) -> DataFrame:
     return d.join(rep, "h").select("id", "rep")
 
 
-def overlap_links(docs: DataFrame, id_col: str, items: str, least: float) -> DataFrame:
-    """(a, b, sim), a < b: pairs of class representatives with sim = |A n B| / (ln(max size) + min size) >= least.
+def overlap_links(docs: DataFrame, id_col: str, items: str, least: float, log: Callable[[Column], Column] = F.log) -> DataFrame:
+    """(a, b, sim), a < b: pairs of class representatives with sim = |A n B| / (log(max size) + min size) >= least.
 
     Exact prefix filtering: items are ordered by rising document frequency. A pair that reaches `least` shares at least
-    k = ceil(least x (ln s + s)) items, s being the smaller size, so some of the s - k + 1 rarest items of the smaller set lie
+    k = ceil(least x (log s + s)) items, s being the smaller size, so some of the s - k + 1 rarest items of the smaller set lie
     in the other one. Those prefixes are joined with all items of sets at least as large, and survivors are verified on
     their whole sets. Sets are arrays of distinct items.
     """
@@ -36,7 +38,7 @@ def overlap_links(docs: DataFrame, id_col: str, items: str, least: float) -> Dat
     t = d.select("id", F.size("s").alias("n"), F.explode("s").alias("item"))
     df = t.groupBy("item").agg(F.count("*").alias("df")).filter("df > 1")
     t = t.join(df, "item")
-    need = F.ceil(least * (F.log("n") + F.col("n")) - 1e-9)
+    need = F.ceil(least * (log(F.col("n")) + F.col("n")) - 1e-9)
     # Items of one document only can't be shared; they come first in the order and use up the prefix.
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
     alone = t.groupBy("id").agg(F.first("n").alias("n1"), F.count("*").alias("shared"))
@@ -44,12 +46,12 @@ def overlap_links(docs: DataFrame, id_col: str, items: str, least: float) -> Dat
     x = pre.select("item", F.col("id").alias("p"), F.col("n").alias("pn"))
     y = t.select("item", F.col("id").alias("q"), F.col("n").alias("qn"))
     big = F.col("qn") >= F.col("pn")
-    could = least * (F.log("qn") + F.col("pn")) <= F.col("pn") + 1e-9
+    could = least * (log(F.col("qn")) + F.col("pn")) <= F.col("pn") + 1e-9
     c = x.join(y, "item").filter(big & could & (F.col("p") != F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     v = c.join(d.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(d.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
-    return v.select("a", "b", (both / (F.log(large) + small)).alias("sim")).filter(F.col("sim") >= least)
+    return v.select("a", "b", (both / (log(large) + small)).alias("sim")).filter(F.col("sim") >= least)
 
 
 def best_match_edges(sims: DataFrame, least: float, extra: float = 0.1) -> DataFrame:
@@ -87,26 +89,97 @@ def sequence_ratio(a: list[str], b: list[str]) -> float:
     return sum(x.size for x in m.get_matching_blocks()) / (min(len(a), len(b)) + math.log2(max(len(a), len(b))))
 
 
-def sequence_ratio_of(a: str, b: str) -> Column:
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([sequence_ratio(p, q) for p, q in zip(x, y)])
+def _could_match(pa: np.ndarray, la: np.ndarray, lb: np.ndarray, tb: np.ndarray, least: float) -> np.ndarray:
+    """Whether pairs may reach `least`: matching blocks are a common subsequence, so its length (by bit vectors) is a bound.
 
-    return run(a, b)
-
-
-def tag_links(docs: DataFrame, id_col: str, tags: str, least: float = 0.8, k: int = 6) -> DataFrame:
-    """(a, b, sim): pairs of distinct tag sequences with sequence_ratio >= least.
-
-    Blocking: a pair must share a run of k tags among the rarest runs of the shorter sequence, as in overlap_links over
-    sets of runs with a quarter of the threshold; pairs that share none are not scored (an option of the method, and the
-    lossy part of it). Equal sequences are one class.
+    pa: for each pair the places of each symbol in its first sequence as bits, tb: its second sequence, padded by a symbol
+    without places; la, lb: lengths, at most 64.
     """
-    from webobs.functions.text import shingle_set
-
-    d = docs.filter(F.size(tags) > 0).select(F.col(id_col).alias("id"), F.col(tags).alias("tags"), F.when(F.size(tags) >= k, shingle_set(F.col(tags), k)).otherwise(F.array(F.array_join(tags, " "))).alias("runs"))
+    v = np.full(len(la), ~np.uint64(0))
+    row = np.arange(len(la))
+    for j in range(tb.shape[1]):
+        u = v & pa[row, tb[:, j]]
+        v = (v + u) | (v - u)
+    low = ~np.uint64(0) >> (64 - la).astype(np.uint64)
+    return np.bitwise_count(~v & low) >= least * (np.minimum(la, lb) + np.log2(np.maximum(la, lb))) - 1e-9
+
+
+def _verified(least: float, width: str, most: int = 100_000):
+    """Scores all pairs of two blocks of sequences: rows of x and y (lists of id and codes) and whether both are one block."""
+
+    def long_enough(x: list[bytes]) -> np.ndarray:
+        return np.array([len(q) for q in x], np.int64) // np.dtype(width).itemsize
+
+    def pairs(x: list[dict], y: list[dict], i: np.ndarray, j: np.ndarray) -> list[tuple]:
+        sx, sy = [q["seq"] for q in x], [q["seq"] for q in y]
+        nx, ny = long_enough(sx), long_enough(sy)
+        small, large = np.minimum(nx[i], ny[j]), np.maximum(nx[i], ny[j])
+        ok = small >= least * (small + np.log2(large)) - 1e-9
+        i, j, large = i[ok], j[ok], large[ok]
+        short = large <= 64
+        keep = ~short
+        if short.any():
+            bits, codes = np.zeros((len(sx), 65), np.uint64), np.full((len(sy), int(ny[ny <= 64].max())), 64)
+            for k in np.flatnonzero(nx <= 64):
+                # Symbols that share a place of this table only make the bound larger.
+                np.bitwise_or.at(bits[k], np.frombuffer(sx[k], width) % 64, np.uint64(1) << np.arange(nx[k]).astype(np.uint64))
+            for k in np.flatnonzero(ny <= 64):
+                codes[k, : ny[k]] = np.frombuffer(sy[k], width) % 64
+            a, b = i[short], j[short]
+            keep[short] = _could_match(bits[a], nx[a], ny[b], codes[b], least)
+        out = []
+        for p, q in zip(i[keep].tolist(), j[keep].tolist()):
+            u, w = (x[p], y[q]) if x[p]["id"] < y[q]["id"] else (y[q], x[p])
+            sim = sequence_ratio(np.frombuffer(u["seq"], width).tolist(), np.frombuffer(w["seq"], width).tolist())
+            if sim >= least:
+                out.append((u["id"], w["id"], sim))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            xs, ys, i, j, n, nx, ny, out = [], [], [], [], 0, 0, 0, []
+            for row in range(t.num_rows):
+                x, y, same = t.column(0)[row].as_py(), t.column(1)[row].as_py(), t.column(2)[row].as_py()
+                p, q = np.triu_indices(len(x), 1) if same else np.indices((len(x), len(y))).reshape(2, -1)
+                xs, ys, i, j = xs + [x], ys + [y], i + [p + nx], j + [q + ny]
+                n, nx, ny = n + len(p), nx + len(x), ny + len(y)
+                if n >= most or row == t.num_rows - 1:
+                    out += pairs([z for x in xs for z in x], [z for y in ys for z in y], np.concatenate(i), np.concatenate(j))
+                    xs, ys, i, j, n, nx, ny = [], [], [], [], 0, 0, 0
+            if out:
+                a, b, sim = zip(*out)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(sim, pa.float64())], ["a", "b", "sim"])
+
+    return run
+
+
+def tag_links(docs: DataFrame, id_col: str, tags: str, least: float = 0.8, block: int = 64) -> DataFrame:
+    """(a, b, sim), a < b: pairs of distinct tag sequences with sequence_ratio >= least.
+
+    No such pair is lost. Matching blocks can't hold more than the tags both sequences have, each as often as in both, so
+    candidates are the pairs whose bags of tags reach `least` (overlap_links over tags numbered by occurrence, with the
+    logarithm to 2). Sequences of equal bags are one class there and split into blocks of about `block`; all pairs of two
+    blocks are verified, first by the length of their longest common subsequence. Equal sequences are one class.
+    """
+    d = docs.filter(F.size(tags) > 0).select(F.col(id_col).alias("id"), F.col(tags).alias("tags"))
     rep = d.groupBy(F.md5(F.encode(F.array_join("tags", " "), "UTF-8"))).agg(F.min("id").alias("id")).select("id")
     d = cut(d.join(rep, "id"))
-    c = overlap_links(d, "id", "runs", least * 0.75)
-    v = c.join(d.select(F.col("id").alias("a"), F.col("tags").alias("ta")), "a").join(d.select(F.col("id").alias("b"), F.col("tags").alias("tb")), "b")
-    return v.select("a", "b", sequence_ratio_of("ta", "tb").alias("sim")).filter(F.col("sim") >= least)
+    code = {r[0]: i for i, r in enumerate(d.select(F.explode("tags")).distinct().collect())}  # one row per kind of tag
+    width = "u1" if len(code) <= 1 << 8 else "u4"
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array([code[x] for x in s], width).tobytes() for s in b.column(1).to_pylist()], pa.binary())], ["id", "seq"])
+
+    times = lambda t: F.size(F.filter("tags", lambda x: x.eqNullSafe(t)))
+    items = F.flatten(F.transform(F.array_distinct("tags"), lambda t: F.transform(F.sequence(F.lit(1), times(t)), lambda i: F.concat_ws(" ", i.cast("string"), t))))
+    bags = cut(d.select("id", items.alias("bag")))
+    cls = classes(bags, "id", "bag")
+    kind = dict(d.dtypes)["id"]
+    count = cls.groupBy("rep").agg(F.count("*").alias("n"))
+    m = d.mapInArrow(coded, f"id {kind}, seq binary").join(cls, "id").join(count, "rep")
+    m = m.groupBy("rep", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / block).cast("long")).alias("no")).agg(F.collect_list(F.struct("id", "seq")).alias("m"))
+    m = stage(m)
+    links = overlap_links(bags, "id", "bag", least, F.log2).select("a", "b").union(count.filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+    c = links.join(m.toDF("a", "na", "x"), "a").join(m.toDF("b", "nb", "y"), "b").filter("a <> b or na <= nb")
+    return c.select("x", "y", F.expr("a = b and na = nb").alias("same")).mapInArrow(_verified(least, width), f"a {kind}, b {kind}, sim double")
