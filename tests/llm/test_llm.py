@@ -210,6 +210,20 @@ def test_boilerplate_and_residue(spark):
     assert rows(bp.boilerplate(empty)) == [] and rows(bp.residue_pages(empty)) == []
 
 
+def test_long_lines_of_a_site(spark):
+    r = random.Random(9)
+    notice = "We and 12 partners keep cookies to measure this looking glass; " + "by staying here you accept our terms and those of our partners, " * 4 + "as of 2020."
+    pages = []
+    for h in range(8):
+        pages += site(r, f"lg.host{chr(97 + h) * 3}.example", 6, start=100 * h)
+    long = lambda: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(60)) + "."
+    pages = [(i, h, "\n".join([t, long(), long(), *([notice.replace("12", str(i))] if i < 100 else [])])) for i, h, t, _ in pages]
+    got = set(rows(bp.boilerplate(bp.stage(bp.judged_lines(bp.featured_pages(spark.createDataFrame(pages, "page_id long, host string, content string")))))))
+    for i, _, t in pages:
+        n = len(t.split("\n"))
+        assert ((i, n - 1) in got) == (i < 100) and (i, n - 2) not in got, i
+
+
 def test_residue_addresses(spark):
     bad = ["http://{{host}}/lg", "https://lg.${DOMAIN}", "http://undefined/lg", "https://x.example/%s", "https://x.example/undefined", "http://x.example/?router={name}", "http://lg.yourdomain.tld/", "http://YOUR_CITY_HERE/", "https://:domain/lg", "http://%(h)s/", "https://lg.[object Object]/", "http://x.example/$city$", "<http://lg.<your-city>/>"]
     good = ["http://x.example/a%7Bb", "<https://lg.x.example/lg>", "[http://x.example]", "telnet://rs.x.example", "https://x.example/null-route", "https://x.example/undefined-behaviour", "http://x.example:8080/?lang=en", "", None, "(https://x.example/?a=1)&v=3", "https://x.example/your-route"]

@@ -24,7 +24,7 @@ from webobs.runtime import stage
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
 
 
-LONGEST = 240  # characters of a line that is judged by its skeleton; longer ones are the site's only by their host's evidence
+LONGEST = 240  # characters of a line that has a shape or may be a trail; longer ones have no shape, which says nothing of them
 
 
 def _tokens(lines: Column) -> Column:
@@ -32,7 +32,7 @@ def _tokens(lines: Column) -> Column:
     trail = r"^\s*([^>›/»|\]]{1,60}?) [>›/»] ([^>›/»]{1,60}?)(?: [>›/»].*)?$"
     stepped = lambda l: (F.length(l) <= LONGEST) & (F.contains(l, F.lit(" > ")) | F.contains(l, F.lit(" › ")) | F.contains(l, F.lit(" / ")) | F.contains(l, F.lit(" » ")))
     m = F.transform(lines, lambda l: F.when(stepped(l), F.regexp_replace(l, trail, "trail $1 $2")).otherwise(F.trim(l)))
-    return F.transform(m, lambda l: F.when(F.length(l) <= LONGEST, F.regexp_replace(l, "[0-9]+", "#")).otherwise(l))
+    return F.transform(m, lambda l: F.regexp_replace(l, "[0-9]+", "#"))
 
 
 def _skeletons(lines: Column, host: Column) -> Column:
@@ -66,7 +66,7 @@ def _shape(l: Column) -> Column:
 
 
 def page_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "content", host_col: str = "host") -> DataFrame:
-    """One row per page with arrays over its lines: no, mk (token), sk (skeleton), sh (shape), and the plain words.
+    """One row per page with arrays over its lines: no, mk (token), sk (skeleton), sh (shape; null for long lines), and the plain words.
 
     Blank lines are left out. Pages with null or blank content have no row. A null host is a host of its own, ''.
     """
@@ -74,13 +74,12 @@ def page_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "content"
     p = df.filter(F.col(id_col).isNotNull() & (F.trim(F.coalesce(text_col, F.lit(""))) != "")).select(F.col(id_col).cast("long").alias("page_id"), host.alias("hname"), may_have_slots(F.col(text_col)).alias("slots"), F.split(F.col(text_col), "\n", -1).alias("raw"))
     p = p.select("page_id", "hname", "slots", F.filter(F.transform("raw", lambda l, i: F.struct(i.alias("no"), l.alias("l"))), lambda x: x["l"].rlike(r"\S")).alias("x"))
     h = F.col("hname")
-    short = F.transform("x.l", lambda l: F.when(F.length(l) <= LONGEST, l).otherwise(F.lit("a long line.")))
     return p.filter(F.size("x") > 0).select(
         "page_id", F.xxhash64("hname").alias("host"),
         F.transform("x", lambda x: x["no"]).alias("no"),
         F.transform(_tokens(F.col("x.l")), lambda l: F.xxhash64(l)).alias("mk"),
-        F.transform(_skeletons(short, h), lambda l: F.xxhash64(l)).alias("sk"),
-        F.transform(short, lambda l: F.xxhash64(_shape(l))).alias("sh"),
+        F.transform(_skeletons(F.col("x.l"), h), lambda l: F.xxhash64(l)).alias("sk"),
+        F.transform("x.l", lambda l: F.when(F.length(l) <= LONGEST, F.xxhash64(_shape(l)))).alias("sh"),
         F.transform("x", lambda x: plain(x["l"], h, F.col("slots"))).alias("plain"),
     )
 
