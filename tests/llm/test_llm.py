@@ -224,6 +224,28 @@ def test_long_lines_of_a_site(spark):
         assert ((i, n - 1) in got) == (i < 100) and (i, n - 2) not in got, i
 
 
+def test_prefilters_lose_no_residue(spark):
+    texts = ["[Insert name here]", "The [Logo Goes Here]", "Todo: text", "&LT;your name&gt;", "Hello {{x}}", "No mark at all", None]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, t string")
+    got = t.select("id", residue.may_have_slots(F.col("t")).alias("may"), residue.slots_to_words(F.col("t")).contains("phslot").alias("has")).orderBy("id").collect()
+    assert [r["has"] for r in got] == [True] * 5 + [False, None] and all(r["may"] for r in got[:5])
+    index = residue.Index(residue.EXEMPLARS)
+    r = np.random.default_rng(1)
+    idf = r.uniform(0.1, 12, len(index.vocab))
+    at = index.ids(Words(pa.array(["error 500"]), lower=True).hashes(1)[1])
+    err = at[at >= 0][0]
+    n = np.array([12, 9, 24, 24, 6, 60])
+    voc = r.choice([-2, -1, *range(40)], int(n.sum()), p=[0.5, 0.3, *[0.2 / 40] * 40])
+    voc[:12] = [err] + [residue.FREE] * 11  # 'Error' and numbers: 1 of 12 words, containment 1
+    for other in (0.5, 4.0):
+        got = residue.line_scorer(index, idf, other)(n, voc)
+        assert got[0] == 12
+        first = np.r_[0, np.cumsum(n)]
+        for i in range(5):  # lines of one window
+            at = voc[first[i] : first[i + 1]]
+            assert got[i] == n[i] * (index.score(at, np.zeros(n[i], int), 1, idf, other, 0.4)[0] >= 0.45)
+
+
 def test_residue_addresses(spark):
     bad = ["http://{{host}}/lg", "https://lg.${DOMAIN}", "http://undefined/lg", "https://x.example/%s", "https://x.example/undefined", "http://x.example/?router={name}", "http://lg.yourdomain.tld/", "http://YOUR_CITY_HERE/", "https://:domain/lg", "http://%(h)s/", "https://lg.[object Object]/", "http://x.example/$city$", "<http://lg.<your-city>/>"]
     good = ["http://x.example/a%7Bb", "<https://lg.x.example/lg>", "[http://x.example]", "telnet://rs.x.example", "https://x.example/null-route", "https://x.example/undefined-behaviour", "http://x.example:8080/?lang=en", "", None, "(https://x.example/?a=1)&v=3", "https://x.example/your-route"]

@@ -54,8 +54,10 @@ _SLOT = (
 
 def may_have_slots(text: Column) -> Column:
     """A cheap test of a whole text: false only if no line of it holds a placeholder."""
-    marks = [F.contains(text, F.lit(m)) for m in ("{", "$", "%", "<", "&lt;", "@@", "__", "[[", "[insert ", "[INSERT ", "goes here]", "GOES HERE]", "TODO: ", "todo: ")]
-    return reduce(lambda x, y: x | y, marks) | text.rlike(r"(?<![\w:]):[A-Za-z_]\w*:(?![\w:])")
+    marks = [F.contains(text, F.lit(m)) for m in ("{", "$", "%", "<", "@@", "__", "[[")]
+    # Words of a mark are found in any case; bound as a lambda's variable, so that the text is lowered once.
+    words = F.transform(F.array(F.lower(text)), lambda l: reduce(lambda x, y: x | y, [F.contains(l, F.lit(m)) for m in ("&lt;", "[insert ", "goes here]", "todo: ")]))[0]
+    return reduce(lambda x, y: x | y, marks) | words | text.rlike(r"(?<![\w:]):[A-Za-z_]\w*:(?![\w:])")
 
 
 def slots_to_words(c: Column) -> Column:
@@ -162,9 +164,11 @@ def line_scorer(index: Index, idf: np.ndarray, other: float, window: int = 24, l
         lo = first[:-1][line] + j * step
         hi = np.minimum(lo + window, first[1:][line])
         size = np.maximum(hi - lo, 0)
-        # Windows with under a fifth of their words in the vocabulary can't reach `least` and are passed over.
-        inv = np.concatenate([[0], np.cumsum(voc >= 0)])
-        maybe = np.flatnonzero((inv[hi] - inv[lo]) * 5 >= size)
+        # No exemplar holds more than all words of the vocabulary in a window; windows that can't reach `least` so are passed over.
+        known = np.concatenate([[0], np.cumsum(np.where(voc >= 0, idf[np.maximum(voc, 0)], 0.0))])
+        rest = np.concatenate([[0], np.cumsum(voc == -1)])
+        known, rest = known[hi] - known[lo], rest[hi] - rest[lo]
+        maybe = np.flatnonzero(known >= least * (known + other * rest) - 1e-6)
         sz = size[maybe]
         at = np.arange(sz.sum()) - np.repeat(np.cumsum(sz) - sz, sz) + np.repeat(lo[maybe], sz)
         ok = maybe[index.score(voc[at], np.repeat(np.arange(len(maybe)), sz), len(maybe), idf, other, cover) >= least]
