@@ -246,6 +246,12 @@ def test_prefilters_lose_no_residue(spark):
             assert got[i] == n[i] * (index.score(at, np.zeros(n[i], int), 1, idf, other, 0.4)[0] >= 0.45)
 
 
+def test_one_line_of_very_many_words(spark):
+    df = spark.createDataFrame([(1, "a.example", "word " * 40_000), (2, "a.example", "404 Not Found")], "page_id long, host string, content string")
+    j = bp.stage(bp.judged_lines(bp.featured_pages(df)))
+    assert [tuple(r) for r in j.orderBy("page_id").select("page_id", "nw").collect()] == [(1, 40_000), (2, 3)] and rows(bp.residue_pages(j)) == [(2,)]
+
+
 def test_residue_addresses(spark):
     bad = ["http://{{host}}/lg", "https://lg.${DOMAIN}", "http://undefined/lg", "https://x.example/%s", "https://x.example/undefined", "http://x.example/?router={name}", "http://lg.yourdomain.tld/", "http://YOUR_CITY_HERE/", "https://:domain/lg", "http://%(h)s/", "https://lg.[object Object]/", "http://x.example/$city$", "<http://lg.<your-city>/>"]
     good = ["http://x.example/a%7Bb", "<https://lg.x.example/lg>", "[http://x.example]", "telnet://rs.x.example", "https://x.example/null-route", "https://x.example/undefined-behaviour", "http://x.example:8080/?lang=en", "", None, "(https://x.example/?a=1)&v=3", "https://x.example/your-route"]

@@ -155,7 +155,7 @@ def judged_lines(pages: DataFrame, least_prior: int = 4) -> DataFrame:
     inside = F.size(F.array_intersect("mk", "root")) >= 0.6 * F.size("root")
     j = pages.join(t, "host", "left").withColumn("strong", F.coalesce(inside, F.lit(False)))
     j = j.select("page_id", "host", "n_root", "strong", F.explode(F.arrays_zip("no", "mk", "sk", "sh", "nw", "rs")).alias("x"), "tokens")
-    lines = stage(j.select("page_id", "host", "n_root", "strong", "x.no", "x.sk", "x.sh", F.col("x.nw").cast("short").alias("nw"), F.col("x.rs").cast("short").alias("rs"), F.coalesce(F.array_contains("tokens", F.col("x.mk")) & F.col("strong"), F.lit(False)).alias("hit")))
+    lines = stage(j.select("page_id", "host", "n_root", "strong", "x.no", "x.sk", "x.sh", "x.nw", "x.rs", F.coalesce(F.array_contains("tokens", F.col("x.mk")) & F.col("strong"), F.lit(False)).alias("hit")))
     sure = lines.filter("strong and n_root >= 4")
     skel = sure.groupBy("sk").agg(F.avg(F.col("hit").cast("double")).alias("p1"), F.count("*").alias("n1"), F.approx_count_distinct("host").alias("h1")).filter(F.col("n1") >= least_prior)
     shape = sure.groupBy("sh").agg(F.avg(F.col("hit").cast("double")).alias("p2"))
