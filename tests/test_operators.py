@@ -169,6 +169,13 @@ def test_greedy_sites_and_places():
     assert anycast.place_of(pts)[3] == 2 and anycast.place_of(pts[2:])[3] == 3
 
 
+def test_located_sites_count_vantages(spark):
+    at = {v: (10.0, 20.0) for v in range(30)} | {40: (50.0, 1.0), 41: (50.1, 1.0)}
+    g = spark.createDataFrame([("d", v, 1, 0.5 if v == 40 else 1.0 + v / 100) for v in at], "dest string, vantage long, site long, rtt double")
+    v = spark.createDataFrame([(v, y, x) for v, (y, x) in at.items()], "vantage long, lat double, lon double")
+    assert rows(anycast.located_sites(g, v, "dest")) == [("d", 1, 32, 0, 10.0, 20.0)]
+
+
 def test_site_groups_follow_order(spark):
     e = spark.createDataFrame([("d", 1, 10), ("d", 2, 20), ("d", 3, 10), ("d", 3, 20), ("e", 9, 10), ("e", 9, None)], "dest string, v long, net long")
     assert rows(anycast.site_groups(e, "dest", "v", "net")) == [("d", 1, 1), ("d", 2, 2), ("d", 3, 1), ("e", 9, 9)]

@@ -88,31 +88,33 @@ def greedy_places(points: list[tuple], km: float = 100.0) -> list[int]:
 
 
 def place_of(points: list[tuple], km: float = 100.0) -> tuple:
-    """Of (lat, lon, rtt, id) points: the one with the least rtt in the largest greedy cluster (the first of equals)."""
+    """Of (lat, lon, rtt, id[, vantages]) points: the one with the least rtt in the cluster of most vantages (the first of equals)."""
     if len(points) == 1:
         return points[0]
     k = greedy_places(points, km)
-    size = {c: k.count(c) for c in dict.fromkeys(k)}
+    size = dict.fromkeys(k, 0)
+    for p, c in zip(points, k):
+        size[c] += p[4] if len(p) > 4 else 1
     best = max(size, key=lambda c: (size[c], -c))
     return min((p for p, c in zip(points, k) if c == best), key=lambda p: (p[2], p[3]))
 
 
-def located_sites(groups: DataFrame, vantages: DataFrame, dest: str, near_ms: float = 3.0, most: int = 500) -> DataFrame:
+def located_sites(groups: DataFrame, vantages: DataFrame, dest: str, near_ms: float = 3.0) -> DataFrame:
     """(dest, site, n_vantages, near_id, lat, lon): where a site lies, by vantages within near_ms of it (J08 on these).
 
-    groups: (dest, vantage, site, rtt); vantages: (vantage, lat, lon). Only vantages within near_ms decide; more than `most`
-    of one site are thinned to one per 0.01 degrees with the least rtt first, which keeps every cluster and its minimum.
+    groups: (dest, vantage, site, rtt); vantages: (vantage, lat, lon). Only vantages within near_ms decide. Those of equal
+    coordinates are one point, which has their number, the place of their first in the order and their least rtt.
     """
     g = groups.join(vantages, "vantage").filter("rtt <= {} and lat is not null and lon is not null".format(near_ms))
-    cell = g.groupBy(dest, "site", F.round("lat", 2).alias("cy"), F.round("lon", 2).alias("cx")).agg(F.min(F.struct("rtt", "vantage", "lat", "lon")).alias("m"), F.count("*").alias("c"))
+    point = g.groupBy(dest, "site", "lat", "lon").agg(F.min(F.struct("rtt", "vantage")).alias("m"), F.min("vantage").alias("first"), F.count("*").alias("c"))
     kinds = dict(groups.dtypes)
 
     def run(x: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted(((r["lat"], r["lon"], r["rtt"], r["vantage"]) for r in x["m"]), key=lambda p: p[3])
-        p = place_of(pts)
+        x = x.sort_values("first")
+        p = place_of([(y, z, m["rtt"], m["vantage"], c) for y, z, m, c in zip(x["lat"], x["lon"], x["m"], x["c"])])
         return pd.DataFrame({dest: [x[dest].iloc[0]], "site": [x["site"].iloc[0]], "n_vantages": [int(x["c"].sum())], "near_id": [p[3]], "lat": [p[0]], "lon": [p[1]]})
 
-    return cell.groupBy(dest, "site").applyInPandas(run, f"{dest} {kinds[dest]}, site {kinds['site']}, n_vantages long, near_id {kinds['vantage']}, lat double, lon double")
+    return point.groupBy(dest, "site").applyInPandas(run, f"{dest} {kinds[dest]}, site {kinds['site']}, n_vantages long, near_id {kinds['vantage']}, lat double, lon double")
 
 
 def hostnames(hops: DataFrame) -> DataFrame:
