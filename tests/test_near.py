@@ -61,3 +61,11 @@ def test_regions(spark):
     small = near.locate_in_regions(pts, "id", regs, "region", "ring", block=2)
     assert {tuple(r) for r in small.collect()} == got
     assert near.locate_in_regions(pts.limit(0), "id", regs, "region", "ring").count() == 0
+
+
+def test_regions_across_180_degrees(spark):
+    ring = lambda y, x, r: [(y + r, x), (y, x + r), (y - r, x), (y, x - r)]
+    regs = spark.createDataFrame([(1, ring(0.5, 179.0, 4.0)), (2, ring(-10.5, -178.0, 4.0)), (3, ring(0.5, 10.0, 4.0))], "region long, ring array<struct<lat:double,lon:double>>")
+    pts = spark.createDataFrame([(1, 0.5, 178.0), (2, 0.5, -179.0), (3, 0.5, -176.0), (4, -10.4, 179.0), (5, -10.4, -179.5), (6, 0.4, 11.0), (7, 0.4, 180.0), (8, 0.4, -180.0)], "id long, latitude double, longitude double")
+    got = sorted(tuple(r) for r in near.locate_in_regions(pts, "id", regs, "region", "ring").collect())
+    assert got == [(1, 1), (2, 1), (4, 2), (5, 2), (6, 3), (7, 1), (8, 1)]

@@ -171,8 +171,8 @@ def near_pairs(df: DataFrame, id_col: str, lat: str = "latitude", lon: str = "lo
 def locate_in_regions(points: DataFrame, id_col: str, regions: DataFrame, region_col: str, ring_col: str, lat: str = "latitude", lon: str = "longitude", slab: float = 1.0, block: int = 50_000) -> DataFrame:
     """(point id, region): regions whose polygon holds the point.
 
-    regions has one row per polygon with ring_col: array<struct<lat, lon>>, a simple ring in degrees that doesn't cross
-    180 degrees; points on an edge count as inside for lower and left edges only. Every boundary edge is cut at slab borders;
+    regions has one row per polygon with ring_col: array<struct<lat, lon>>, a simple ring in degrees; one that crosses 180
+    degrees goes on beyond it (181 for -179), and points meet it at their longitude and at that a turn east and west. Points on an edge count as inside for lower and left edges only. Every boundary edge is cut at slab borders;
     a point meets the edges of its slab, ordered by longitude, and lies inside where an odd number of edges of the
     region lies left of it. Rings of under three corners hold nothing.
     """
@@ -185,7 +185,12 @@ def locate_in_regions(points: DataFrame, id_col: str, regions: DataFrame, region
         *(F.when(F.col("a.lat") <= F.col("b.lat"), F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(f"{c}1") for c in ("lat", "lon")),
     ).filter("lat0 < lat1")
     edges = edges.withColumn("slab", F.explode(F.sequence(F.floor(F.col("lat0") / slab), F.floor(F.col("lat1") / slab))))
-    pts = points.filter(valid_point(lat, lon)).select(F.col(id_col).alias("id"), F.col(lat).alias("y"), F.col(lon).alias("x")).withColumn("slab", F.floor(F.col("y") / slab))
+    # Points get a turn more or less only where rings lie beyond 180 degrees; -180 and 180 are one meridian, so rings that touch it count.
+    far = edges.agg(F.min(F.least("lon0", "lon1")), F.max(F.greatest("lon0", "lon1"))).first()
+    low, high = (far[0], far[1]) if far[0] is not None else (0.0, 0.0)
+    x = F.col(lon)
+    turns = F.filter(F.array(x, x - 360, x + 360), lambda v: (v == x) | v.between(low, high))
+    pts = points.filter(valid_point(lat, lon)).select(F.col(id_col).alias("id"), F.col(lat).alias("y"), F.explode(turns).alias("x")).withColumn("slab", F.floor(F.col("y") / slab))
 
     def inside(key, ed, pt):
         import pandas as pd
@@ -220,4 +225,5 @@ def locate_in_regions(points: DataFrame, id_col: str, regions: DataFrame, region
     pts = pts.join(n, "slab").select("id", "y", "x", "slab", of("id", "kp").alias("bp"), every("ke").alias("be"))
     edges = edges.join(n, "slab").select("region", "lat0", "lon0", "lat1", "lon1", "slab", of("region", "ke").alias("be"), every("kp").alias("bp"))
     kinds = dict(pts.dtypes) | dict(edges.dtypes)
-    return edges.groupBy("slab", "bp", "be").cogroup(pts.groupBy("slab", "bp", "be")).applyInPandas(inside, f"id {kinds['id']}, region {kinds['region']}")
+    got = edges.groupBy("slab", "bp", "be").cogroup(pts.groupBy("slab", "bp", "be")).applyInPandas(inside, f"id {kinds['id']}, region {kinds['region']}")
+    return got.distinct() if low <= -180 or high >= 180 else got  # a point may meet a ring at two of its longitudes
