@@ -1,4 +1,4 @@
-"""Matching organisations across two tables without a key (problem 1): BM25 retrieval, mutual nearest, calibrated confidence."""
+"""Matching organisations across two tables without a key (problem 1): BM25 retrieval, nearest of one side, calibrated confidence."""
 
 from __future__ import annotations
 
@@ -125,7 +125,8 @@ def match(orgs: DataFrame, nets: DataFrame, sample: int = 20_000) -> DataFrame:
     org forms; a pair counts when
     - their stems agree by name (or, for initials, by site or number), and their lines of business don't contradict;
     - where one side names no line of business, the stem stands for one line only, or the number decides;
-    - a stem that is equal only but for an edit must be mutually nearest: no candidate of either side scores better.
+    - a stem that is equal only but for an edit must be nearest for one side: no candidate of that side scores better. The
+      other side may have better ones, as rows of one organisation in other spellings, with which all pairs count.
     Confidence is a logistic function of the score and of its gap to the best other stem, fitted on at most `sample`
     retrieved pairs; their label is whether two of name, site and number agree and the lines of business don't contradict. Empty and null names match nothing.
     """
