@@ -171,6 +171,16 @@ def test_matching(spark):
     assert rows(match.match(a.limit(0), n)) == [] and rows(match.match(a, n.limit(0))) == []
 
 
+def test_matching_of_an_organisation_of_many_forms(spark):
+    a = spark.createDataFrame([(i, str(64500 + i), f"Zorbatel {x}{y}qua Networks GmbH") for i, (x, y) in enumerate(itertools.islice(itertools.product("bdfgklmn", "aeiouyrs"), 60))], "as_id long, asn string, orgname string")
+    n = spark.createDataFrame([(100, "Zorbatel Networks", None, None), (101, "Bazotrel Networks", None, None)], "net_id long, name string, asn long, website string")
+    assert [(x, y) for x, y, _ in rows(match.match(a, n))] == [(i, 100) for i in range(60)]
+    left = spark.createDataFrame([(1, 7, "x", "name"), (2, 7, "d", "name"), (2, 8, "x", "site")], "id long, token long, kind string, field string")
+    right = spark.createDataFrame([(i, 7) for i in range(70)] + [(5, 8)], "id long, token long")
+    one, many = (rows(match.candidates(left, right, block=k)) for k in (1000, 4))
+    assert [x[:2] for x in one] == [(l, r) for l in (1, 2) for r in range(70)] and [x[:2] + x[3:] for x in one] == [x[:2] + x[3:] for x in many]
+
+
 # ---- 2 and 3: template and residue ----
 def site(r, host, n, lang="en", start=0, furniture=True):
     org = host.split(".")[1].capitalize()

@@ -85,12 +85,12 @@ def _one(k: str, c: Column, field: str) -> Column:
     return F.when(c.isNotNull(), F.array(F.struct(F.concat(F.lit(k + ":"), c.cast("string")).alias("token"), F.lit(field).alias("field")))).otherwise(F.array().cast("array<struct<token:string,field:string>>"))
 
 
-def candidates(left: DataFrame, right: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def candidates(left: DataFrame, right: DataFrame, k1: float = 1.2, b: float = 0.75, block: int = 1000) -> DataFrame:
     """(l, r, score, name, site, initials, asn): BM25 over the tokens of all attributes, by inverted index.
 
-    left: (id, token, kind, field), right: (id, token); both without repeats, token being a hash of kind and text. A token in more than a thousandth of the indexed
-    records (at least 50) is a stop token: it says so little that it is part of no score, and its posting list is never read,
-    so no list that is joined grows in proportion to the table squared. Within this score candidates are exact: every
+    left: (id, token, kind, field), right: (id, token); both without repeats, token being a hash of kind and text. No token
+    is left out; the posting list of a frequent one is split into parts of about `block` records, each of which meets all
+    records of the left with that token, so that no task has a hot token to itself. Candidates are exact: every
     record that shares a token is scored. name and site are 2 for an equal stem and 1 for one within an edit; the rest are 0 or 1.
     """
     r = right.select(F.col("id").alias("r"), "token")
@@ -98,12 +98,12 @@ def candidates(left: DataFrame, right: DataFrame, k1: float = 1.2, b: float = 0.
     size = r.groupBy("r").agg(F.count("*").alias("len"))
     n, avg = size.agg(F.count("*"), F.avg("len")).first()
     n, avg = n or 0, avg or 1.0
-    df = r.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max(50, n // 1000))
-    post = r.join(df, "token").join(size, "r").withColumn("w", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.lit(avg)))).select("r", "token", "w")
-    q = left.select(F.col("id").alias("l"), "token", "kind", "field")
+    df = r.groupBy("token").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / block).cast("long"))
+    post = r.join(df, "token").join(size, "r").withColumn("w", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.lit(avg)))).select("r", "token", F.pmod(F.xxhash64("r"), F.col("parts")).alias("part"), "w")
+    q = left.select(F.col("id").alias("l"), "token", "kind", "field").join(df, "token").select("l", "token", "kind", "field", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     kind = F.col("kind")
     level = lambda f: F.max(F.when((F.col("field") == f) & (kind == "x"), 2).when((F.col("field") == f) & (kind == "d"), 1).otherwise(0))
-    once = q.join(post, "token").groupBy("l", "r", "token").agg(F.first("w").alias("w"), *[level(f).alias(f) for f in ("name", "site")], F.max((F.col("field") == "initials").cast("int")).alias("initials"), F.max((F.col("field") == "asn").cast("int")).alias("asn"))
+    once = q.join(post, ["token", "part"]).groupBy("l", "r", "token").agg(F.first("w").alias("w"), *[level(f).alias(f) for f in ("name", "site")], F.max((F.col("field") == "initials").cast("int")).alias("initials"), F.max((F.col("field") == "asn").cast("int")).alias("asn"))
     return once.groupBy("l", "r").agg(F.sum("w").alias("score"), *[F.max(x).alias(x) for x in ("name", "site", "initials", "asn")])
 
 
