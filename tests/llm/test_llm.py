@@ -301,38 +301,90 @@ def test_mixture(spark):
 
 
 # ---- 9: splitting ----
-def test_split(spark):
+def split_texts():
     r = random.Random(5)
     para = lambda n: " ".join("word" + str(r.randrange(99)) for _ in range(n)) + ". "
-    texts = {
+    return {
         1: "\n\n".join(para(12) for _ in range(60)), 2: para(5), 3: "x" * 3000, 4: "链路切换查询结果" * 300, 5: None, 6: "", 7: "a" * 700 + " " + para(200), 8: "\n".join(para(9) for _ in range(80)), 9: "0123456789" * 300,
-        10: "".join(r.choice("ab ,.\n😀é1") for _ in range(5000)),
+        10: "".join(r.choice("ab ,.\n😀é1'") for _ in range(5000)), 13: "a'sb" * 900, 14: " " * 900 + "\n" * 900 + "b" * 20, 15: "-" * 6400, 16: "链路。切换！" * 300,
     }
-    d = spark.createDataFrame([(k, t, "s" if k < 10 else "u") for k, t in texts.items()] + [(11, texts[1], None), (12, texts[1], "none")], "doc_id long, text string, source string").withColumn("start", F.lit("clash"))
-    plan = spark.createDataFrame([("s", 100, 20), ("u", 64, 0)], "source string, max_tokens int, overlap_tokens int")
+
+
+def check_pieces(ps, t, most, over):
+    """Pieces of one text: limits, cover, numbers, overlap, counts on each piece."""
+    size = tokens.sizes()
+    ps.sort(key=lambda x: x["piece_no"])
+    assert ps[0]["start"] == 0 and ps[-1]["end"] == len(t) and ps[-1]["cut"] == "end" and [x["piece_no"] for x in ps] == list(range(len(ps)))
+    for x in ps:
+        assert x["text"] == t[x["start"] : x["end"]] and size.count(x["text"]) == x["n_tokens"] <= most
+    for a, b in zip(ps, ps[1:]):
+        assert a["start"] < b["start"] <= a["end"] < b["end"] and a["cut"] in split.CUTS
+        assert (b["start"] == a["end"]) if not over else size.count(t[b["start"] : a["end"]]) <= min(over, most // 2) + 8
+
+
+@pytest.mark.parametrize("most", [4, 5, 16, 20, 33, 64, 512, 12000])
+def test_packer_keeps_limits(most):
     size = tokens.sizes()
-    count = lambda t: len(size.code.encode_ordinary(t))
-    for width in (200_000, 500):
+    for over in (0, most // 5, most):
+        for k, t in (split_texts() | {20: "-" * 200_001, 21: "链路切换" * 9000}).items():
+            if not t:
+                continue
+            p = split.Packer(most, over, size)
+            p.feed(t, split.units(t, "", size, most))
+            got = list(p.pieces(True))
+            check_pieces([{"piece_no": i, "start": x[0], "end": x[1], "n_tokens": x[2], "cut": x[3], "text": x[4]} for i, x in enumerate(got)], t, most, over)
+            if not over and most >= 64 and k in (3, 4, 9, 15, 20, 21) and len(got) > 1:
+                assert sum(x[2] for x in got[:-1]) > 0.8 * most * (len(got) - 1)  # texts without cuts are filled
+
+
+def test_split(spark):
+    texts = split_texts()
+    d = spark.createDataFrame([(k, t, "s" if k < 10 else "u") for k, t in texts.items()] + [(11, texts[1], None), (12, texts[1], "none"), (None, texts[1], "s")], "doc_id long, text string, source string").withColumn("start", F.lit("clash")).withColumn("uid", F.lit(1))
+    plan = spark.createDataFrame([("s", 100, 20), ("u", 64, 0), ("t", 200_000, None)], "source string, max_tokens int, overlap_tokens int")
+    count = tokens.sizes().count
+    for width, halo, block in ((1 << 16, 1 << 12, 32), (500, 200, 2), (300, 16, 4)):  # the others in many ranges, with runs through their borders
         by = {}
-        for x in split.pieces(d, plan, width=width).collect():
+        for x in split.pieces(d, plan, width=width, halo=halo, block=block).collect():
             by.setdefault(x["doc_id"], []).append(x)
         assert set(by) == {k for k, t in texts.items() if t and count(t) > (100 if k < 10 else 64)}
         for k, ps in by.items():
-            ps.sort(key=lambda x: x["piece_no"])
-            t, most, over = texts[k], 100 if k < 10 else 64, 20 if k < 10 else 0
-            assert ps[0]["start"] == 0 and ps[-1]["end"] == len(t) and [x["piece_no"] for x in ps] == list(range(len(ps)))
-            for x in ps:
-                assert x["text"] == t[x["start"] : x["end"]] and count(x["text"]) == x["n_tokens"] <= most
-            for a, b in zip(ps, ps[1:]):
-                assert a["start"] < b["start"] <= a["end"] < b["end"]
-                assert (b["start"] == a["end"]) if not over else True
-        assert {x["cut"] for x in by[1]} <= {"paragraph", "sentence", "line", "end"}
+            check_pieces(ps, texts[k], 100 if k < 10 else 64, 20 if k < 10 else 0)
+        assert halo < 100 or {x["cut"] for x in by[1]} <= {"paragraph", "sentence", "line", "end"}
     assert split.pieces(d.limit(0), plan).count() == 0 and split.pieces(d, plan.limit(0)).count() == 0
+    twice = d.filter("doc_id in (1, 4)")
+    assert rows(split.pieces(twice.union(twice), plan, width=500).groupBy("doc_id", "piece_no").count().select("count").distinct()) == [(2,)]
+    with pytest.raises(ValueError):
+        split.pieces(d, spark.createDataFrame([("s", 3, 0)], plan.schema))
+
+
+def test_texts_within_their_limit_are_not_cut(spark):
+    dashes = "-" * 200_001  # 3126 tokens, in one run through all borders
+    assert tokens.sizes().count(dashes) == 3126
+    d = spark.createDataFrame([(1, dashes), (2, "链路" * 50_000)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    plan = lambda n: spark.createDataFrame([("s", n, 10)], "source string, max_tokens int, overlap_tokens int")
+    assert rows(split.pieces(d, plan(12_000)).select("doc_id").distinct()) == [(2,)] and split.pieces(d, plan(3126)).filter("doc_id = 1").count() == 0
+    got = [x.asDict() for x in split.pieces(d, plan(3125)).filter("doc_id = 1").collect()]
+    check_pieces(got, dashes, 3125, 10)
+    assert len(got) == 2
+
+
+def test_split_files(spark, tmp_path):
+    r = random.Random(6)
+    texts = {"a.txt": "\n".join(" ".join(f"wörd{r.randrange(99)}" for _ in range(20)) + "." for _ in range(900)), "b.txt": "short", "c.txt": "链" * 9000, "d.txt": ""}
+    for n, t in texts.items():
+        (tmp_path / n).write_text(t, encoding="utf-8")
+    got = split.file_pieces(spark, str(tmp_path / "*.txt"), 200, 30, width=4096, halo=256, block=4).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x["path"].rsplit("/", 1)[1], []).append(x)
+    assert set(by) == {"a.txt", "c.txt"}
+    for n, ps in by.items():
+        check_pieces(ps, texts[n], 200, 30)
 
 
 def test_token_counts_add_up():
     size = tokens.sizes()
     for t in ("Hello  world\n\n it's 12,5 ms", "链路 a　b", "x" * 100, " \n \t", "don't we'll"):
         assert size.count(t) == len(size.code.encode_ordinary(t))
-        c, n, k = split.boundaries(t, tokens.DEFAULT)
-        assert sum(c) == len(t) and sum(n) >= size.count(t) and len(k) == len(c)
+        c, n, _ = split.units(t, "", size, 512)
+        assert sum(c) == len(t) and sum(n) == size.count(t)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +30,12 @@ class Sizes(dict):
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.code = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.pieces = regex.compile(PATTERN).findall
+        self.width = np.zeros(max(ranks.values()) + 1, np.int64)  # bytes of each token
+        self.width[list(ranks.values())] = [len(t) for t in ranks]
+        self.longest = int(self.width.max())
 
     def __missing__(self, piece: str) -> int:
-        n = len(self.code._encode_single_piece(piece))
+        n = len(self.code.encode_ordinary(piece))
         if len(piece) <= 40:
             if len(self) > self.MOST:
                 self.clear()
@@ -43,11 +48,27 @@ class Sizes(dict):
 
 @lru_cache(maxsize=4)
 def sizes(path: str = DEFAULT) -> Sizes:
+    """The sizes of a vocabulary file: of that path, or of that name among the files shipped with the application."""
+    if not os.path.exists(path):
+        from pyspark import SparkFiles
+
+        path = SparkFiles.get(os.path.basename(path))
     return Sizes(path)
 
 
+def ship_vocabulary(spark, path: str = DEFAULT) -> None:
+    """Give the vocabulary file to all executors, so that it need not lie on their disks. Once per application."""
+    sc = spark.sparkContext
+    done = getattr(sc, "_webobs_vocabularies", set())
+    if path not in done and os.path.exists(path):
+        sc.addFile(os.path.realpath(path))
+        if os.path.basename(os.path.realpath(path)) == os.path.basename(path):
+            sc._webobs_vocabularies = done | {path}
+
+
 def with_tokens(df: DataFrame, text: str, path: str = DEFAULT, name: str = "n_tokens") -> DataFrame:
     """df without its text column, with the number of tokens of the whole text; 0 for null and empty texts."""
+    ship_vocabulary(df.sparkSession, path)
     rest = [c for c in df.columns if c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,5 +79,3 @@ def with_tokens(df: DataFrame, text: str, path: str = DEFAULT, name: str = "n_to
 
     kinds = dict(df.dtypes)
     return df.select(*rest, F.col(text)).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"`{name}` bigint"]))
-
-
