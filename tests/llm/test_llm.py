@@ -127,6 +127,49 @@ def test_probminhash_estimates_weighted_similarity():
     assert abs((sig[0] == sig[1]).mean() - want) < 0.03 and not sig[2].any()
 
 
+def test_hot_buckets_and_short_texts_make_few_pairs(spark, monkeypatch):
+    r = random.Random(12)
+    frame = [f"frame{i}" for i in range(60)]  # shared by all: two of them have a similarity of about 0.5
+    unlike = [(i, " ".join([*frame, *(f"u{i}x{j}" for j in range(30))])) for i in range(1500)]
+    like = [(5000 + i, " ".join([*frame, *(f"same{j}" for j in range(30)), f"z{i}"])) for i in range(300)]
+    short = [(10_000 + i, f"two w{i}") for i in range(1500)]
+    short += [(20_000, "two w5"), (20_001, "word")]
+    r.shuffle(data := unlike + like + short)
+    df = spark.createDataFrame(data, "page_id long, content string")
+    made, real = [], neardup.verify
+    monkeypatch.setattr(neardup, "verify", lambda p, *a, **k: (made.append(p.count()), real(p, *a, **k))[1])
+    got = dict(rows(neardup.near_duplicates(df, "page_id", "content", 3, 0.7)))
+    assert {got[i] for i, _ in like} == {5000} and all(got[i] == i for i, _ in unlike) and got[20_000] == 10_005 and len(set(got.values())) == 1500 + 1 + 1501
+    assert sum(made) < 30 * len(data)
+
+
+def test_probability_jaccard_and_counted_runs(spark):
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        x, y = r.integers(0, 4, 30).astype(float), r.integers(0, 4, 30).astype(float)
+        want = sum(1 / sum(max(x[j] / x[i], y[j] / y[i]) for j in range(30)) for i in range(30) if x[i] and y[i])
+        assert abs(neardup.probability_jaccard(x, y) - want) < 1e-9
+    a = " ".join(f"w{i}" for i in range(40))
+    data = [(1, a), (2, a + " w0" * 3), (3, a + " w0" * 400), (4, a.replace("w7 ", "q "))]
+    df = spark.createDataFrame(data, "page_id long, content string")
+    assert rows(neardup.near_duplicates(df, "page_id", "content", 1, 0.8, counted=True)) == [(1, 1), (2, 1), (3, 3), (4, 1)]
+    assert rows(neardup.near_duplicates(df, "page_id", "content", 1, 0.8)) == [(i, 1) for i in range(1, 5)]
+    many = [(i, a if i % 2 else a.replace("w1", "v1").replace("w2", "v2") + f" x{i}") for i in range(60)]
+    df = spark.createDataFrame(many, "page_id long, content string")
+    assert {g for _, g in rows(neardup.near_duplicates(df, "page_id", "content", 1, 0.8, counted=True, small=2))} == {0, 1}
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    r = random.Random(13)
+    base = [[f"b{k}w{i}" for i in range(50)] for k in range(4)]
+    data = [(i, " ".join(edited(r, base[i % 4], r.randrange(0, 12))), i if i % 3 else i % 4) for i in range(200)]
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t, _ in data}
+    comp = {i: c for i, _, c in data}
+    want = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if comp[a] != comp[b] and len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    got = set(rows(neardup.prefix_pairs(spark.createDataFrame(data, "id long, text string, comp long"), 3, 0.7, block=20)))
+    assert want <= got and len(want) > 100
+
+
 # ---- 7: leaks ----
 def test_leaks(spark):
     r = random.Random(6)
