@@ -33,8 +33,8 @@ def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     pages = bp.residue_pages(bp.judged_lines(bp.featured_pages(_t(spark, d, "page_content"))))
-    sites = _t(spark, d, "lg_page_info").filter(residue.address_is_residue(F.col("url")))
-    return pages.select(F.lit("page_content").alias("rec_table"), F.col("page_id").alias("rec_id")).union(sites.select(F.lit("lg_page_info"), F.col("row_id").cast("long")))
+    sites = residue.residue_addresses(_t(spark, d, "lg_page_info"), "row_id", "url")
+    return pages.select(F.lit("page_content").alias("rec_table"), F.col("page_id").alias("rec_id")).union(sites.select(F.lit("lg_page_info"), "id"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

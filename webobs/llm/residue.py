@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webobs.functions.vectext import Words
+from webobs.runtime import stage
 
 # Labelled exemplars of residue, by kind. PH is any unfilled placeholder; numbers stand for any number.
 EXEMPLARS: dict[str, list[str]] = {
@@ -43,8 +44,12 @@ EXEMPLARS: dict[str, list[str]] = {
     ],
 }
 
-# Parts of an address that stand in for a real part.
-STAND_INS = ["undefined", "null", "nan", "none", "changeme", "todo", "tbd", "xxx", "yourdomain", "yourhost", "yoursite", "hostname", "domain", "placeholder", "%s", "%d", "insert"]
+# Labelled exemplars of parts of an address (a label of the host, a step of the path, a value) that stand in for real ones.
+ADDRESSES: dict[str, list[str]] = {
+    "placeholder": ["PH"],
+    "stand-in": ["undefined", "null", "nan", "none", "changeme", "todo", "tbd", "xxx", "yourdomain", "yourhost", "yoursite", "hostname", "domain", "placeholder", "insert", "object object"],
+    "instruction": [f"{verb} {what} here" for verb in ("your", "insert", "put your") for what in ("domain", "city", "name", "url", "host", "lg host", "hostname", "company", "router", "site url", "lang", "asn")],
+}
 
 _SLOT = (
     r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|&lt;\w[\w -]*&gt;|<your[ _-]\w+>|@@\w+@@|%%\w+%%|(?<!\w)__\w+?__(?!\w)|\$[A-Za-z_]\w*\$|\[\[\w+\]\]"
@@ -181,23 +186,57 @@ def line_scorer(index: Index, idf: np.ndarray, other: float, window: int = 24, l
     return run
 
 
-def address_is_residue(url: Column) -> Column:
-    """An address with an unfilled or stand-in part: placeholder syntax, or a host label, path segment or value that is a stand-in.
+def address_parts(url: Column) -> Column:
+    """The parts of an address: labels of its host, steps of its path, values of its parameters, and each placeholder (phslot) by itself.
 
-    Wrapping brackets and quotes around the whole address and percent-encoded characters are no placeholders. Null is false.
+    Wrapping brackets and quotes around the whole address and percent-encoded characters are no placeholders. Null has no parts.
     """
     u = F.regexp_replace(F.coalesce(url, F.lit("")), r"\h+", " ")
     u = F.regexp_replace(u, r"^[\s<\[(\"']+(?=[A-Za-z]+ ?:)|[\s,.\"']+$", "")
     # A closing bracket at the end belongs to the wrapping only if none opens inside.
     u = F.when(~u.rlike(r"[<\[(]"), F.regexp_replace(u, r"[\s>\])]+$", "")).otherwise(u)
     slot = (
-        r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|<your[ _-]\w+>|@@\w+@@|__\w+__|%\(\w+\)s|%[a-z_]{3,}%|\$\w+\$|\[[a-z_]+\](?=[/:.]|$)|\[object\s+object\]"
-        r"|your[_-]\w+[_-]here|insert[\s_]+\w+[\s_]+here|[/\\]\s*:[a-z_]+|xxx\.xxx"
+        r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|<your[ _-]\w+>|@@\w+@@|__\w+__|%\(\w+\)s|%[a-z_]{3,}%|\$\w+\$|\[[a-z_]+\](?=[/:.]|$)"
+        r"|[/\\]\s*:[a-z_]+|(?<=[/=.])%[sd](?=[/&;.:]|$)"
     )
-    rest = F.regexp_replace(F.lower(u), r"^\s*[a-z]+\s*:[\s/\\]*", "")
-    parts = F.transform(F.split(F.regexp_replace(rest, r"[?#].*$", ""), r"[/\\]+"), lambda p: F.trim(p))
-    host = F.split(F.regexp_replace(F.element_at(parts, 1), r":\d*$", ""), r"\.")
-    values = F.transform(F.split(F.regexp_extract(rest, r"\?(.*)$", 1), "[&;]"), lambda p: F.regexp_extract(p, "=(.*)$", 1))
-    known = F.array(*[F.lit(x) for x in STAND_INS])
-    segments = F.when(F.size(parts) > 1, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1)))).otherwise(F.array().cast("array<string>"))
-    return F.lower(u).rlike(slot) | F.coalesce(F.arrays_overlap(host, known), F.lit(False)) | F.coalesce(F.arrays_overlap(segments, known), F.lit(False)) | F.coalesce(F.arrays_overlap(values, known), F.lit(False))
+    u = F.regexp_replace(F.regexp_replace(F.lower(u), slot, "/phslot/"), r"^\s*[a-z]+\s*:[\s/\\]*", "")
+    path = F.split(F.regexp_replace(u, r"[?#].*$", ""), r"[/\\]+")
+    host = F.split(F.regexp_replace(F.element_at(path, 1), r":\d*$", ""), r"\.")
+    values = F.transform(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "[&;]"), lambda p: F.regexp_extract(p, "=(.*)$", 1))
+    steps = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
+    return F.filter(F.flatten(F.array(host, steps, F.flatten(F.transform(values, lambda v: F.split(v, "/+"))))), lambda p: p != "")
+
+
+def residue_addresses(df: DataFrame, id_col: str, url_col: str, least: float = 0.6) -> DataFrame:
+    """(id): rows whose address holds an unfilled or stand-in part: a part whose TF-IDF containment in an exemplar reaches `least`.
+
+    Parts are the windows; frequencies of words are counted over all addresses. A part must also cover `least` of the exemplar.
+    Rows with a null id are left out; null and empty addresses are none.
+    """
+    index = Index(ADDRESSES)
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = b.column(1)
+            w = Words(x.flatten(), lower=True, punctuation=True)
+            at = index.ids(w.hashes(1)[1])
+            at[w.numeric()] = FREE
+            off = np.r_[0, np.cumsum(x.value_lengths().to_numpy())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(np.diff(w.first).astype(np.int32))), pa.ListArray.from_arrays(pa.array(w.first[off].astype(np.int32)), pa.array(at.astype(np.int16)))], ["id", "n", "voc"])
+
+    d = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), address_parts(F.col(url_col)).alias("parts")).filter(F.size("parts") > 0)
+    d = stage(d.mapInArrow(looked_up, "id long, n array<int>, voc array<short>"))
+    total, seen = document_frequencies(d, index)
+    idf = np.log((total + 1) / (seen + 1)) + 0.1
+    other = float(np.median(idf))
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2000):
+                c = b.slice(lo, 2000)
+                n, voc = c.column(1).flatten().to_numpy(), c.column(2).flatten().to_numpy().astype(np.int64)
+                row = np.repeat(np.arange(c.num_rows), c.column(1).value_lengths().to_numpy())
+                best = index.score(voc, np.repeat(np.arange(len(n)), n), len(n), idf, other, least)
+                yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(np.unique(row[best >= least])))], ["id"])
+
+    return d.mapInArrow(covered, "id long")
