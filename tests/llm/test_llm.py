@@ -277,6 +277,32 @@ def test_long_lines_of_a_site(spark):
         assert ((i, n - 1) in got) == (i < 100) and (i, n - 2) not in got, i
 
 
+def test_roles_order_and_slots(spark):
+    mk = np.array([5, 6, 5, 5, 6, 5])
+    a = bp._roles(np.array([0, 0, 0, 1, 1, 1]), mk)
+    assert a[0] == a[3] != a[2] == a[5] and len(set(a.tolist())) == 3  # a token's second occurrence is a role of its own
+    assert [x for x in bp._longest_rise(np.array([3, 0, 1, 5, 2, 4]))] == [1, 2, 4, 5] and bp._longest_rise(np.array([])) == []
+    r = random.Random(10)
+    word = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    pages = []
+    for h in range(6):
+        for k in range(8):
+            head, foot = [f"Menu{h} one", f"Menu{h} two", f"Menu{h} three"], [f"Imprint{h} of all", f"Privacy{h} and terms"]
+            body = [word(9) + "." for _ in range(3)]
+            moving = f"Remark{h} that wanders"  # on every page, but now before, now behind the furniture
+            text = [moving, *head, *body, *foot] if k % 2 else [*head, *body, *foot, moving]
+            pages.append((100 * h + k, f"h{h}.example", "\n".join(text)))
+    df = spark.createDataFrame(pages, "page_id long, host string, content string")
+    got = set(rows(bp.boilerplate(bp.stage(bp.judged_lines(bp.featured_pages(df))))))
+    for i, _, t in pages:
+        lines = t.split("\n")
+        assert {n for p, n in got if p == i} == {n for n, l in enumerate(lines) if l.startswith(("Imprint", "Privacy", "Menu"))}, i
+    # Rows of a hot host are spread; the result is the same.
+    big = spark.createDataFrame([(i, i % 3) for i in range(100)], "page_id long, host long")
+    small = spark.createDataFrame([(0, "a"), (2, "c")], "host long, x string")
+    assert rows(bp.join_by_host(big, small, ["host"], "left", block=10)) == rows(big.join(small, "host", "left"))
+
+
 def test_prefilters_lose_no_residue(spark):
     texts = ["[Insert name here]", "The [Logo Goes Here]", "Todo: text", "&LT;your name&gt;", "Hello {{x}}", "No mark at all", None]
     t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, t string")

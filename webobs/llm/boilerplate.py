@@ -1,14 +1,16 @@
 """Page boilerplate (problem 2): template deduction from equivalence classes of lines over the pages of a host.
 
-A line's token is its text with numbers masked (a trail: its first two steps). Tokens of one host that occur in the same
-pages form an equivalence class; the largest valid class of a host is its template, other tokens that occur in nearly as
-many pages are nested in it, and what lies in the slots between is the page's body. Lines of pages without a valid class
+A line's token is its text with numbers masked (a trail: its first two steps), and its role which occurrence of the token
+on the page it is. Roles of one host that occur in the same pages form an equivalence class; the largest valid class of a
+host is its root, an ordered sequence along which pages are laid. Classes that keep to one slot of it are nested in the
+template, and what else lies in the slots between is the page's body. Lines of pages without a valid class
 (hosts of one or two pages, pages in another language) are judged by their skeleton: the line with names and numbers
 masked, and how often lines of that skeleton belonged to the template in hosts that have one.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from webobs.functions.vectext import Words
+from webobs.functions.vectext import Words, mix
 from webobs.llm.residue import EXEMPLARS, FREE, Index, document_frequencies, line_scorer, may_have_slots, plain
 from webobs.runtime import stage
 
@@ -130,32 +132,143 @@ def featured_pages(df: DataFrame, id_col: str = "page_id", text_col: str = "cont
     return stage(pages.mapInArrow(_scored(index, idf, float(np.median(idf))), _FEATURES + ", rs array<int>"))
 
 
+def _roles(page: np.ndarray, mk: np.ndarray) -> np.ndarray:
+    """The role of each token: the token and which occurrence of it on its page this is, so counts are part of occurrence vectors."""
+    o = np.lexsort((mk, page))
+    p, m = page[o], mk[o]
+    start = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (m[1:] != m[:-1])]) if len(o) else np.zeros(0, np.int64)
+    nth = np.zeros(len(o), np.int64)
+    nth[o] = np.arange(len(o)) - np.repeat(start, np.diff(np.r_[start, len(o)]))
+    return mix(mk.view(np.uint64) + mix(nth.astype(np.uint64)))
+
+
+def _pages_of(x: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(page, value) of a column of lists of numbers."""
+    return np.repeat(np.arange(len(x)), x.value_lengths().to_numpy()), x.flatten().to_numpy()
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 2000):
+            c = b.slice(lo, 2000)
+            page, mk = _pages_of(c.column(2))
+            first = np.r_[0, np.cumsum(c.column(2).value_lengths().to_numpy())]
+            yield pa.RecordBatch.from_arrays([c.column(0).take(pa.array(page)), c.column(1).take(pa.array(page)), pa.array(_roles(page, mk).view(np.int64)), pa.array(np.arange(len(page)) - first[page])], ["page_id", "host", "role", "pos"])
+
+
 def templates(pages: DataFrame, least_pages: int = 3, least_lines: int = 3, near: float = 0.9) -> DataFrame:
-    """(host, n_root, root, tokens): each host's template, deduced from equivalence classes of tokens.
+    """(host, n_root, root, nested): each host's template, deduced from equivalence classes of token roles.
 
-    A class is the tokens of a host with the same occurrence vector (count and sum of hashes of its pages); it is valid with
-    at least least_pages pages and least_lines tokens. The root is the valid class with the most occurrences; tokens in at
-    least `near` of as many pages as the root are nested into the template.
+    A class is the roles of a host with the same occurrence vector (count and sum of hashes of its pages; as a role is a token's
+    k-th occurrence on a page, equal vectors mean equal counts on every page). It is valid with at least least_pages pages
+    and least_lines roles. The root is the valid class with the most occurrences, in the order of its lines. nested are the
+    candidates for its slots: classes of at least `near` of the root's pages, or of fewer with several roles; judged_lines
+    keeps those that lie in one slot.
     """
     # Copies of a page would make its body look like a template: pages of the same tokens count once.
     one = pages.groupBy("host", F.xxhash64("mk").alias("same")).agg(F.min("page_id").alias("page_id"), F.first("mk").alias("mk"))
-    t = one.select("page_id", "host", F.explode(F.array_distinct("mk")).alias("mk")).groupBy("host", "mk").agg(F.count("*").alias("n"), F.sum(F.xxhash64("page_id").cast("decimal(20,0)")).alias("v")).filter(F.col("n") >= least_pages)
+    t = one.select("page_id", "host", "mk").mapInArrow(_occurrences, "page_id long, host long, role long, pos long")
+    t = t.groupBy("host", "role").agg(F.count("*").alias("n"), F.sum(F.xxhash64("page_id").cast("decimal(20,0)")).alias("v"), F.avg("pos").alias("pos")).filter(F.col("n") >= least_pages)
     t = stage(t)
     classes = t.groupBy("host", "n", "v").agg(F.count("*").alias("size")).filter(F.col("size") >= 2)
     root = classes.filter(F.col("size") >= least_lines).groupBy("host").agg(F.max_by(F.struct("n", "v"), F.struct(F.col("n") * F.col("size"), "n", "v")).alias("r")).select("host", F.col("r.n").alias("n_root"), F.col("r.v").alias("v_root"))
     at = t.join(root, "host").join(classes, ["host", "n", "v"], "left")
     size, share = F.coalesce("size", F.lit(1)), F.col("n") / F.col("n_root")
     at = at.filter((share >= near) | ((size >= least_lines) & (share >= 0.4)) | ((size >= 2) & (share >= 0.6)))
-    return at.groupBy("host").agg(F.first("n_root").alias("n_root"), F.collect_set(F.when((F.col("n") == F.col("n_root")) & (F.col("v") == F.col("v_root")), F.col("mk"))).alias("root"), F.collect_set("mk").alias("tokens"))
+    own = (F.col("n") == F.col("n_root")) & (F.col("v") == F.col("v_root"))
+    # All roles of the root are on the same pages, so the mean place of a line orders them as the pages do.
+    g = at.groupBy("host").agg(F.first("n_root").alias("n_root"), F.array_sort(F.collect_list(F.when(own, F.struct("pos", "role")))).alias("r"), F.collect_list(F.when(~own, F.col("role"))).alias("nested"))
+    return g.select("host", "n_root", F.col("r.role").alias("root"), "nested")
+
+
+def _longest_rise(x: np.ndarray) -> list[int]:
+    """Places of a longest strictly rising subsequence."""
+    ends, at, back = [], [], []
+    for i, v in enumerate(x.tolist()):
+        k = bisect_left(ends, v)
+        ends[k : k + 1], at[k : k + 1] = [v], [i]
+        back.append(at[k - 1] if k else -1)
+    out, i = [], at[-1] if at else -1
+    while i >= 0:
+        out.append(i)
+        i = back[i]
+    return out[::-1]
+
+
+_ALIGNED = "page_id long, host long, n_root long, strong boolean, no int, sk long, sh long, nw int, rs int, role long, kind int, slot int"
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lays each page along its host's root: kind 1 for lines of the root in its order, 2 for candidates nested in it, else 0;
+    slot is the number of root lines before a line. A page is strong if it holds at least 0.6 of the root in order."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 2000):
+            c = b.slice(lo, 2000)
+            col = dict(zip(c.schema.names, c.columns))
+            page, mk = _pages_of(col["mk"])
+            role = _roles(page, mk)
+            key = lambda p, r: mix(r + mix(p.astype(np.uint64) + np.uint64(1)))
+            rank, kind = np.full(len(page), -1), np.zeros(len(page), np.int32)
+            for name in ("nested", "root"):
+                p, r = _pages_of(col[name])
+                if not len(p):
+                    continue
+                k = key(p, r.view(np.uint64))
+                o = np.argsort(k)
+                at = np.minimum(np.searchsorted(k[o], mine := key(page, role)), len(k) - 1)
+                hit = k[o][at] == mine
+                if name == "nested":
+                    kind[hit] = 2
+                else:
+                    begin = np.r_[0, np.cumsum(col[name].value_lengths().to_numpy())]
+                    rank[hit] = o[at[hit]] - begin[p[o[at[hit]]]]
+                    kind[hit] = 1
+            at = np.flatnonzero(rank >= 0)
+            falls = (page[at][1:] == page[at][:-1]) & (rank[at][1:] < rank[at][:-1])
+            for q in np.unique(page[at][1:][falls]):  # the few pages that hold root lines in another order
+                own = at[page[at] == q]
+                out = np.setdiff1d(own, own[_longest_rise(rank[own])])
+                kind[out] = 0
+            first = np.r_[0, np.cumsum(col["mk"].value_lengths().to_numpy())]
+            before = np.r_[0, np.cumsum(kind == 1)]
+            slot = before[:-1] - before[first[page]]
+            found = before[first[1:]] - before[first[:-1]]
+            size = col["root"].value_lengths().to_numpy()
+            strong = (size > 0) & (found >= 0.6 * size)
+            flat = [col[x].flatten() for x in ("no", "sk", "sh", "nw", "rs")]
+            i = pa.array(page)
+            yield pa.RecordBatch.from_arrays([col["page_id"].take(i), col["host"].take(i), col["n_root"].take(i), pa.array(strong[page]), *flat, pa.array(role.view(np.int64)), pa.array(kind), pa.array(slot.astype(np.int32))], [x.split()[0] for x in _ALIGNED.split(", ")])
+
+
+def join_by_host(big: DataFrame, small: DataFrame, on: list[str], how: str, block: int = 20_000) -> DataFrame:
+    """big joined with small (few rows a host): rows of a host of more than `block` rows are spread over salts, with small copied to each.
+
+    The table of these hosts has at most rows / block entries; it is broadcast up to a million of them and beyond that left
+    to the skew join of adaptive execution.
+    """
+    hot = big.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") > block).select("host", F.ceil(F.col("n") / block).cast("int").alias("salts"))
+    hot = stage(hot)
+    if not 0 < hot.count() <= 1_000_000:
+        return big.join(small, on, how)
+    salts = F.coalesce("salts", F.lit(1))
+    b = big.join(F.broadcast(hot), "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id"), salts).cast("int")).drop("salts")
+    s = small.join(F.broadcast(hot), "host", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return b.join(s, [*on, "salt"], how).drop("salt")
 
 
-def judged_lines(pages: DataFrame, least_prior: int = 4) -> DataFrame:
-    """(page_id, no, nw, rs, tmpl): every line with whether it belongs to the site's template."""
-    t = templates(pages)
-    inside = F.size(F.array_intersect("mk", "root")) >= 0.6 * F.size("root")
-    j = pages.join(t, "host", "left").withColumn("strong", F.coalesce(inside, F.lit(False)))
-    j = j.select("page_id", "host", "n_root", "strong", F.explode(F.arrays_zip("no", "mk", "sk", "sh", "nw", "rs")).alias("x"), "tokens")
-    lines = stage(j.select("page_id", "host", "n_root", "strong", "x.no", "x.sk", "x.sh", "x.nw", "x.rs", F.coalesce(F.array_contains("tokens", F.col("x.mk")) & F.col("strong"), F.lit(False)).alias("hit")))
+def judged_lines(pages: DataFrame, least_prior: int = 4, steady: float = 0.9) -> DataFrame:
+    """(page_id, no, nw, rs, tmpl): every line with whether it belongs to the site's template.
+
+    Each page is laid along its host's root. A nested candidate is valid if at least `steady` of its occurrences on such pages lie
+    in one slot of the root, and belongs to the template there only; what else lies in the slots is the page's own.
+    """
+    j = join_by_host(pages, templates(pages), ["host"], "left")
+    lines = stage(j.select("page_id", "host", "n_root", "no", "mk", "sk", "sh", "nw", "rs", *(F.coalesce(c, F.array().cast("array<long>")).alias(c) for c in ("root", "nested"))).mapInArrow(_align, _ALIGNED))
+    at = lines.filter("strong and kind = 2").groupBy("host", "role", "slot").agg(F.count("*").alias("n"))
+    valid = at.groupBy("host", "role").agg(F.max_by("slot", F.struct("n", "slot")).alias("in_slot"), F.max("n").alias("most"), F.sum("n").alias("all")).filter(F.col("most") >= steady * F.col("all")).select("host", "role", "in_slot")
+    keep = ["page_id", "n_root", "strong", "no", "sk", "sh", "nw", "rs"]
+    inner = join_by_host(lines.filter("strong and kind = 2"), valid, ["host", "role"], "left").select(*keep, "host", F.coalesce(F.col("slot") == F.col("in_slot"), F.lit(False)).alias("hit"))
+    lines = stage(lines.filter("not (strong and kind = 2)").select(*keep, "host", (F.col("strong") & (F.col("kind") == 1)).alias("hit")).unionByName(inner))
     sure = lines.filter("strong and n_root >= 4")
     skel = sure.groupBy("sk").agg(F.avg(F.col("hit").cast("double")).alias("p1"), F.count("*").alias("n1"), F.approx_count_distinct("host").alias("h1")).filter(F.col("n1") >= least_prior)
     shape = sure.groupBy("sh").agg(F.avg(F.col("hit").cast("double")).alias("p2"))
