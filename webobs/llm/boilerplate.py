@@ -10,17 +10,19 @@ masked, and how often lines of that skeleton belonged to the template in hosts t
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from webobs.functions.vectext import Words, mix
-from webobs.llm.residue import EXEMPLARS, FREE, Index, document_frequencies, line_scorer, may_have_slots, plain
+from webobs.llm.residue import EXEMPLARS, FREE, Index, document_frequencies, line_scorer, plain
 from webobs.runtime import stage
 
 _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
@@ -28,87 +30,107 @@ _ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaacee
 
 LONGEST = 240  # characters of a line that has a shape or may be a trail; longer ones have no shape, which says nothing of them
 
+_UP = "[" + "".join(re.escape(c) for c in map(chr, range(0x3000)) if unicodedata.category(c) == "Lu") + "]"
+_TRAIL = re.compile(r"^\s*([^>›/»|\]]{1,60}?) [>›/»] ([^>›/»]{1,60}?)(?: [>›/»].*)?$", re.A)
+_DIGITS, _FILE, _LINK = re.compile("[0-9]+"), re.compile(r"\]\([^)]*/files/[^)]*\)"), re.compile(r"\]\((?!F\))[^)]*\)")
+_FIRST = re.compile(r"[^A-Za-z0-9_]*([^\W\d_]{4,})")
+_NAME, _NUMBER, _NAMES, _NUMBERS = re.compile(rf"(?<=[^ \t\r\f\v][ (]){_UP}(?:[^\W\d_]|['-])*"), re.compile(r"[0-9]\S*", re.A), re.compile("@(?:[ .,-]*@)+"), re.compile("#(?: +#)+")
+_RUN = re.compile(r"(\[[^\]]*\]\(U\))(?:[\s·|»-]*\[[^\]]*\]\(U\))+", re.A)
+_PLAIN = str.maketrans(*_ACCENTS)
+
+
+def _token(l: str) -> str:
+    """A line with numbers masked; a trail becomes its first two steps."""
+    stepped = len(l) <= LONGEST and (" > " in l or " › " in l or " / " in l or " » " in l)
+    return _DIGITS.sub("#", _TRAIL.sub(r"trail \1 \2", l) if stepped else l.strip(" "))
+
+
+def _skeleton(l: str, host: str) -> str:
+    """A line with links, words from their first digit on, the own host and names (capitalised words but the first, and words of the host) masked."""
+    s = l.replace(host, "@") if host else l
+    if "](" in s:
+        s = _LINK.sub("](U)", _FILE.sub("](F)", s))
+    if (m := _FIRST.match(s)) and m[1][:12].lower().translate(_PLAIN) in host:
+        s = s.replace(m[1], "@")
+    s = _NUMBER.sub("#", _NAME.sub("@", s))
+    if s.count("@") > 1:
+        s = _NAMES.sub("@", s)
+    if "# " in s:
+        s = _NUMBERS.sub("#", s)
+    return _RUN.sub(r"\1+", s) if "](" in s else s
+
+
+def _shape(l: str) -> str:
+    """A coarse form: kind of line, words (up to 9), whether it ends like a sentence."""
+    if "](" in l:
+        kind = "file" if "/files/" in l else "link" if (l.startswith("[") and ") " not in l) or l.startswith("* [") else "links"
+    elif any(x in l for x in (" | ", " · ", " » ", " › ", " > ")):
+        kind = "menu"
+    else:
+        kind = "item" if l.startswith("- ") else "numbered" if "0" <= l[:1] <= "9" else "text"
+    return f"{kind} {min(l.count(' '), 9)} {'end' if l[-1:] in '.!?:;' else ''}"
 
-def _tokens(lines: Column) -> Column:
-    """The token of each line: numbers masked; a trail becomes its first two steps. One pass per step, so nothing is computed twice."""
-    trail = r"^\s*([^>›/»|\]]{1,60}?) [>›/»] ([^>›/»]{1,60}?)(?: [>›/»].*)?$"
-    stepped = lambda l: (F.length(l) <= LONGEST) & (F.contains(l, F.lit(" > ")) | F.contains(l, F.lit(" › ")) | F.contains(l, F.lit(" / ")) | F.contains(l, F.lit(" » ")))
-    m = F.transform(lines, lambda l: F.when(stepped(l), F.regexp_replace(l, trail, "trail $1 $2")).otherwise(F.trim(l)))
-    return F.transform(m, lambda l: F.regexp_replace(l, "[0-9]+", "#"))
 
-
-def _skeletons(lines: Column, host: Column) -> Column:
-    """Each line with links, words from their first digit on, the own host and names (capitalised words but the first, and words of the host) masked."""
-    linked = lambda l: F.contains(l, F.lit("]("))
-    s = F.transform(lines, lambda l: F.when(F.length(host) > 0, F.replace(l, host, F.lit("@"))).otherwise(l))
-    s = F.transform(s, lambda l: F.when(linked(l), F.regexp_replace(F.regexp_replace(l, r"\]\([^)]*/files/[^)]*\)", "](F)"), r"\]\((?!F\))[^)]*\)", "](U)")).otherwise(l))
-    s = F.transform(s, lambda l: F.struct(l.alias("l"), F.regexp_extract(l, r"^\W*(\p{L}{4,})", 1).alias("w")))
-    own = lambda w: (w != "") & F.contains(host, F.translate(F.lower(F.substring(w, 1, 12)), *_ACCENTS))
-    s = F.transform(s, lambda x: F.when(own(x["w"]), F.replace(x["l"], x["w"], F.lit("@"))).otherwise(x["l"]))
-    masks = [(r"(?<=\S[ (])\p{Lu}[\p{L}'-]*", "@"), (r"[0-9]\S*", "#"), (r"@(?:[ .,-]*@)+", "@"), (r"#(?: +#)+", "#")]
-    run = r"(\[[^\]]*\]\(U\))(?:[\s·|»-]*\[[^\]]*\]\(U\))+"
-
-    def all_masks(l: Column) -> Column:
-        for a, b in masks:
-            l = F.regexp_replace(l, a, b)
-        return l
-
-    return F.transform(F.transform(s, all_masks), lambda l: F.when(linked(l), F.regexp_replace(l, run, "$1+")).otherwise(l))
-
-
-def _shape(l: Column) -> Column:
-    """A coarse form: kind of line, words (up to 9), whether it ends like a sentence. Plain string tests, as it sees every line."""
-    words = F.least(F.length(l) - F.length(F.replace(l, F.lit(" "), F.lit(""))), F.lit(9))
-    kind = (
-        F.when(F.contains(l, F.lit("](")), F.when(F.contains(l, F.lit("/files/")), "file").when(F.startswith(l, F.lit("[")) & ~F.contains(l, F.lit(") ")), "link").when(F.startswith(l, F.lit("* [")), "link").otherwise("links"))
-        .when(F.contains(l, F.lit(" | ")) | F.contains(l, F.lit(" · ")) | F.contains(l, F.lit(" » ")) | F.contains(l, F.lit(" › ")) | F.contains(l, F.lit(" > ")), "menu")
-        .when(F.startswith(l, F.lit("- ")), "item").when(F.substring(l, 1, 1).between("0", "9"), "numbered").otherwise("text")
-    )
-    return F.concat_ws(" ", kind, words.cast("string"), F.when(F.substring(l, -1, 1).isin(".", "!", "?", ":", ";"), "end").otherwise(""))
+_FEATURES = "page_id long, host long, no array<int>, mk array<long>, sk array<long>, sh array<long>, nw array<int>"
 
 
-def page_lines(df: DataFrame, id_col: str = "page_id", text_col: str = "content", host_col: str = "host") -> DataFrame:
-    """One row per page with arrays over its lines: no, mk (token), sk (skeleton), sh (shape; null for long lines), and the plain words.
+def _page_lines(index: Index, most: int = 100_000):
+    """One row per page with arrays over its lines that aren't blank: no, mk (token), sk (skeleton), sh (shape; null for long lines),
+    nw (words), and voc, the place of each word in the vocabulary of the exemplar index.
 
-    Blank lines are left out. Pages with null or blank content have no row. A null host is a host of its own, ''.
+    Lines that come again on a host, as most lines of a template do, are looked up; that table is emptied when it is full.
     """
-    host = F.lower(F.coalesce(F.col(host_col), F.lit("")))
-    p = df.filter(F.col(id_col).isNotNull() & (F.trim(F.coalesce(text_col, F.lit(""))) != "")).select(F.col(id_col).cast("long").alias("page_id"), host.alias("hname"), may_have_slots(F.col(text_col)).alias("slots"), F.split(F.col(text_col), "\n", -1).alias("raw"))
-    p = p.select("page_id", "hname", "slots", F.filter(F.transform("raw", lambda l, i: F.struct(i.alias("no"), l.alias("l"))), lambda x: x["l"].rlike(r"\S")).alias("x"))
-    h = F.col("hname")
-    return p.filter(F.size("x") > 0).select(
-        "page_id", F.xxhash64("hname").alias("host"),
-        F.transform("x", lambda x: x["no"]).alias("no"),
-        F.transform(_tokens(F.col("x.l")), lambda l: F.xxhash64(l)).alias("mk"),
-        F.transform(_skeletons(F.col("x.l"), h), lambda l: F.xxhash64(l)).alias("sk"),
-        F.transform("x.l", lambda l: F.when(F.length(l) <= LONGEST, F.xxhash64(_shape(l)))).alias("sh"),
-        F.transform("x", lambda x: plain(x["l"], h, F.col("slots"))).alias("plain"),
-    )
-
 
-_FEATURES = "page_id long, host long, no array<int>, mk array<long>, sk array<long>, sh array<long>, nw array<int>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
 
+        code, known = xxhash.xxh64_intdigest, {}
 
-def _indexed(index: Index):
-    """Looks every word of every line up in the exemplar index: nw words, and voc, the place of each word in the vocabulary."""
+        def line(host: str, l: str) -> tuple:
+            return code(_token(l)), code(_skeleton(l, host)), code(_shape(l)) if len(l) <= LONGEST else None, plain(l, host)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 400):
                 c = b.slice(lo, 400)
-                x = c.column(6)
-                w = Words(x.flatten(), lower=True, punctuation=True)
+                first, no, got, keep = [0], [], [], []
+                for i, (host, text) in enumerate(zip(c.column(1).to_pylist(), c.column(3).to_pylist())):
+                    n = len(no)
+                    for k, l in enumerate(text.split("\n")):
+                        if l.strip(" \t\r\f\v"):
+                            x = known.get((host, l))
+                            if x is None:
+                                if len(known) >= most:
+                                    known.clear()
+                                x = known[host, l] = line(host, l)
+                            no.append(k)
+                            got.append(x)
+                    if len(no) > n:
+                        keep.append(i)
+                        first.append(len(no))
+                if not keep:
+                    continue
+                mk, sk, sh, text = zip(*got)
+                w = Words(pa.array(text, pa.string()), lower=True, punctuation=True)
                 at = index.ids(w.hashes(1)[1])
                 at[w.numeric()] = FREE
-                off = np.r_[0, np.cumsum(x.value_lengths().to_numpy())]
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.column(i) for i in range(6)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(np.diff(w.first).astype(np.int32))), pa.ListArray.from_arrays(pa.array(w.first[off].astype(np.int32)), pa.array(at.astype(np.int16)))],
-                    ["page_id", "host", "no", "mk", "sk", "sh", "nw", "voc"],
-                )
+                off, lists = pa.array(np.array(first, np.int32)), []
+                for x, kind in ((no, pa.int32()), (mk, None), (sk, None), (sh, None), (np.diff(w.first), pa.int32())):
+                    x = pa.array(x, kind) if kind else pa.array(x, pa.uint64()).view(pa.int64())
+                    lists.append(pa.ListArray.from_arrays(off, x))
+                voc = pa.ListArray.from_arrays(pa.array(w.first[np.array(first)].astype(np.int32)), pa.array(at.astype(np.int16)))
+                k = pa.array(keep)
+                yield pa.RecordBatch.from_arrays([c.column(0).take(k), c.column(2).take(k), *lists, voc], ["page_id", "host", "no", "mk", "sk", "sh", "nw", "voc"])
 
     return run
 
 
+def page_lines(df: DataFrame, index: Index, id_col: str = "page_id", text_col: str = "content", host_col: str = "host") -> DataFrame:
+    """See _page_lines. Pages with null or blank content have no row. A null host is a host of its own, ''."""
+    host = F.lower(F.coalesce(F.col(host_col), F.lit("")))
+    p = df.filter(F.col(id_col).isNotNull() & (F.trim(F.coalesce(text_col, F.lit(""))) != "")).select(F.col(id_col).cast("long").alias("page_id"), host.alias("hname"), F.xxhash64(host).alias("host"), F.col(text_col).alias("text"))
+    return p.mapInArrow(_page_lines(index), _FEATURES + ", voc array<short>")
+
+
 def _scored(index: Index, idf: np.ndarray, other: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = line_scorer(index, idf, other)
@@ -126,7 +148,7 @@ def _scored(index: Index, idf: np.ndarray, other: float):
 def featured_pages(df: DataFrame, id_col: str = "page_id", text_col: str = "content", host_col: str = "host") -> DataFrame:
     """page_lines with, for each line, its words (nw) and the words inside residue windows (rs); staged, as it is read often."""
     index = Index(EXEMPLARS)
-    pages = stage(page_lines(df, id_col, text_col, host_col).mapInArrow(_indexed(index), _FEATURES + ", voc array<short>"))
+    pages = stage(page_lines(df, index, id_col, text_col, host_col))
     n, seen = document_frequencies(pages, index)
     idf = np.log((n + 1) / (seen + 1)) + 0.1
     return stage(pages.mapInArrow(_scored(index, idf, float(np.median(idf))), _FEATURES + ", rs array<int>"))

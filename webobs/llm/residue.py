@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -57,23 +57,18 @@ _SLOT = (
 )
 
 
-def may_have_slots(text: Column) -> Column:
-    """A cheap test of a whole text: false only if no line of it holds a placeholder."""
-    marks = [F.contains(text, F.lit(m)) for m in ("{", "$", "%", "<", "@@", "__", "[[")]
-    # Words of a mark are found in any case; bound as a lambda's variable, so that the text is lowered once.
-    words = F.transform(F.array(F.lower(text)), lambda l: reduce(lambda x, y: x | y, [F.contains(l, F.lit(m)) for m in ("&lt;", "[insert ", "goes here]", "todo: ")]))[0]
-    return reduce(lambda x, y: x | y, marks) | words | text.rlike(r"(?<![\w:]):[A-Za-z_]\w*:(?![\w:])")
+_SLOTS, _MARK = re.compile("(?i)" + _SLOT, re.A), re.compile(r"(?i)[{$%<]|@@|__|\[\[|&lt;|\[insert |goes here\]|todo: |:[a-z_]\w*:", re.A)
 
 
-def slots_to_words(c: Column) -> Column:
-    """Text with each unfilled placeholder as the word phslot."""
-    return F.regexp_replace(c, "(?i)" + _SLOT, " phslot ")
+def slots_to_words(l: str) -> str:
+    """A line with each unfilled placeholder as the word phslot; lines without any mark of one are passed over."""
+    return _SLOTS.sub(" phslot ", l) if _MARK.search(l) else l
 
 
-def plain(c: Column, host: Column, slots: Column) -> Column:
-    """A line with each placeholder (looked for where slots is true) and the host as a word; case and punctuation are left to the index."""
-    c = F.when(slots, slots_to_words(c)).otherwise(c)
-    return F.when(F.length(host) > 0, F.replace(c, host, F.lit(" hostslot "))).otherwise(c)
+def plain(l: str, host: str) -> str:
+    """A line with each placeholder and the host as a word; case and punctuation are left to the index."""
+    l = slots_to_words(l)
+    return l.replace(host, " hostslot ") if host else l
 
 
 FREE = -2  # a word that weighs nothing: a number, or the own host
@@ -101,8 +96,6 @@ class Index:
 
     @staticmethod
     def _norm(x: str) -> str:
-        import re
-
         x = x.replace("PH", " phslot ").replace("HOST", " hostslot ").lower()
         return re.sub(r"[\W_]+", " ", x).strip()
 
