@@ -10,9 +10,6 @@ from webobs.llm.tokens import DEFAULT, with_tokens
 from webobs.runtime import cut, stage
 
 
-LARGE = (0.1, 0.02, 0.005)  # edges of the classes of size, as parts of a source's tokens to draw
-
-
 def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Flight phase for the constraints (total size, number of units), in the order given.
 
@@ -53,42 +50,55 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
-def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """The few units left (at most 18): the choice of whole units whose total size is nearest to what their probabilities sum to."""
-    left = np.flatnonzero((p > 0) & (p < 1))
-    p = p.copy()
-    if len(left):
-        every = (np.arange(1 << len(left))[:, None] >> np.arange(len(left))) & 1
-        off = np.abs(every @ size[left] - (p[left] * size[left]).sum())
-        units = np.abs(every.sum(axis=1) - p[left].sum())
-        p[left] = every[np.lexsort((units, off))[0]]
+def rounded(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """At most two fractional units made whole with their probabilities, so that as few as can be differ from their sum."""
+    p, left = p.copy(), np.flatnonzero((p > 0) & (p < 1))
+    if len(left) == 1:
+        p[left] = rng.random() < p[left]
+    elif len(left):
+        a, b = left
+        x, over = rng.random(), max(0.0, p[a] + p[b] - 1)
+        if x < over:
+            p[a], p[b] = 1.0, 1.0
+        elif x < p[a]:
+            p[a], p[b] = 1.0, 0.0
+        else:
+            p[a], p[b] = 0.0, float(x < p[a] + p[b] - over)
     return p
 
 
-def last_flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator, held: int = 12) -> np.ndarray:
-    """Flight and landing of the last units, in falling order of size.
+def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The last units of a source, made whole with their inclusion probabilities and a total close to what these sum to.
 
-    `held` units evenly spread over the sizes stay out of the flight: together with what it leaves they make a landing that
-    can meet the total closely, however large the largest units are.
+    Units are taken by classes of size (powers of 2), the largest first: a flight leaves two units at most, which are rounded at
+    random. What this puts the total off is made good by the smaller units, whose probabilities are moved in proportion to
+    it. How far is set beforehand, by the most that the total can be off, so that none can pass 0 or 1: as the error has the
+    expectation 0, so has the move, and every unit keeps its probability over all draws. In the end the total is off by
+    about the smallest units that together are large enough to make good what larger ones left.
     """
-    p = p.copy()
+    p, out, off, most = p.astype(float), np.where((p > 0) & (p < 1), 0.0, p), 0.0, 0.0
     live = np.flatnonzero((p > 0) & (p < 1))
-    out = np.unique(live[np.linspace(0, len(live) - 1, min(held, len(live))).astype(int)]) if len(live) else live
-    fly = np.setdiff1d(live, out)
-    p[fly] = flight(p[fly], size[fly], rng)
-    return landing(p, size)
-
-
-def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str = DEFAULT, block: int = 5_000, seed: int = 7) -> DataFrame:
+    kind = np.floor(np.log2(np.maximum(size, 1))).astype(int)
+    for k in sorted(set(kind[live].tolist()), reverse=True):
+        own, rest = live[kind[live] == k], live[kind[live] <= k]
+        total, mine = float((p[rest] * size[rest]).sum()), float((p[own] * size[own]).sum())
+        gain = min(1.0, float(min(1.0, ((1 - p[own]) / p[own]).min())) * total / most) if most else 1.0
+        out[own] = rounded(flight(p[own] * (1 - gain * off / total), size[own], rng), rng)
+        off += float(((out[own] - p[own]) * size[own]).sum())
+        most = most * (1 - gain * mine / total) + 2 * float(size[own].max())
+    return out
+
+
+def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", path: str = DEFAULT, block: int = 5_000, held: int = 500, seed: int = 7) -> DataFrame:
     """(doc_id, source, n_tokens, n_used): how often each document is used, so that sources reach their shares of all tokens.
 
     The mixture is as large as the plan allows: the total T is the least of max_repeats x tokens / target_share over the
     sources. A document of a source is used floor(f) times, f = share x T / tokens of the source, and once more with
-    probability f - floor(f) <= 1, balanced by the cube method on tokens and documents: flights run in blocks of `block`
-    documents, what each leaves (at most two) joins the next round, and a last block lands. Large documents (classes
-    at the edges LARGE) are drawn before smaller ones, whose probability is set so that all together meet the total. So f <= max_repeats bounds
-    the use of every document. Documents of sources without a plan, with a null source, and without tokens aren't used.
-    A planned source without tokens has no part in the mixture: the others keep their shares in proportion.
+    probability f - floor(f) <= 1, balanced by the cube method on tokens and documents. Flights run in blocks of about `block`
+    documents, and what each leaves (at most two) joins the next round; about `held` documents of a source, chosen by hash,
+    stay out of the blocks and make with the last of these the landing, which is small. Probabilities are kept throughout, and
+    f <= max_repeats bounds the use of every document. Documents of sources without a plan, with a null source, and without
+    tokens aren't used. A planned source without tokens has no part in the mixture: the others keep their shares in proportion.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).filter("doc_id is not null")
     known = plan.filter("target_share > 0").groupBy("source").agg(F.first("target_share").alias("share"), F.first("max_repeats").alias("most"))  # one row a source
@@ -100,7 +110,8 @@ def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str
         return d.select("doc_id", "source", "n_tokens", F.lit(0).cast("long").alias("n_used")).limit(0)
     total = min(r["most"] * stats[r["source"]]["t"] / r["share"] for r in rows)
     f = {r["source"]: min(float(r["most"]), r["share"] * total / stats[r["source"]]["t"]) for r in rows}
-    plan_f = spark.createDataFrame([(s, int(x + 1e-12), max(0.0, x - int(x + 1e-12)), max(1, -(-stats[s]["n"] // block))) for s, x in f.items()], "source string, whole long, p double, blocks long")
+    whole = {s: int(x + 1e-12) for s, x in f.items()}
+    plan_f = spark.createDataFrame([(s, whole[s], max(0.0, f[s] - whole[s]), max(1, stats[s]["n"] // held), -(-stats[s]["n"] // block)) for s in f], "source string, whole long, p double, apart long, blocks long")
     d = d.join(F.broadcast(plan_f), "source")
     schema = "source string, doc_id long, n_tokens long, p double"
 
@@ -108,47 +119,35 @@ def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str
         def run(key, g):
             import pandas as pd
 
-            g = g.sort_values(["n_tokens", "doc_id"], ascending=[False, True])  # what a flight leaves is small then
-            size = g["n_tokens"].to_numpy(float)
-            rng = np.random.default_rng([seed, int(key[1])])
-            p = (last_flight if last else flight)(g["p"].to_numpy(), size, rng)
+            g = g.sort_values(["n_tokens", "doc_id"], ascending=[False, True])
+            size, rng = g["n_tokens"].to_numpy(float), np.random.default_rng([seed, int(key[1]), int(g["doc_id"].iloc[0])])
+            p = landing(g["p"].to_numpy(), size, rng) if last else flight(g["p"].to_numpy(), size, rng)
             return pd.DataFrame({"source": g["source"], "doc_id": g["doc_id"], "n_tokens": g["n_tokens"], "p": p})
 
         return run
 
-    # Classes of size, the largest first: each is drawn so that it and what is left meet the total, so what one misses is
-    # made good by smaller ones. At most 1 / (edge x p) documents of a source lie over an edge.
-    left = {s: max(0.0, x - int(x + 1e-12)) * stats[s]["t"] for s, x in f.items()}
-    edges = spark.createDataFrame([(s, *(e * v for e in LARGE)) for s, v in left.items()], "source string, " + ", ".join(f"e{i} double" for i in range(len(LARGE))))
-    cls = F.coalesce(*[F.when(F.col("n_tokens") > F.col(f"e{i}"), i) for i in range(len(LARGE))], F.lit(len(LARGE)))
-    d = stage(d.join(F.broadcast(edges), "source").withColumn("cls", cls).drop(*[f"e{i}" for i in range(len(LARGE))]))
-    sums = {(r["source"], r["cls"]): r["t"] for r in d.groupBy("source", "cls").agg(F.sum("n_tokens").alias("t")).collect()}  # a row a source and class
-
-    def drawn(k: int) -> DataFrame:
-        ps = [(s, min(1.0, max(0.0, v / r)) if (r := sum(t for (q, c), t in sums.items() if q == s and c >= k)) else 0.0) for s, v in left.items()]
-        return d.filter((F.col("cls") == k) & (F.col("p") > 0)).drop("p").join(F.broadcast(spark.createDataFrame(ps, "source string, p double")), "source").select("source", "doc_id", "n_tokens", "p", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("blocks")).alias("blk"))
-
-    got = spark.createDataFrame([], schema)
-    for k in range(len(LARGE)):
-        if any(c == k for _, c in sums):
-            part = stage(drawn(k).withColumn("blk", F.lit(0)).groupBy("source", "blk").applyInPandas(fly(True), schema)).filter("p = 1")
-            for r in part.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect():
-                left[r["source"]] -= r["t"]
-            got = got.union(part)
-    todo = drawn(len(LARGE))
-    got = got.union(todo.filter("p = 1").drop("blk"))
-    todo = todo.filter("p > 0 and p < 1")
-    blocks = max(max(1, -(-v["n"] // block)) for v in stats.values())
-    while blocks > 1:
-        flown = stage(todo.groupBy("source", "blk").applyInPandas(fly(False), schema))
-        got = got.union(flown.filter("p = 1"))
-        blocks = -(-2 * blocks // block)
-        todo = flown.filter("p > 0 and p < 1").withColumn("blk", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(blocks)))
-    end = todo.withColumn("blk", F.lit(0)).groupBy("source", "blk").applyInPandas(fly(True), schema)
+    hashed = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(seed + salt)), n)
+    todo = d.filter("p > 0 and p < 1").select("source", "doc_id", "n_tokens", "p", "apart", "blocks")
+    last, got = todo.filter((F.col("blocks") == 1) | (hashed(F.col("apart"), 1) == 0)).select(*_FLOWN), spark.createDataFrame([], schema)
+    blocks = max(-(-v["n"] // block) for v in stats.values())
+    if blocks > 1:
+        todo = todo.filter((F.col("blocks") > 1) & (hashed(F.col("apart"), 1) != 0)).withColumn("blk", hashed(F.col("blocks"), 2)).drop("apart", "blocks")
+        while True:
+            flown = stage(todo.groupBy("source", "blk").applyInPandas(fly(False), schema))
+            got, left = got.union(flown.filter("p = 1")), flown.filter("p > 0 and p < 1")
+            if 2 * blocks <= block:  # at most two of each block are left
+                break
+            blocks = -(-2 * blocks // block)
+            todo = left.withColumn("blk", hashed(F.lit(blocks), 3 + blocks))
+        last = last.union(left)
+    end = last.withColumn("blk", F.lit(0)).groupBy("source", "blk").applyInPandas(fly(True), schema)
     chosen = got.union(end).filter("p = 1").select("doc_id", F.lit(1).cast("long").alias("more"))
     return d.join(chosen, "doc_id", "left").select("doc_id", "source", "n_tokens", (F.col("whole") + F.coalesce("more", F.lit(0))).alias("n_used")).filter("n_used > 0")
 
 
+_FLOWN = ("source", "doc_id", "n_tokens", "p")
+
+
 def shares(mix: DataFrame, plan: DataFrame) -> DataFrame:
     """(source, target_share, actual_share, n_docs, n_tokens, most_used) of a mixture."""
     s = cut(mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("n_used")).alias("n_tokens"), F.count("*").alias("n_docs"), F.max("n_used").alias("most_used")))
