@@ -304,10 +304,8 @@ def test_roles_order_and_slots(spark):
 
 
 def test_prefilters_lose_no_residue(spark):
-    texts = ["[Insert name here]", "The [Logo Goes Here]", "Todo: text", "&LT;your name&gt;", "Hello {{x}}", "No mark at all", None]
-    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "id long, t string")
-    got = t.select("id", residue.may_have_slots(F.col("t")).alias("may"), residue.slots_to_words(F.col("t")).contains("phslot").alias("has")).orderBy("id").collect()
-    assert [r["has"] for r in got] == [True] * 5 + [False, None] and all(r["may"] for r in got[:5])
+    texts = ["[Insert name here]", "The [Logo Goes Here]", "Todo: text", "&LT;your name&gt;", "Hello {{x}}", "a :name: b", "No mark at all: so, 5 % of it"]
+    assert [" phslot " in residue.slots_to_words(t) for t in texts] == [True] * 6 + [False]
     index = residue.Index(residue.EXEMPLARS)
     r = np.random.default_rng(1)
     idf = r.uniform(0.1, 12, len(index.vocab))
@@ -347,8 +345,21 @@ def test_flight_keeps_totals():
     assert ((p > 0) & (p < 1)).sum() <= 2 and abs(p.sum() - p0.sum()) < 1e-6 and abs((p * size).sum() - (p0 * size).sum()) < 1e-3
     many = np.array([mix.flight(np.full(12, 0.25), np.arange(1.0, 13.0), np.random.default_rng(s)) for s in range(3000)])
     assert np.abs(many.mean(axis=0) - 0.25).max() < 0.04  # inclusion probabilities are kept
-    whole = mix.last_flight(p0, size, np.random.default_rng(3))
-    assert set(whole) <= {0.0, 1.0} and abs((whole * size).sum() - (p0 * size).sum()) < 20
+    for seed in range(20):
+        whole = mix.landing(p0, size, np.random.default_rng(seed))
+        assert set(whole) <= {0.0, 1.0} and abs((whole * size).sum() - (p0 * size).sum()) < 1500  # of 370,000, by the smallest units
+
+
+def test_landing_keeps_inclusion_probabilities():
+    r = np.random.default_rng(5)
+    size = np.round(np.exp(r.uniform(0, 9, 60))) + 1
+    p = r.uniform(0.2, 0.8, 60)
+    n = 4000
+    got = np.array([mix.landing(p, size, np.random.default_rng([9, s])) for s in range(n)])
+    assert np.abs(got.mean(axis=0) - p).max() < 4.5 * 0.5 / np.sqrt(n)
+    assert np.abs(got.mean() - p.mean()) < 0.002
+    two = np.array([mix.rounded(np.array([0.3, 0.9, 1.0, 0.0]), np.random.default_rng(s)) for s in range(n)])
+    assert np.abs(two.mean(axis=0) - [0.3, 0.9, 1.0, 0.0]).max() < 0.03
 
 
 def test_mixture(spark):

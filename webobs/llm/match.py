@@ -1,4 +1,4 @@
-"""Matching organisations across two tables without a key (problem 1): BM25 retrieval, nearest of one side, calibrated confidence."""
+"""Matching organisations across two tables without a key (problem 1): BM25 retrieval, mutually nearest stems, calibrated confidence."""
 
 from __future__ import annotations
 
@@ -85,26 +85,60 @@ def _one(k: str, c: Column, field: str) -> Column:
     return F.when(c.isNotNull(), F.array(F.struct(F.concat(F.lit(k + ":"), c.cast("string")).alias("token"), F.lit(field).alias("field")))).otherwise(F.array().cast("array<struct<token:string,field:string>>"))
 
 
-def candidates(left: DataFrame, right: DataFrame, k1: float = 1.2, b: float = 0.75, block: int = 1000) -> DataFrame:
-    """(l, r, score, name, site, initials, asn): BM25 over the tokens of all attributes, by inverted index.
+def candidates(left: DataFrame, right: DataFrame, k1: float = 1.2, b: float = 0.75, block: int = 1000, k: int = 10) -> DataFrame:
+    """(l, r, score, plain, name, site, initials, asn): BM25 over the tokens of all attributes, by inverted index, with exact top-k pruning.
 
-    left: (id, token, kind, field), right: (id, token); both without repeats, token being a hash of kind and text. No token
-    is left out; the posting list of a frequent one is split into parts of about `block` records, each of which meets all
-    records of the left with that token, so that no task has a hot token to itself. Candidates are exact: every
-    record that shares a token is scored. name and site are 2 for an equal stem and 1 for one within an edit; the rest are 0 or 1.
+    left: (id, token, kind, field), right: (id, token); both without repeats, token being a hash of kind and text. For each
+    record of either side all pairs are given that share a whole stem, initials or number, and of the others those of its k
+    best scores, none lost. plain is the score without numbers; name and site are 2 for an equal stem and 1 for one within an
+    edit; the rest are 0 or 1.
+
+    Frequent forms with a letter left out (over `block` records) make no candidates at first. What they can add at most (the
+    largest weight of each) bounds every pair that shares nothing else: only records whose bound reaches their k-th best
+    score look them up. The posting list of a frequent token is split into parts of about `block` records, each of which meets
+    all records of the left with that token, so that no task has a hot token to itself.
     """
-    r = right.select(F.col("id").alias("r"), "token")
-    r = stage(r)
+    r = stage(right.select(F.col("id").alias("r"), "token"))
     size = r.groupBy("r").agg(F.count("*").alias("len"))
     n, avg = size.agg(F.count("*"), F.avg("len")).first()
     n, avg = n or 0, avg or 1.0
     df = r.groupBy("token").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / block).cast("long"))
-    post = r.join(df, "token").join(size, "r").withColumn("w", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.lit(avg)))).select("r", "token", F.pmod(F.xxhash64("r"), F.col("parts")).alias("part"), "w")
-    q = left.select(F.col("id").alias("l"), "token", "kind", "field").join(df, "token").select("l", "token", "kind", "field", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    w = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * (k1 + 1) / (1 + k1 * (1 - b + b * F.col("len") / F.lit(avg)))
+    post = stage(r.join(df, "token").join(size, "r").select("r", "token", "parts", F.pmod(F.xxhash64("r"), F.col("parts")).alias("part"), w.alias("w")))
+    most = post.groupBy("token").agg(F.max("w").alias("most"), F.first("parts").alias("parts"))
+    q = stage(left.select(F.col("id").alias("l"), "token", "kind", "field").join(most, "token").withColumn("lazy", (F.col("kind") == "d") & (F.col("parts") > 1)))
     kind = F.col("kind")
-    level = lambda f: F.max(F.when((F.col("field") == f) & (kind == "x"), 2).when((F.col("field") == f) & (kind == "d"), 1).otherwise(0))
-    once = q.join(post, ["token", "part"]).groupBy("l", "r", "token").agg(F.first("w").alias("w"), *[level(f).alias(f) for f in ("name", "site")], F.max((F.col("field") == "initials").cast("int")).alias("initials"), F.max((F.col("field") == "asn").cast("int")).alias("asn"))
-    return once.groupBy("l", "r").agg(F.sum("w").alias("score"), *[F.max(x).alias(x) for x in ("name", "site", "initials", "asn")])
+    level = lambda f: F.max(F.when((F.col("field") == f) & (kind == "x"), 2).when((F.col("field") == f) & (kind == "d"), 1).otherwise(0)).alias(f)
+    flag = lambda f: F.max((F.col("field") == f).cast("int")).alias(f)
+
+    def shared(q: DataFrame, post: DataFrame, on: list[str]) -> DataFrame:
+        """(l, r, token, w, ...): what pairs have in common, each token once."""
+        if on == ["token", "part"]:
+            q = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        x = q.drop("parts", "most", "lazy").join(post.select("r", "token", "part", "w") if "part" in on else post.select("r", "token", "w"), on)
+        return x.groupBy("l", "r", "token").agg(F.first("w").alias("w"), level("name"), level("site"), flag("initials"), flag("asn"))
+
+    def pairs(once: DataFrame) -> DataFrame:
+        return once.groupBy("l", "r").agg(F.sum("w").alias("score"), F.sum(F.when(F.col("asn") == 0, F.col("w")).otherwise(0.0)).alias("plain"), *[F.max(x).alias(x) for x in ("name", "site", "initials", "asn")])
+
+    eager = shared(q.filter("not lazy"), post, ["token", "part"])
+    got = pairs(eager)
+    lazy = q.filter("lazy")
+    if not lazy.isEmpty():
+        got = stage(got)
+        # The k-th best score so far, of each record of either side, and the most its frequent forms can give.
+        bar = lambda c: got.select(c, "score").withColumn("i", F.row_number().over(Window.partitionBy(c).orderBy(F.desc("score")))).filter(F.col("i") == k).select(c, F.col("score").alias("bar"))
+        ql = lazy.select("l", "token", "most").distinct()
+        pr = post.join(ql.select("token").distinct(), "token")
+        open_l = ql.groupBy("l").agg(F.sum("most").alias("u")).join(bar("l"), "l", "left").filter("bar is null or u >= bar").select("l")
+        open_r = pr.groupBy("r").agg(F.sum("w").alias("u")).join(bar("r"), "r", "left").filter("bar is null or u >= bar").select("r")
+        more = shared(lazy.join(open_l, "l", "left_semi"), pr, ["token", "part"]).select("l", "r").union(shared(lazy, pr.join(open_r, "r", "left_semi"), ["token", "part"]).select("l", "r")).distinct()
+        every = stage(got.select("l", "r").union(more).distinct())
+        got = pairs(eager.union(shared(lazy.join(every, "l"), post.withColumnRenamed("r", "r"), ["token", "r"])))
+    # The k best scores of each record, equal ones as one; pairs that share more than a form with a letter left out stay.
+    rank = lambda c: F.dense_rank().over(Window.partitionBy(c).orderBy(F.desc(F.round("score", 9))))
+    whole = (F.col("name") == 2) | (F.col("site") == 2) | (F.col("initials") > 0) | (F.col("asn") > 0)
+    return got.withColumn("kl", rank("l")).withColumn("kr", rank("r")).filter(whole | (F.col("kl") <= k) | (F.col("kr") <= k)).drop("kl", "kr")
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> np.ndarray:
@@ -125,10 +159,12 @@ def match(orgs: DataFrame, nets: DataFrame, sample: int = 20_000) -> DataFrame:
     org forms; a pair counts when
     - their stems agree by name (or, for initials, by site or number), and their lines of business don't contradict;
     - where one side names no line of business, the stem stands for one line only, or the number decides;
-    - a stem that is equal only but for an edit must be nearest for one side: no candidate of that side scores better. The
-      other side may have better ones, as rows of one organisation in other spellings, with which all pairs count.
-    Confidence is a logistic function of the score and of its gap to the best other stem, fitted on at most `sample`
-    retrieved pairs; their label is whether two of name, site and number agree and the lines of business don't contradict. Empty and null names match nothing.
+    - where the stem is equal only but for an edit, the two are mutually nearest: for neither of them is there a better
+      candidate, other than one whose stem is itself within an edit of this one's, as spellings of one organisation are.
+    Confidence is a logistic function of the score, of its gap to the best other stem and of the agreement of the lines of
+    business, none of which knows numbers. It is fitted on at most `sample` retrieved pairs of rows that both have numbers; their
+    label is whether these agree. As numbers of true pairs often differ, the function is divided by its mean over pairs whose
+    numbers agree (the estimate of Elkan and Noto for labels that miss positives). Empty and null names match nothing.
     """
     org = orgs.filter(F.trim(F.coalesce("orgname", F.lit(""))) != "").select(F.col("as_id").cast("long").alias("as_id"), name_parts(F.col("orgname")).alias("p"), F.expr("try_cast(asn AS bigint)").alias("asn"))
     org = org.select("as_id", F.array_sort("p.stems").alias("stems"), "p.sector", "asn").withColumn("form", F.xxhash64("stems", "sector"))
@@ -144,7 +180,7 @@ def match(orgs: DataFrame, nets: DataFrame, sample: int = 20_000) -> DataFrame:
     right = split(of.select(F.col("form").alias("id"), F.concat(_tokens(F.col("stems"), "any"), _one("a", _initials(stem1, F.col("sector")), "initials")).alias("tokens"))).union(number(org)).select("id", "token").distinct()
     left = split(nf.select(F.col("form").alias("id"), F.concat(_tokens(F.col("stems"), "name"), _tokens(F.col("sites"), "site"), _one("a", F.col("initials"), "initials")).alias("tokens"))).union(number(net))
     c = candidates(left, right)
-    c = c.join(of.select(F.col("form").alias("r"), F.col("stems").alias("o_stems"), "sector"), "r").join(nf.select(F.col("form").alias("l"), F.col("stems").alias("n_stems"), "ns", "ss", "nw", "whole", F.col("initials").isNotNull().alias("short"), F.size("stems").alias("named"), F.substring("initials", 5, 2).alias("two")), "l")
+    c = c.join(of.select(F.col("form").alias("r"), F.col("stems").alias("o_stems"), "sector"), "r").join(nf.select(F.col("form").alias("l"), F.col("stems").alias("n_stems"), F.col("sites").alias("n_sites"), "ns", "ss", "nw", "whole", F.col("initials").isNotNull().alias("short"), F.size("stems").alias("named"), F.substring("initials", 5, 2).alias("two")), "l")
     # A label that is the org's stem as a whole (one ending like a line of business) says nothing about its line.
     said = ((F.col("site") > 0) | (F.col("named") == 0)) & ~F.coalesce(F.array_contains("o_stems", F.col("whole")), F.lit(False))
     own = F.when(F.coalesce(F.array_contains("o_stems", F.col("nw")), F.lit(False)), F.lit(None)).otherwise(F.col("ns"))
@@ -153,25 +189,34 @@ def match(orgs: DataFrame, nets: DataFrame, sample: int = 20_000) -> DataFrame:
     by_name = (F.col("name") > 0) | (F.col("short") & (((F.col("initials") > 0) & ((F.col("site") > 0) | (F.col("asn") > 0))) | (F.col("site") > 0)))
     by_site = ~F.col("short") & (F.col("name") == 0) & (F.col("site") > 0) & ((F.col("named") == 0) | (F.col("asn") > 0))
     c = stage(c.withColumn("near", by_name | by_site).withColumn("group", F.array_join("o_stems", " ")))
-    gap = c.groupBy("l", "group").agg(F.max("score").alias("s")).withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("s"), "group"))).filter("rank <= 2")
+    gap = c.groupBy("l", "group").agg(F.max("plain").alias("s")).withColumn("rank", F.row_number().over(Window.partitionBy("l").orderBy(F.desc("s"), "group"))).filter("rank <= 2")
     gap = gap.groupBy("l").agg(F.max("s").alias("s1"), F.coalesce(F.min(F.when(F.col("rank") == 2, F.col("s"))), F.lit(0.0)).alias("s2"))
     # The gap of a pair: its score over the best of other stems (negative unless it is the best itself).
-    c = c.join(gap, "l").withColumn("gap", F.when(F.col("score") >= F.col("s1"), F.col("score") - F.col("s2")).otherwise(F.col("score") - F.col("s1")))
-    agree = (F.col("name") > 0).cast("int") + (F.col("site") > 0).cast("int") + (F.col("asn") > 0).cast("int")
-    label = ((agree >= 2) & F.coalesce(F.col("same"), F.lit(True))).cast("int")
-    fit = c.orderBy(F.xxhash64("l", "r")).limit(sample).select("score", "gap", label.alias("y")).toPandas()
-    x, y = fit[["score", "gap"]].to_numpy(float), fit["y"].to_numpy(float)
-    mean, dev = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(2), np.ones(2))
-    w = _logistic((x - mean) / dev, y) if len(x) else np.zeros(3)
-    z = sum((F.col(n) - float(m)) / float(s) * float(v) for n, m, s, v in zip(("score", "gap"), mean, dev, w)) + float(w[2])
+    c = c.join(gap, "l").withColumn("gap", F.when(F.col("plain") >= F.col("s1"), F.col("plain") - F.col("s2")).otherwise(F.col("plain") - F.col("s1")))
+    c = c.withColumn("agree", F.when(F.col("same"), 1.0).when(~F.col("same"), -1.0).otherwise(0.0)).withColumn("exact", (F.col("name") == 2) | ((F.col("name") == 0) & (F.col("site") == 2)))
+    numbered = lambda d: d.filter("asn is not null").select(F.col("form")).distinct()
+    both = c.join(numbered(net).withColumnRenamed("form", "l"), "l", "left_semi").join(numbered(org).withColumnRenamed("form", "r"), "r", "left_semi")
+    fit = both.orderBy(F.xxhash64("l", "r")).limit(sample).select("plain", "gap", "agree", (F.col("asn") > 0).cast("int").alias("y"), (F.col("exact") & F.coalesce("same", F.lit(True))).cast("int").alias("z")).toPandas()
+    x, y = fit[["plain", "gap", "agree"]].to_numpy(float), fit["y"].to_numpy(float)
+    if min(y.sum(), len(y) - y.sum()) < 20:
+        y = fit["z"].to_numpy(float)  # too few numbers to learn from: equal stems stand in for them
+    mean, dev = (x.mean(axis=0), x.std(axis=0) + 1e-9) if len(x) else (np.zeros(3), np.ones(3))
+    w = _logistic((x - mean) / dev, y) if len(x) else np.zeros(4)
+    p = 1 / (1 + np.exp(-np.clip((x - mean) / dev @ w[:-1] + w[-1], -30, 30)))
+    rate = max(float(p[y > 0].mean()) if (y > 0).any() else 1.0, 1e-3)
+    z = sum((F.col(n) - float(m)) / float(s) * float(v) for n, m, s, v in zip(("plain", "gap", "agree"), mean, dev, w)) + float(w[-1])
+    sure = F.when(F.col("asn") > 0, 1.0).otherwise(F.least(F.lit(1.0), 1 / (1 + F.exp(-z)) / rate))
     c = c.filter(F.col("near") & (F.col("same").isNull() | F.col("same")))
     # Lines of business that go with a stem, as the org side has them.
     w_l, w_r = Window.partitionBy("l"), Window.partitionBy("r")
     lines = c.filter(F.col("sector").isNotNull()).groupBy("l").agg(F.count_distinct("sector").alias("lines"))
     c = c.join(lines, "l", "left")
-    exact = (F.col("name") == 2) | ((F.col("name") == 0) & (F.col("site") == 2))
-    c = c.withColumn("exact", exact).withColumn("top_l", F.max("score").over(w_l)).withColumn("top_r", F.max("score").over(w_r))
+    # The nearest of each side, and whether a pair's own stem is a spelling of that.
+    best = lambda w, stems: F.max(F.struct(F.round("score", 9).alias("s"), F.col(stems).alias("stems"))).over(w)
+    c = c.withColumn("n_all", F.array_union("n_stems", "n_sites")).withColumn("top_l", best(w_l, "o_stems")).withColumn("top_r", best(w_r, "n_all"))
+    forms = lambda a: F.flatten(F.transform(a, _near_forms))
+    spelling = lambda own, top: (F.round("score", 9) >= F.col(f"{top}.s")) | F.arrays_overlap(forms(F.col(own)), forms(F.col(f"{top}.stems")))
     c = c.filter(F.col("same") | (F.coalesce("lines", F.lit(0)) <= 1) | (F.col("asn") > 0))
-    c = c.filter(F.col("exact") | (F.col("score") >= F.col("top_l") - 1e-9) | (F.col("score") >= F.col("top_r") - 1e-9))
-    c = c.select("l", "r", F.round(1 / (1 + F.exp(-z)), 6).alias("confidence"))
+    c = c.filter(F.col("exact") | (spelling("o_stems", "top_l") & spelling("n_all", "top_r")))
+    c = c.select("l", "r", F.round(sure, 6).alias("confidence"))
     return c.join(net.select("net_id", F.col("form").alias("l")), "l").join(org.select("as_id", F.col("form").alias("r")), "r").groupBy("as_id", "net_id").agg(F.max("confidence").alias("confidence"))
