@@ -50,9 +50,10 @@ def site_groups(ends: DataFrame, dest: str, vantage: str, net: str) -> DataFrame
     """(dest, vantage, site): greedy_sites per destination; a site is named by its founding vantage.
 
     Vantages in different components of the (vantage, network) graph of a destination never meet, so the ordered pass runs
-    per component and no task needs a whole destination.
+    per component and no task needs a whole destination. A vantage without any network meets no other and is a site of its own.
     """
     e = ends.select(dest, vantage, net).filter(F.col(net).isNotNull()).distinct()
+    lone = ends.groupBy(dest, vantage).agg(F.count(net).alias("__n")).filter("__n = 0").select(dest, vantage, F.col(vantage).alias("site"))
     e = e.withColumn("__v", F.xxhash64(F.lit("v"), dest, vantage)).withColumn("__n", F.xxhash64(F.lit("n"), dest, net))
     comp = components(e.select(F.col("__v").alias("a"), F.col("__n").alias("b")))
     kinds = dict(ends.dtypes)
@@ -65,7 +66,7 @@ def site_groups(ends: DataFrame, dest: str, vantage: str, net: str) -> DataFrame
             first.setdefault(k, v)
         return pd.DataFrame({dest: g[dest].iloc[0], vantage: [v for v, _ in got], "site": [first[k] for _, k in got]})
 
-    return e.join(comp.select(F.col("id").alias("__v"), "comp"), "__v").groupBy("comp").applyInPandas(run, f"{dest} {kinds[dest]}, {vantage} {kinds[vantage]}, site {kinds[vantage]}")
+    return e.join(comp.select(F.col("id").alias("__v"), "comp"), "__v").groupBy("comp").applyInPandas(run, f"{dest} {kinds[dest]}, {vantage} {kinds[vantage]}, site {kinds[vantage]}").union(lone)
 
 
 def _km(a: tuple[float, float], b: tuple[float, float]) -> float:
@@ -123,7 +124,40 @@ def hostnames(hops: DataFrame) -> DataFrame:
     return h.groupBy("ip", "hostname").agg(F.count_distinct("loc_id").alias("vantages"))
 
 
+def destination_names(hops: DataFrame, target: str = "target_host") -> DataFrame:
+    """(dest_ip, hosts): the sorted names under which each destination address was reached."""
+    return hops.filter(F.col("dest_ip").isNotNull() & F.col(target).isNotNull()).groupBy("dest_ip").agg(F.array_sort(F.collect_set(target)).alias("hosts"))
+
+
+def reached(hops: DataFrame) -> DataFrame:
+    """(dest_ip, loc_id, rtt): the least round trip of each vantage to a destination that answered; no answer, no row."""
+    return hops.filter("ip = dest_ip and rtt is not null").groupBy("dest_ip", "loc_id").agg(F.min("rtt").alias("rtt"))
+
+
 def end_networks(hops: DataFrame, prefix: int) -> DataFrame:
-    """(dest_ip, loc_id, rtt, net): networks of the second-last answering hops of each trace."""
-    h = hops.filter("ip is not null and dest_ip is not null").select("trace_id", "loc_id", "dest_ip", "hop_index", "ip", "rtt")
-    return second_last(h, ["trace_id"]).distinct().select("dest_ip", "loc_id", "rtt", subnet(F.col("ip"), prefix).alias("net"))
+    """(dest_ip, loc_id, net): networks of the second-last answering hops of each trace whose destination answered.
+
+    The destination itself is no such network; a vantage whose traces have no other end hop has one row with a null net.
+    """
+    h = least_rtt(hops.filter("dest_ip is not null"), "trace_id").join(hops.groupBy("trace_id").agg(F.min("loc_id").alias("loc_id"), F.min("dest_ip").alias("dest_ip")), "trace_id")
+    h = h.join(h.filter("ip = dest_ip").select("trace_id"), "trace_id", "left_semi")
+    ends = second_last(h, ["trace_id"]).filter("ip <> dest_ip").select("trace_id", subnet(F.col("ip"), prefix).alias("net"))
+    return h.select("trace_id", "dest_ip", "loc_id").distinct().join(ends, "trace_id", "left").select("dest_ip", "loc_id", "net").distinct()
+
+
+def geolocated(groups: DataFrame, rtts: DataFrame, vantages: DataFrame, sites: DataFrame, candidates: DataFrame, near_ms: float = 3.0) -> DataFrame:
+    """(dest_ip, site, site_id, how, votes): the replica site where each group of vantages of a destination lies.
+
+    groups: (dest_ip, loc_id, site); rtts: (dest_ip, loc_id, rtt); vantages: (vantage, lat, lon); candidates: (dest_ip, loc_id,
+    site_id). With vantages within near_ms of the destination it is the replica nearest to the deciding one (located_sites;
+    'near', votes = their number); else the replica that most vantages' traces allow, the smallest of equals ('votes').
+    Groups with neither have no row.
+    """
+    from webobs.operators.geo import nearest
+
+    g = groups.join(rtts, ["dest_ip", "loc_id"]).select("dest_ip", F.col("loc_id").alias("vantage"), "site", "rtt")
+    at = located_sites(g, vantages, "dest_ip")
+    near = nearest(at, ["dest_ip", "site", "n_vantages"], sites, "site_id", "lat", "lon").select("dest_ip", "site", "site_id", F.lit("near").alias("how"), F.col("n_vantages").alias("votes"))
+    v = groups.join(candidates, ["dest_ip", "loc_id"]).groupBy("dest_ip", "site", "site_id").agg(F.count("*").alias("votes"))
+    v = v.groupBy("dest_ip", "site").agg(F.max_by(F.struct("site_id", "votes"), F.struct(F.col("votes"), -F.col("site_id"))).alias("m")).select("dest_ip", "site", "m.site_id", F.lit("votes").alias("how"), "m.votes")
+    return near.union(v.join(near.select("dest_ip", "site"), ["dest_ip", "site"], "left_anti"))

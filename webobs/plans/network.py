@@ -77,9 +77,11 @@ def inner_lookup(t):
 
 @query("SELECT m.site_id AS machine, v.loc_id FROM replica_site m, vp_location v WHERE m.site_index = 0")
 def cross_tasks(t):
-    """Every probing machine with every vantage point: the task list (machines are few and fixed)."""
-    m = t.replica_site.filter("site_index = 0").select(col("site_id").alias("machine"))
-    return t.vp_location.select("loc_id").crossJoin(F.broadcast(m)).select("machine", "loc_id")
+    """Every probing machine with every vantage point: the task list. Machines are a stated list, counted before they go along."""
+    ids = [r[0] for r in t.replica_site.filter("site_index = 0").select("site_id").limit(10_001).collect()]
+    if len(ids) > 10_000:
+        raise ValueError("more than 10,000 probing machines")
+    return t.vp_location.select(F.explode(F.array(*map(F.lit, ids)).cast("array<bigint>")).alias("machine"), "loc_id")
 
 
 _PAD = "' ' || trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'), ' ') || ' '"
@@ -221,24 +223,68 @@ def inverted_index(t):
     return h.groupBy("ip", "hostname").agg(F.count_distinct("loc_id").alias("vantages"))
 
 
-@query(f"WITH {_SECOND} SELECT dest_ip, {_NUM.format('ip')} - {_NUM.format('ip')} % 256 AS net, array_to_string(list_sort(list_distinct(list(loc_id))), ',') AS vantages FROM s WHERE {_VALID.format('ip')} GROUP BY 1, 2")
+_ENDS = """f AS (SELECT trace_id, ip, min(hop_index) hop_index FROM trace_hop WHERE dest_ip IS NOT NULL AND ip IS NOT NULL AND rtt IS NOT NULL GROUP BY 1, 2),
+ q AS (SELECT trace_id, min(loc_id) loc_id, min(dest_ip) dest_ip FROM trace_hop GROUP BY 1), h AS (SELECT * FROM f JOIN q USING (trace_id)), o AS (SELECT trace_id FROM h WHERE ip = dest_ip),
+ s AS (SELECT * FROM (SELECT *, dense_rank() OVER (PARTITION BY trace_id ORDER BY hop_index DESC) r FROM h WHERE trace_id IN (SELECT trace_id FROM o)) WHERE r = 2 AND ip <> dest_ip)"""
+
+
+@query(f"WITH {_ENDS} SELECT dest_ip, {_NUM.format('ip')} - {_NUM.format('ip')} % 256 AS net, array_to_string(list_sort(list_distinct(list(loc_id))), ',') AS vantages FROM s WHERE {_VALID.format('ip')} GROUP BY 1, 2")
 def site_groups(t):
     e = anycast.end_networks(t.trace_hop, 24).filter("net is not null")
     return e.groupBy("dest_ip", "net").agg(F.array_join(F.array_sort(F.collect_set("loc_id")), ",").alias("vantages"))
 
 
+def _candidates_of(t, hops, rtts, own=None):
+    """(target = dest_ip, vantage, site_id, way): replica sites each vantage's traces to a destination allow, by verified middle hops."""
+    v = _points(t).select(col("loc_id").alias("vantage"), col("latitude").alias("v_lat"), col("longitude").alias("v_lon"))
+    ends = rtts.select(col("dest_ip").alias("target"), col("loc_id").alias("vantage"), "rtt").join(v, "vantage")
+    h = hops.filter("ip is not null and rtt is not null and ip <> dest_ip").select(col("dest_ip").alias("target"), col("loc_id").alias("vantage"), "hop_index", "ip", "hostname", "rtt")
+    d = cut(_dictionary(t))
+    part = F.split("hostname", r"\.")[1]
+    short = d.groupBy(F.substring("city", 1, 3).alias("code")).agg(F.max_by(F.struct("lat", "lon"), F.struct("population", "city")).alias("m"))
+    by_name = h.filter("hostname is not null").select("hostname").distinct().join(short, part == col("code")).select("hostname", "m.lat", "m.lon")
+    at = _points(t).filter(N.is_ipv4(col("ip_addr"))).groupBy(N.subnet(col("ip_addr"), 24).alias("net")).agg(F.min_by(F.struct(col("latitude").alias("lat"), col("longitude").alias("lon")), "loc_id").alias("m")).select("net", "m.lat", "m.lon")
+    if own is not None:
+        h = h.withColumn("__n", N.subnet(col("ip"), 30)).join(own, ["target", "vantage", "__n"], "left").drop("__n")
+    middle = cut(geo.verified_hops(h, v, by_name, at))
+    return geo.site_candidates(ends, middle, _sites(t))
+
+
+def _anycast(t):
+    """(groups, rtts, located): the greedy groups at /30 of destinations with several, round trips, and where the groups lie."""
+    hops = t.trace_hop.join(anycast.usable_traces(t.trace_hop), "trace_id", "left_semi")
+    e = cut(anycast.end_networks(hops, 30))
+    g = cut(anycast.site_groups(e, "dest_ip", "loc_id", "net"))
+    many = g.groupBy("dest_ip").agg(F.count_distinct("site").alias("sites")).filter("sites > 1").select("dest_ip")
+    g = cut(g.join(many, "dest_ip"))
+    rtts = anycast.reached(hops)
+    # The networks that founded a vantage's site: hops inside them aren't placed by address.
+    own = g.join(e.select("dest_ip", col("loc_id").alias("site"), col("net").alias("__n")), ["dest_ip", "site"]).select(col("dest_ip").alias("target"), col("loc_id").alias("vantage"), "__n", F.lit(True).alias("own")).filter("__n is not null").distinct()
+    only = hops.join(g.select("dest_ip", "loc_id").distinct(), ["dest_ip", "loc_id"], "left_semi")
+    c = _candidates_of(t, only, rtts.join(many, "dest_ip"), own).select(col("target").alias("dest_ip"), col("vantage").alias("loc_id"), "site_id")
+    v = _points(t).select(col("loc_id").alias("vantage"), col("latitude").alias("lat"), col("longitude").alias("lon"))
+    return g, rtts, anycast.geolocated(g, rtts, v, _sites(t), c)
+
+
 @query()
 def anycast_sites(t):
-    """Destinations with several sites at /30: greedy groups of vantages, and where near vantages place them."""
-    ok = anycast.usable_traces(t.trace_hop)
-    e = cut(anycast.end_networks(t.trace_hop.join(ok, "trace_id", "left_semi"), 30).filter("net is not null"))
-    g = cut(anycast.site_groups(e, "dest_ip", "loc_id", "net"))
-    many = g.groupBy("dest_ip").agg(F.count_distinct("site").alias("sites")).filter("sites > 1")
-    rtt = e.groupBy("dest_ip", "loc_id").agg(F.min("rtt").alias("rtt"))
-    v = t.vp_location.select(col("loc_id").alias("vantage"), col("latitude").alias("lat"), col("longitude").alias("lon"))
-    at = anycast.located_sites(g.join(rtt, ["dest_ip", "loc_id"]).select("dest_ip", col("loc_id").alias("vantage"), "site", "rtt"), v, "dest_ip")
-    n = g.join(many, "dest_ip").groupBy("dest_ip", "site").agg(F.count("*").alias("vantages"))
-    return n.join(at, ["dest_ip", "site"], "left").select("dest_ip", "site", "vantages", "near_id", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+    """Destinations with several sites at /30: greedy groups of vantages, and the replica site where each lies, if one is found."""
+    g, _, at = _anycast(t)
+    n = g.groupBy("dest_ip", "site").agg(F.count("*").alias("vantages"))
+    return n.join(at, ["dest_ip", "site"], "left").select("dest_ip", "site", "vantages", "site_id", "how", "votes")
+
+
+@query()
+def vantage_report(t):
+    """Each vantage of a usable trace: the replica site it reached last (by destination and group), and its least round trip to any destination."""
+    g, rtts, at = _anycast(t)
+    last = g.join(at, ["dest_ip", "site"]).groupBy("loc_id").agg(F.max_by("site_id", F.struct("dest_ip", "site")).alias("reached_site"))
+    return rtts.groupBy("loc_id").agg(F.min("rtt").alias("rtt")).join(last, "loc_id", "left").select("loc_id", "rtt", "reached_site")
+
+
+@query("SELECT dest_ip, array_to_string(list_sort(list(DISTINCT target_host)), ',') AS hosts FROM trace_hop WHERE dest_ip IS NOT NULL AND target_host IS NOT NULL GROUP BY 1")
+def destination_names(t):
+    return anycast.destination_names(t.trace_hop).select("dest_ip", F.array_join("hosts", ",").alias("hosts"))
 
 
 # ---- places ----
@@ -257,8 +303,10 @@ def _sites(t):
 
 @query(f"WITH {_P} SELECT v.loc_id, round({_VR}, 6) AS km FROM v, replica_site s WHERE s.site_id = (SELECT min(site_id) FROM replica_site)", name="haversine")
 def haversine_km(t):
-    first = _sites(t).orderBy("site_id").limit(1)
-    return geo.with_distance(_points(t), first).select("loc_id", F.round("dist", 6).alias("km"))
+    at = _sites(t).agg(F.min_by(F.struct("s_lat", "s_lon"), "site_id").alias("m")).first()["m"]
+    if at is None:
+        return _points(t).select("loc_id", F.lit(0.0).alias("km")).limit(0)
+    return _points(t).select("loc_id", F.round(haversine(col("latitude"), col("longitude"), F.lit(at["s_lat"]), F.lit(at["s_lon"])), 6).alias("km"))
 
 
 @query(f"WITH {_P}, d AS (SELECT v.loc_id, s.site_id, round({_VR}, 6) km FROM v, replica_site s) SELECT loc_id, site_id, km AS dist FROM (SELECT *, row_number() OVER (PARTITION BY loc_id ORDER BY km, site_id) r FROM d) WHERE r = 1")
@@ -275,8 +323,8 @@ def _reached(t):
 
 @query(f"WITH {_P}, {_RTT} SELECT v.loc_id, count(*) AS sites FROM v JOIN r USING (loc_id), replica_site s WHERE {_VR} <= rtt * 100 GROUP BY 1")
 def distance_join(t):
-    d = geo.with_distance(_points(t).join(_reached(t), "loc_id"), _sites(t))
-    return d.filter(geo.plausible(col("dist"), col("rtt"))).groupBy("loc_id").agg(F.count("*").alias("sites"))
+    d = geo.sites_within(_points(t).join(_reached(t), "loc_id"), ["loc_id"], _sites(t), "site_id", col("rtt") * geo.KM_PER_MS)
+    return d.groupBy("loc_id").agg(F.count("*").alias("sites"))
 
 
 @query(f"""WITH {_P}, q AS (SELECT DISTINCT h.target_host, v.latitude, v.longitude, min(h.rtt) OVER (PARTITION BY h.target_host, v.loc_id) rtt FROM trace_hop h JOIN v USING (loc_id) WHERE h.ip = h.dest_ip AND h.rtt IS NOT NULL),
@@ -286,24 +334,23 @@ def forall_join(t):
     """Sites every vantage's round trip to a host allows."""
     h = t.trace_hop.filter("ip = dest_ip and rtt is not null").groupBy("target_host", "loc_id").agg(F.min("rtt").alias("rtt"))
     q = h.join(_points(t).select("loc_id", "latitude", "longitude"), "loc_id").select("target_host", "latitude", "longitude", "rtt")
-    c = q.select("target_host").distinct().crossJoin(F.broadcast(_sites(t).select("site_id", "s_lat", "s_lon")))
-    return joins.for_all(c, q.withColumnRenamed("target_host", "th").withColumnRenamed("rtt", "r").withColumn("target_host", col("th")), ["target_host"], geo.plausible(haversine(col("latitude"), col("longitude"), col("s_lat"), col("s_lon")), col("r"))).select("target_host", "site_id")
+    return geo.allowed_by_all(q, "target_host", _sites(t), "site_id")
 
 
 @query(f"""WITH {_P}, {_RTT}, d AS (SELECT v.loc_id, s.site_id, round(abs({_VR} - rtt * 66.7), 6) x FROM v JOIN r USING (loc_id), replica_site s)
 SELECT loc_id, site_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY loc_id ORDER BY x, site_id) AS rank FROM d) WHERE rank <= 3""")
 def residual_top3(t):
-    d = geo.with_distance(_points(t).join(_reached(t), "loc_id"), _sites(t)).withColumn("dist", F.round(F.abs(col("dist") - col("rtt") * 66.7), 6))
-    return geo.top_scopes(d, "loc_id", "site_id", {"all": F.lit(True)}).select("loc_id", "site_id", "rank")
+    return geo.top_sites(_points(t).join(_reached(t), "loc_id"), ["loc_id"], _sites(t), "site_id", 3, target=col("rtt") * 66.7).select("loc_id", "site_id", "rank")
 
 
 @query(f"""WITH {_P}, d AS (SELECT v.loc_id, s.site_id, round({_VR}, 6) km, v.country_code = s.country_code same, substring(v.country_code, 1, 1) = substring(s.country_code, 1, 1) cont FROM v, replica_site s),
  u AS (SELECT loc_id, site_id, km, 'all' scope FROM d UNION ALL SELECT loc_id, site_id, km, 'country' FROM d WHERE same UNION ALL SELECT loc_id, site_id, km, 'continent' FROM d WHERE cont)
 SELECT loc_id, scope, rank, site_id FROM (SELECT *, row_number() OVER (PARTITION BY loc_id, scope ORDER BY km, site_id) AS rank FROM u) WHERE rank <= 3""")
 def top3_scopes(t):
-    d = geo.with_distance(_points(t), _sites(t)).withColumn("dist", F.round("dist", 6))
-    same, cont = col("country_code") == col("s_cc"), F.substring("country_code", 1, 1) == F.substring("s_cc", 1, 1)
-    return geo.top_scopes(d, "loc_id", "site_id", {"all": F.lit(True), "country": same, "continent": cont})
+    p, s = _points(t), _sites(t).withColumn("s_cont", F.substring("s_cc", 1, 1))
+    scopes = {"all": None, "country": (col("country_code"), "s_cc"), "continent": (F.substring("country_code", 1, 1), "s_cont")}
+    parts = [geo.top_sites(p, ["loc_id"], s, "site_id", 3, scope=x).select("loc_id", F.lit(n).alias("scope"), "rank", "site_id") for n, x in scopes.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query("""WITH h AS (SELECT DISTINCT trace_id, hop_index, min(rtt) OVER (PARTITION BY trace_id, hop_index) rtt FROM trace_hop WHERE rtt IS NOT NULL)
@@ -402,14 +449,5 @@ def hint_place(t):
 
 @query()
 def site_candidates(t):
-    """Replica sites each vantage's trace to a host allows, by verified middle hops."""
-    v = _points(t).select(col("loc_id").alias("vantage"), col("latitude").alias("v_lat"), col("longitude").alias("v_lon"))
-    h = t.trace_hop.select(col("target_host").alias("target"), col("loc_id").alias("vantage"), "hop_index", "ip", "hostname", "rtt", "dest_ip").filter("ip is not null and rtt is not null")
-    ends = h.filter("ip = dest_ip").groupBy("target", "vantage").agg(F.min("rtt").alias("rtt")).join(v, "vantage")
-    d = cut(_dictionary(t))
-    part = F.split("hostname", r"\.")[1]
-    short = d.groupBy(F.substring("city", 1, 3).alias("code")).agg(F.max_by(F.struct("lat", "lon"), F.struct("population", "city")).alias("m"))
-    by_name = h.filter("hostname is not null").select("hostname").distinct().join(short, part == col("code")).select("hostname", "m.lat", "m.lon")
-    at = _points(t).filter(N.is_ipv4(col("ip_addr"))).groupBy(N.subnet(col("ip_addr"), 24).alias("net")).agg(F.min_by(F.struct(col("latitude").alias("lat"), col("longitude").alias("lon")), "loc_id").alias("m")).select("net", "m.lat", "m.lon")
-    middle = cut(geo.verified_hops(h.filter("ip <> dest_ip").select("target", "vantage", "hop_index", "ip", "hostname", "rtt"), v, by_name, at))
-    return geo.site_candidates(ends, middle, _sites(t))
+    """Replica sites each vantage's traces to a destination allow, by verified middle hops."""
+    return _candidates_of(t, t.trace_hop, anycast.reached(t.trace_hop)).select(col("target").alias("dest_ip"), col("vantage").alias("loc_id"), "site_id", "way")
