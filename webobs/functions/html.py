@@ -196,21 +196,28 @@ def links_near_udf(words: list[str], exact: bool = False):
     return _udf(lambda h: links_near(h, words, exact), "array<string>")
 
 
+def positions(text: str, words: list[str]) -> list[int]:
+    """Where any of words begins in text, as a whole word, in any case."""
+    return [m.start() for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", text, re.I)]
+
+
+def positions_udf(words: list[str]):
+    return _udf(lambda t: positions(t, words), "array<int>")
+
+
 def context(text: str, words: list[str], most: int = 10, side: int = 200, whole: int = 2000) -> str | None:
-    """Keywords in context: None without a hit; the whole text up to `whole` characters; else windows of `side` characters
-    around the last `most` hits (whole words, any case), grown to the next blanks, overlapping ones merged, joined by a blank."""
-    hits = [m.span() for m in re.finditer(r"\b(?:" + "|".join(map(re.escape, words)) + r")\b", text, re.I)]
+    """Keywords in context: None without a hit; the whole text up to `whole` characters; else windows from `side` characters
+    before to `side` after the beginning of each of the last `most` hits (whole words, any case), grown to the next spaces,
+    overlapping ones merged, joined by a blank."""
+    hits = positions(text, words)
     if not hits:
         return None
     if len(text) <= whole:
         return text
     spans: list[list[int]] = []
-    for a, b in hits[-most:]:
-        lo, hi = max(0, a - side), min(len(text), b + side)
-        while lo > 0 and not text[lo - 1].isspace():
-            lo -= 1
-        while hi < len(text) and not text[hi].isspace():
-            hi += 1
+    for a in hits[-most:]:
+        lo, hi = text.rfind(" ", 0, max(0, a - side)) + 1, text.find(" ", min(len(text), a + side))
+        hi = len(text) if hi < 0 else hi
         if spans and lo <= spans[-1][1]:
             spans[-1][1] = max(hi, spans[-1][1])
         else:

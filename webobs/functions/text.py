@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,3 +103,26 @@ def split_hint(hint: Column) -> Column:
     other = F.split(h, r"[\s!-/:-@\[-`{-~]+")
     toks = F.when(F.contains(h, F.lit("(as")), F.array().cast("array<string>")).when(F.contains(h, F.lit(",")), both).otherwise(other)
     return F.array_sort(F.array_distinct(F.filter(F.transform(toks, lambda t: F.trim(t)), lambda t: t != "")))
+
+
+def basic_words_udf(least: int = 4, most: int = 50):
+    """Words as an uncased multilingual word-piece tokenizer has them once its pieces are joined again: lower case, accents off,
+    split at blanks and punctuation, CJK characters apart; those of least..most characters with a letter, as the filter of texts."""
+    split = re.compile(r"[\u4e00-\u9fff\u3400-\u4dbf\uf900-\ufaff]|[^\W_]+|[^\w\s]|_")
+
+    def words(t):
+        if t is None:
+            return []
+        t = "".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn")
+        return [w for w in split.findall(t) if least <= len(w) <= most and any(c.isalpha() for c in w)]
+
+    @F.pandas_udf("array<string>")
+    def run(c: pd.Series) -> pd.Series:
+        return c.map(words)
+
+    return run
+
+
+def harvested(kind: Column, text: Column, near: Column, service: int = 3) -> Column:
+    """Addresses of a page by its class: of a service page all in its text, of another those `near` a keyword (see html.links_near)."""
+    return F.when(kind == service, absolute_urls(text)).otherwise(near)

@@ -64,14 +64,23 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(s, "[^a-z0-9_-]", ""), "_+", "_"), "^_|_$", "")
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with '/', its '.' and '..' steps carried out."""
+    steps = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when((F.element_at(steps, -1).isin(".", "..")) & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
 def resolve(base: Column, link: Column) -> Column:
-    """A link as an absolute address: absolute links stay, '//x' takes the scheme, '/x' the site, others lie under the base."""
-    b = F.regexp_replace(F.trim(base), "/$", "")
-    site = F.regexp_extract(b, "^([A-Za-z]+://[^/?#]+)", 1)
-    parent = F.when(b == site, site).otherwise(F.regexp_replace(b, "/[^/]*$", ""))
+    """A link as an absolute address, by the rules of RFC 3986: '..' steps, '?q', '#f', '//host', and '' for the base itself. Null in, null out."""
+    b = F.trim(base)
+    scheme, site = F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.regexp_extract(b, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path, whole = F.regexp_extract(b, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.regexp_replace(b, "#.*$", "")
+    lp, rest = F.regexp_extract(link, "^([^?#]*)", 1), F.regexp_replace(link, "^[^?#]*", "")
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
     return (
-        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(b, "^([A-Za-z]+:)", 1), link))
-        .when(F.startswith(link, F.lit("/")), F.concat(site, link)).otherwise(F.concat(parent, F.lit("/"), link))
+        F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(site, _without_dots(lp), rest))
+        .when(link == "", whole).when(F.startswith(link, F.lit("?")), F.concat(site, path, link)).when(F.startswith(link, F.lit("#")), F.concat(whole, link)).otherwise(F.concat(site, _without_dots(F.concat(folder, lp)), rest))
     )
 
 
@@ -81,6 +90,18 @@ def probe_form(params: Column, option_name: Column, option: Column, target_name:
     return F.array_join(F.transform(F.array_sort(F.map_entries(all_)), lambda e: F.concat(F.url_encode(e["key"]), F.lit("="), F.url_encode(e["value"]))), "&")
 
 
+def probe_json(params: Column, option_name: Column, option: Column, target_name: Column, target: Column) -> Column:
+    """As probe_form, as a JSON object of strings."""
+    all_ = F.map_concat(params, F.map_from_arrays(F.array(option_name, target_name), F.array(option, target)))
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(all_))))
+
+
+def probe_headers(url: Column, content_type: Column) -> Column:
+    """Headers of a posted request: its content type, and the page it comes from with and without a trailing '/'."""
+    bare = F.regexp_replace(url, "/+$", "")
+    return F.create_map(F.lit("Content-Type"), content_type, F.lit("Origin"), bare, F.lit("Referer"), F.when(F.endswith(url, F.lit("/")), url).otherwise(F.concat(url, F.lit("/"))))
+
+
 def pick_option(values: Column, words: list[str], default: str | None = None) -> Column:
     """First of values (array) that holds any of words, whatever the case, else default."""
     low = lambda v: F.lower(v)

@@ -58,6 +58,35 @@ def longest_prefix(ips: DataFrame, ip_number: str, nets: DataFrame, lo: str, pre
     return ips.join(best, ip_number, "left")
 
 
+def prefix_or_fallback(ips: DataFrame, ip_number: str, tables: list[DataFrame], lo: str, prefix: str, value: str) -> DataFrame:
+    """ips with the value of the longest network of the first table that knows the address, else of the second, and so on; null if none does."""
+    out = ips
+    for i, t in enumerate(tables):
+        out = longest_prefix(out, ip_number, t.withColumnRenamed(value, f"__f{i}"), lo, prefix, f"__f{i}")
+    found = [f"__f{i}" for i in range(len(tables))]
+    return out.withColumn(value, F.coalesce(*found)).drop(*found)
+
+
+def registrable_by(hosts: DataFrame, host: str, rules: DataFrame, rule: str) -> DataFrame:
+    """hosts with fld: the public suffix of a host and one label more, by a table of rules; null for addresses and bare suffixes.
+
+    A rule is a suffix, '*.suffix' (any one label before it is part of the suffix) or '!name' (an exception: the suffix is one
+    label shorter). The longest rule holds, an exception before all; without a rule the last label is the suffix. Every
+    suffix of a distinct host is looked up by an equi-join; null and empty hosts give null.
+    """
+    p = F.split(F.lower(host), r"\.")
+    d = hosts.select(host).distinct().select(host, p.alias("p")).filter(F.length(host) > 0)
+    i = d.select(host, "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("i"))
+    rest = F.array_join(F.slice("p", F.col("i"), F.size("p")), ".")
+    under = F.concat_ws(".", F.lit("*"), F.when(F.col("i") < F.size("p"), F.array_join(F.slice("p", F.col("i") + 1, F.size("p")), ".")))
+    k = F.size("p") - F.col("i") + 1
+    keys = F.array(F.struct(rest.alias("key"), k.alias("k")), F.struct(F.concat(F.lit("!"), rest).alias("key"), (k + 999).alias("k")), F.struct(F.when(k > 1, under).alias("key"), k.alias("k")))
+    hit = i.select(host, F.explode(keys).alias("x")).join(rules.select(F.col(rule).alias("__r")).distinct(), F.col("x.key") == F.col("__r")).groupBy(host).agg(F.max("x.k").alias("m"))
+    n = F.coalesce(F.pmod("m", F.lit(1000)), F.lit(1))
+    fld = F.when((F.size("p") > n) & ~F.col(host).rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), F.array_join(F.slice("p", F.size("p") - n, F.size("p")), "."))
+    return hosts.join(d.join(hit, host, "left").select(host, fld.alias("fld")), host, "left")
+
+
 def for_all(candidates: DataFrame, checks: DataFrame, on: list[str], holds: Column) -> DataFrame:
     """Candidates for which `holds` is true of every row of checks with the same keys: an anti join on its negation. No row: kept."""
     return candidates.join(checks, [candidates[c] == checks[c] for c in on] + [~F.coalesce(holds, F.lit(False))], "left_anti")

@@ -24,13 +24,14 @@ def classes(docs: DataFrame, id_col: str, items: str) -> DataFrame:
     return d.join(rep, "h").select("id", "rep")
 
 
-def overlap_links(docs: DataFrame, id_col: str, items: str, least: float, log: Callable[[Column], Column] = F.log) -> DataFrame:
+def overlap_links(docs: DataFrame, id_col: str, items: str, least: float, log: Callable[[Column], Column] = F.log, block: int = 5_000) -> DataFrame:
     """(a, b, sim), a < b: pairs of class representatives with sim = |A n B| / (log(max size) + min size) >= least.
 
     Exact prefix filtering: items are ordered by rising document frequency. A pair that reaches `least` shares at least
     k = ceil(least x (log s + s)) items, s being the smaller size, so some of the s - k + 1 rarest items of the smaller set lie
     in the other one. Those prefixes are joined with all items of sets at least as large, and survivors are verified on
-    their whole sets. Sets are arrays of distinct items.
+    their whole sets. The list of an item of more than `block` sets is cut into parts, each of which meets the prefixes in a
+    task of its own. Sets are arrays of distinct items.
     """
     d = docs.filter(F.size(items) > 0).select(F.col(id_col).alias("id"), F.transform(F.col(items), lambda x: F.xxhash64(x)).alias("s"))
     rep = classes(docs, id_col, items).select(F.col("rep").alias("id")).distinct()
@@ -43,17 +44,29 @@ def overlap_links(docs: DataFrame, id_col: str, items: str, least: float, log: C
     place = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
     alone = t.groupBy("id").agg(F.first("n").alias("n1"), F.count("*").alias("shared"))
     pre = t.withColumn("place", place).join(alone.select("id", (F.col("n1") - F.col("shared")).alias("alone")), "id").filter(F.col("place") + F.col("alone") <= F.col("n") - need + 1)
-    x = pre.select("item", F.col("id").alias("p"), F.col("n").alias("pn"))
-    y = t.select("item", F.col("id").alias("q"), F.col("n").alias("qn"))
+    parts = F.ceil(F.col("df") / block).cast("int")
+    x = pre.select("item", F.col("id").alias("p"), F.col("n").alias("pn"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    y = t.select("item", F.col("id").alias("q"), F.col("n").alias("qn"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
     big = F.col("qn") >= F.col("pn")
     could = least * (log(F.col("qn")) + F.col("pn")) <= F.col("pn") + 1e-9
-    c = x.join(y, "item").filter(big & could & (F.col("p") != F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    c = x.join(y, ["item", "part"]).filter(big & could & (F.col("p") != F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
     v = c.join(d.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(d.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb"))
     small, large = F.least(F.size("sa"), F.size("sb")), F.greatest(F.size("sa"), F.size("sb"))
     return v.select("a", "b", (both / (log(large) + small)).alias("sim")).filter(F.col("sim") >= least)
 
 
+def links_inside(docs: DataFrame, id_col: str, items: str, clusters: DataFrame, least: float) -> DataFrame:
+    """(a, b): links between documents of one cluster of clusters (id, cluster): similar class representatives, and each class's members with theirs.
+
+    An item counts together with its cluster, so no pair of two clusters is ever a candidate.
+    """
+    d = docs.join(clusters.select(F.col("id").alias(id_col), "cluster"), id_col).select(id_col, F.transform(items, lambda x: F.xxhash64(x, "cluster")).alias("__i"))
+    d = stage(d)
+    c = classes(d, id_col, "__i")
+    return overlap_links(d, id_col, "__i", least).select("a", "b").union(c.filter("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+
+
 def best_match_edges(sims: DataFrame, least: float, extra: float = 0.1) -> DataFrame:
     """(a, b, sim) of links a < b: all with sim > least + extra, and of each a its best b (the first of equals) with sim > least."""
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))
@@ -183,3 +196,11 @@ def tag_links(docs: DataFrame, id_col: str, tags: str, least: float = 0.8, block
     links = overlap_links(bags, "id", "bag", least, F.log2).select("a", "b").union(count.filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b")))
     c = links.join(m.toDF("a", "na", "x"), "a").join(m.toDF("b", "nb", "y"), "b").filter("a <> b or na <= nb")
     return c.select("x", "y", F.expr("a = b and na = nb").alias("same")).mapInArrow(_verified(least, width), f"a {kind}, b {kind}, sim double")
+
+
+def structure_groups(docs: DataFrame, id_col: str, tags: str, least: float = 0.8) -> DataFrame:
+    """(id, cluster): components of documents by tag_links; equal sequences are together. Empty sequences are left out."""
+    d = docs.filter(F.size(tags) > 0).select(F.col(id_col).alias("id"), F.md5(F.encode(F.array_join(tags, " "), "UTF-8")).alias("h"))
+    rep = d.groupBy("h").agg(F.min("id").alias("rep"))
+    comp = components(tag_links(docs, id_col, tags, least).select("a", "b")).select(F.col("id").alias("rep"), "comp")
+    return d.join(rep, "h").join(comp, "rep", "left").select("id", F.coalesce("comp", "rep").alias("cluster"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webobs.runtime import cut, width
 
@@ -40,6 +41,17 @@ def tiles(df: DataFrame, order: list[str], n: int) -> DataFrame:
     return x.withColumn("tile", (tile + 1).cast("int")).drop("__n")
 
 
+def shuffled(df: DataFrame, key: Column, seed: int = 0, name: str = "n") -> DataFrame:
+    """df with its place in a random order that is the same each time: by the MD5 of seed and key, ties by nothing (make key unique)."""
+    return numbered(df.withColumn("__h", F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))), ["__h"], name).drop("__h")
+
+
+def capped(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
+    """At most n rows of each key, the first by `order` (a top-n per key)."""
+    r = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("__r", r).filter(F.col("__r") <= n).drop("__r")
+
+
 def hash_sample(df: DataFrame, key: Column, n: int) -> DataFrame:
     """n rows, the same ones each time: those with the smallest MD5 of key (a top-k, not a sort)."""
     return df.withColumn("__h", F.md5(key.cast("string"))).orderBy("__h").limit(n).drop("__h")

@@ -65,7 +65,7 @@ def first_match_rule(t):
     return t.events.select("event_id", F.coalesce(*rules).alias("rule"))
 
 
-@query()
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'ajax' ELSE 'bgpd' END AS rule, 'get' AS method, CASE WHEN page_id % 2 = 0 THEN 'ajax.php' ELSE '/run.php' END AS action, 2 AS options, CASE WHEN page_id % 2 = 0 THEN 'host' ELSE 'req' END AS field FROM page_content")
 def form_records(t):
     """Every page's query forms, through the ordered layout rules (pages rebuilt with a form of one of the layouts)."""
     from webobs.functions.forms import form_records as parse
@@ -75,6 +75,17 @@ def form_records(t):
     return d.select("page_id", "r.rule", "r.method", "r.action", F.size("r.command.options").alias("options"), col("r.input.name").alias("field"))
 
 
+@query()
+def harvest_dispatch(t):
+    """Addresses of pages by class: of service pages all, of others those in a line with a keyword."""
+    from webobs.functions import html as H
+
+    safe = F.replace("content", F.lit("<"), F.lit("&lt;"))
+    page = F.concat(F.lit("<div>"), F.replace(F.regexp_replace(safe, r"\[([^\]]*)\]\(([^)]*)\)", '<a href="$2">$1</a>'), F.lit("\n"), F.lit("</div><div>")), F.lit("</div>"))
+    d = t.page_content.filter("content is not null").select("page_id", _labels(t).alias("label"), "content", H.links_near_udf(["looking glass", "noc"])(page).alias("near"))
+    return d.select("page_id", F.explode(T.harvested(col("label"), col("content"), col("near"))).alias("url")).distinct()
+
+
 @query("SELECT p_partkey, contains(lower(p_type), 'c') AS capable FROM part")
 def capability_filter(t):
     values = F.split("p_type", " ")
@@ -89,7 +100,29 @@ def probe_params(t):
     return t.part.select("p_partkey", body.alias("body"))
 
 
+@query("""WITH o AS (SELECT p_partkey, coalesce(list_filter(string_split(p_type, ' '), lambda v: contains(lower(v), 'e'))[1], 'ping') AS opt FROM part)
+SELECT p_partkey, '{"csrf":"","q":"' || opt || '","target":"198.18.0.' || (p_partkey % 250) || '"}' AS body, 'https://lg' || (p_partkey % 7) || '.example' AS origin,
+ 'https://lg' || (p_partkey % 7) || '.example/' AS referer FROM o""")
+def probe_request(t):
+    """The request of a posting form: a JSON body, and the headers that say where it comes from."""
+    opt = U.pick_option(F.split("p_type", " "), ["e"], "ping")
+    body = U.probe_json(F.create_map(F.lit("csrf"), F.lit("")), F.lit("q"), opt, F.lit("target"), F.concat(F.lit("198.18.0."), (col("p_partkey") % 250).cast("string")))
+    h = U.probe_headers(F.concat(F.lit("https://lg"), col("p_partkey") % 7, F.lit(".example"), F.when(col("p_partkey") % 2 == 0, "/").otherwise("")), F.lit("application/json"))
+    return t.part.select("p_partkey", body.alias("body"), h["Origin"].alias("origin"), h["Referer"].alias("referer"))
+
+
 # ---- slices and samples ----
+@query("SELECT as_id, row_number() OVER (ORDER BY md5('7|' || as_id)) - 1 AS n FROM as_info")
+def hash_shuffle(t):
+    """A random order that is the same each time."""
+    return slices.shuffled(t.as_info.select("as_id"), col("as_id"), 7)
+
+
+@query("SELECT row_id, url FROM (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY row_id) r FROM lg_page_info) WHERE r <= 5")
+def capped_per_origin(t):
+    return slices.capped(t.lg_page_info.select("row_id", "url", "origin"), ["origin"], ["row_id"], 5).select("row_id", "url")
+
+
 @query("SELECT as_id, (row_number() OVER (ORDER BY coalesce(as_rank, -1) DESC, as_id) - 1) // 20 AS slice FROM as_info")
 def priority_slices(t):
     """The queue in falling order of rank number, in slices of 20."""

@@ -97,14 +97,15 @@ def contains_join(t):
 
 
 # ---- packets in windows (events) ----
-_EV = "e AS (SELECT event_id, user_id, user_id % 3 AS m, epoch_us(ts) / 1000000.0 AS ts, event_type FROM events), w AS (SELECT m, event_id AS vp, ts - 30 AS s, ts + 60 AS f FROM e WHERE event_type = (SELECT min(event_type) FROM e)), h AS (SELECT e.m, w.vp % 200 AS vp, e.user_id AS ip FROM e JOIN w ON e.m = w.m AND e.ts > w.s AND e.ts < w.f)"
+# Machines record packets (events, by turns); a service (the user of an event of the first type) is probed in windows around such events.
+_EV = "e AS (SELECT event_id, user_id, event_id % 3 AS m, epoch_us(ts) / 1000000.0 AS ts, event_type FROM events), w AS (SELECT m, user_id AS vp, ts - 300 AS s, ts + 600 AS f FROM e WHERE event_type = (SELECT min(event_type) FROM e)), h AS (SELECT e.m, w.vp, e.user_id AS ip FROM e JOIN w ON e.m = w.m AND e.ts > w.s AND e.ts < w.f)"
 
 
 def _hits(t):
-    e = t.events.select("event_id", "user_id", (col("user_id") % 3).alias("m"), (F.unix_micros(col("ts").cast("timestamp")) / 1_000_000).alias("ts"), "event_type")
+    e = t.events.select("event_id", "user_id", (col("event_id") % 3).alias("m"), (F.unix_micros(col("ts").cast("timestamp")) / 1_000_000).alias("ts"), "event_type")
     kind = e.agg(F.min("event_type")).first()[0]
-    w = e.filter(col("event_type") == kind).select("m", col("event_id").alias("vp"), (col("ts") - 30).alias("s"), (col("ts") + 60).alias("f"))
-    return interval.interval_join(e.select("m", "ts", col("user_id").alias("ip")), w, "m", "ts", "s", "f", 90.0).select("m", (col("vp") % 200).alias("vp"), "ip", col("vp").alias("window"))
+    w = e.filter(col("event_type") == kind).select("m", col("user_id").alias("vp"), (col("ts") - 300).alias("s"), (col("ts") + 600).alias("f"))
+    return interval.interval_join(e.select("m", "ts", col("user_id").alias("ip")), w, "m", "ts", "s", "f", 900.0).select("m", "vp", "ip")
 
 
 @query(f"WITH {_EV} SELECT m, vp, ip, count(*) AS n FROM h GROUP BY 1, 2, 3")
@@ -112,15 +113,14 @@ def interval_join(t):
     return _hits(t).groupBy("m", "vp", "ip").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_EV}, v AS (SELECT vp, ip % 7 AS ip, count(DISTINCT m) votes FROM h GROUP BY 1, 2) SELECT vp, ip, votes, votes = 3 AS everywhere, votes >= 2 AS often FROM v WHERE votes >= 2")
+@query(f"WITH {_EV}, v AS (SELECT vp, ip, count(DISTINCT m) votes FROM h GROUP BY 1, 2) SELECT vp, ip, votes, votes = 3 AS everywhere, votes >= 2 AS often FROM v WHERE votes >= 2")
 def vote_threshold(t):
-    """Addresses seen in a service's window by all machines, or by two thirds of them. A user is on one machine, so votes go by service and address modulo 7."""
+    """Addresses seen in a service's windows by all machines, or by two thirds of them."""
     return _candidates(t)
 
 
 def _candidates(t):
-    h = _hits(t).withColumn("ip", col("ip") % 7)
-    return interval.candidates(interval.votes(h, "vp", "ip", "m"), 3)
+    return interval.candidates(interval.votes(_hits(t), "vp", "ip", "m"), 3)
 
 
 @query(f"WITH {_EV} SELECT ip, count(*) AS n FROM (SELECT DISTINCT vp, m, ip FROM h) GROUP BY 1 HAVING count(*) >= 2 AND count(*) >= 0.02 * (SELECT count(DISTINCT vp) FROM h)")
@@ -128,7 +128,7 @@ def noise_filter(t):
     return interval.noise(cut(_hits(t)), "vp", "ip", "m", 0.02)
 
 
-@query(f"""WITH {_EV}, v AS (SELECT vp, ip % 7 AS ip, count(DISTINCT m) votes FROM h GROUP BY 1, 2), c AS (SELECT vp, ip, votes = 3 e FROM v WHERE votes >= 2)
+@query(f"""WITH {_EV}, v AS (SELECT vp, ip, count(DISTINCT m) votes FROM h GROUP BY 1, 2), c AS (SELECT vp, ip, votes = 3 e FROM v WHERE votes >= 2)
 SELECT vp, ip FROM (SELECT vp, CASE WHEN sum(e::INT) = 1 THEN min(CASE WHEN e THEN ip END) WHEN count(*) = 1 THEN min(ip) END AS ip FROM c GROUP BY vp) WHERE ip IS NOT NULL""")
 def assign_first_round(t):
     return interval.first_round(_candidates(t), "vp", "ip")
@@ -179,6 +179,25 @@ def cidr_lpm(t):
     return joins.longest_prefix(ips, "ip_n", nets, "lo", "p", "loc_id").select("ip_n", "loc_id")
 
 
+@query(f"""
+WITH h AS (SELECT DISTINCT {_NUM.format('ip')} n FROM trace_hop WHERE {_VALID.format('ip')}), x AS (SELECT loc_id, {_NUM.format('ip_addr')} n FROM vp_location WHERE {_VALID.format('ip_addr')}),
+ a AS (SELECT n - n % 64 lo, min(loc_id) v FROM x GROUP BY 1), b AS (SELECT n - n % 1024 lo, min(loc_id) v FROM x GROUP BY 1)
+SELECT h.n AS ip_n, coalesce(a.v, b.v) AS loc_id FROM h LEFT JOIN a ON a.lo = h.n - h.n % 64 LEFT JOIN b ON b.lo = h.n - h.n % 1024
+""")
+def prefix_fallback(t):
+    """The vantage point of each answering address by a table of /26 networks, else by one of /22 networks."""
+    ips = t.trace_hop.filter(N.is_ipv4(col("ip"))).select(N.ip_number(col("ip")).alias("ip_n")).distinct()
+    table = lambda p: t.vp_location.filter(N.is_ipv4(col("ip_addr"))).select("loc_id", F.lit(p).alias("p"), N.subnet(col("ip_addr"), p).alias("lo"))
+    return joins.prefix_or_fallback(ips, "ip_n", [table(26), table(22)], "lo", "p", "loc_id").select("ip_n", "loc_id")
+
+
+@query("WITH d AS (SELECT lower(target_host) AS host, array_to_string(list_sort(list(DISTINCT dest_ip)), ',') AS ips FROM trace_hop WHERE target_host IS NOT NULL AND dest_ip IS NOT NULL GROUP BY 1) SELECT DISTINCT t.trace_id, d.ips FROM trace_hop t JOIN d ON d.host = lower(t.target_host)")
+def dns_table(t):
+    """The known addresses of each trace's target, by a table of names."""
+    d = dedup.multimap(t.trace_hop, F.lower("target_host"), col("dest_ip"))
+    return t.trace_hop.select("trace_id", F.lower("target_host").alias("key")).distinct().join(d, "key").select("trace_id", F.array_join("values", ",").alias("ips")).distinct()
+
+
 # ---- traces ----
 @query("SELECT trace_id, ip, min(rtt) AS rtt, min(hop_index) AS hop_index FROM trace_hop WHERE ip IS NOT NULL AND rtt IS NOT NULL GROUP BY 1, 2")
 def hop_min_rtt(t):
@@ -314,6 +333,16 @@ def nearest_site(t):
     return geo.nearest(_points(t), ["loc_id"], _sites(t), "site_id")
 
 
+@query(f"""WITH {_P}, g AS (SELECT {_NUM.format('ip_addr')} - {_NUM.format('ip_addr')} % 256 net, arg_min(latitude, loc_id) latitude, arg_min(longitude, loc_id) longitude FROM v WHERE {_VALID.format('ip_addr')} GROUP BY 1),
+ h AS (SELECT DISTINCT ip FROM trace_hop WHERE {_VALID.format('ip')}), v2 AS (SELECT h.ip, g.latitude, g.longitude FROM h JOIN g ON g.net = {_NUM.format('ip')} - {_NUM.format('ip')} % 256),
+ d AS (SELECT v.ip, s.site_id, round({_VR}, 6) km FROM v2 v, replica_site s) SELECT ip, site_id FROM (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY km, site_id) r FROM d) WHERE r = 1""")
+def ip_nearest_site(t):
+    """Place of each answering address by its network, then the site nearest to that place."""
+    g = _points(t).filter(N.is_ipv4(col("ip_addr"))).groupBy(N.subnet(col("ip_addr"), 24).alias("net")).agg(F.min_by(F.struct("latitude", "longitude"), "loc_id").alias("m")).select("net", "m.*")
+    h = t.trace_hop.filter(N.is_ipv4(col("ip"))).select("ip").distinct().withColumn("net", N.subnet(col("ip"), 24))
+    return geo.nearest(h.join(g, "net"), ["ip"], _sites(t), "site_id").select("ip", "site_id")
+
+
 _RTT = "r AS (SELECT loc_id, min(rtt) rtt FROM trace_hop WHERE ip = dest_ip AND rtt IS NOT NULL GROUP BY 1)"
 
 

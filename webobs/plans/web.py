@@ -98,17 +98,49 @@ def breadcrumb_url(t):
     return t.lg_page_info.select("row_id", U.from_breadcrumb(crumb).alias("url"))
 
 
-@query("""
-WITH p AS (SELECT page_id, regexp_replace(trim(url, ' '), '/$', '') b, unnest(regexp_extract_all(content, '\\]\\(([^)]*)\\)', 1)) AS link FROM page_content),
-q AS (SELECT *, regexp_extract(b, '^([A-Za-z]+://[^/?#]+)', 1) site FROM p)
-SELECT page_id, link, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN regexp_extract(b, '^([A-Za-z]+:)', 1) || link
- WHEN starts_with(link, '/') THEN site || link ELSE (CASE WHEN b = site THEN site ELSE regexp_replace(b, '/[^/]*$', '') END) || '/' || link END AS target FROM q
+_LINKS_TRIED = ["../d", "../../../d", "./x?y=1#z", "?q=1", "#f", "", "a/./b/../c/", "..", "//h.example/x", "/p/./q/../r?s", "mailto:a@b.example"]
+_NORM = """'/' || array_to_string(list_reduce(list_transform(string_split({0}[2:], '/'), lambda x: [x]), lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1:len(acc) - 1] ELSE list_concat(acc, x) END, []::VARCHAR[]), '/')
+ || CASE WHEN string_split({0}[2:], '/')[-1] IN ('.', '..') AND len(list_reduce(list_transform(string_split({0}[2:], '/'), lambda x: [x]), lambda acc, x: CASE WHEN x[1] = '.' THEN acc WHEN x[1] = '..' THEN acc[1:len(acc) - 1] ELSE list_concat(acc, x) END, []::VARCHAR[])) > 0 THEN '/' ELSE '' END"""
+
+
+@query(f"""
+WITH p AS (SELECT page_id, trim(url, ' ') b, unnest(list_concat(regexp_extract_all(coalesce(content, ''), '\\]\\(([^)]*)\\)', 1), {_LINKS_TRIED})) AS link FROM page_content),
+q AS (SELECT *, regexp_extract(b, '^([A-Za-z]+://[^/?#]*)', 1) site, regexp_extract(b, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) path, regexp_replace(b, '#.*$', '') bare, regexp_extract(link, '^([^?#]*)', 1) lp, regexp_replace(link, '^[^?#]*', '') rest FROM p),
+r AS (SELECT *, CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END || lp AS under FROM q)
+SELECT page_id, link, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link WHEN starts_with(link, '//') THEN regexp_extract(b, '^([A-Za-z]+:)', 1) || link WHEN starts_with(link, '/') THEN site || {_NORM.format("lp")} || rest
+ WHEN link = '' THEN bare WHEN starts_with(link, '?') THEN site || path || link WHEN starts_with(link, '#') THEN bare || link ELSE site || {_NORM.format("under")} || rest END AS target FROM r
 """)
 def resolve_links(t):
-    p = t.page_content.select("page_id", "url", F.explode(F.regexp_extract_all("content", F.lit(r"\]\(([^)]*)\)"), F.lit(1))).alias("link"))
+    """Every page's links, and a list of links of all kinds, as absolute addresses."""
+    l = F.concat(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(r"\]\(([^)]*)\)"), F.lit(1)), F.array(*map(F.lit, _LINKS_TRIED)))
+    p = t.page_content.select("page_id", "url", F.explode(l).alias("link"))
     return p.select("page_id", "link", U.resolve(col("url"), col("link")).alias("target"))
 
 
+@query("SELECT CASE WHEN url IS NULL THEN 'no address' WHEN NOT starts_with(trim(url, ' '), 'http') THEN 'other scheme' WHEN len(string_split(trim(url, ' '), '://')) <> 2 THEN 'malformed' ELSE 'kept' END AS verdict, count(*) AS n FROM lg_page_info GROUP BY 1")
+def url_rejects(t):
+    """How many addresses the canonical form keeps, and why it rejects others."""
+    u = F.trim("url")
+    why = F.when(col("url").isNull(), "no address").when(~F.startswith(u, F.lit("http")), "other scheme").when(F.size(F.split(u, "://", -1)) != 2, "malformed").otherwise("kept")
+    return t.lg_page_info.groupBy(why.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+_RULES = ["example", "test", "net.example", "co.example", "*.test", "!mobile.test"]
+
+
+@query(f"""
+WITH h AS (SELECT DISTINCT {{_HOST}} AS host FROM lg_page_info), p AS (SELECT host, string_split(host, '.') p FROM h WHERE host <> ''), i AS (SELECT host, p, unnest(range(1, len(p) + 1)) i FROM p),
+c AS (SELECT host, len(p) n, len(p) - i + 1 k, array_to_string(p[i:], '.') s, array_to_string(list_concat(['*'], p[i + 1:]), '.') w FROM i),
+r AS (SELECT host, n, max(CASE WHEN '!' || s IN (SELECT unnest({_RULES})) THEN 1000 + k - 1 WHEN s IN (SELECT unnest({_RULES})) OR (k > 1 AND w IN (SELECT unnest({_RULES}))) THEN k END) m FROM c GROUP BY 1, 2)
+SELECT host, CASE WHEN n > coalesce(m % 1000, 1) AND NOT regexp_matches(host, '^[0-9]{{{{1,3}}}}(\\.[0-9]{{{{1,3}}}}){{{{3}}}}$') THEN array_to_string(string_split(host, '.')[n - coalesce(m % 1000, 1):], '.') END AS fld FROM r
+""".format(_HOST=_HOST))
+def suffix_domain(t):
+    """Registrable domains by a table of public suffixes, with wildcard and exception rules."""
+    rules = t._spark.createDataFrame([(x,) for x in _RULES], "rule string")
+    hosts = t.lg_page_info.select(U.host(col("url")).alias("host")).filter("host <> ''").distinct()
+    return joins.registrable_by(hosts, "host", rules, "rule").select("host", "fld")
+
+
 # ---- texts (documents) ----
 @query("""
 WITH d AS (SELECT md5(text) AS hash, doc_id, site, CASE WHEN regexp_matches(coalesce(site, ''), '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}') THEN 1 ELSE 0 END ip, length(coalesce(site, '')) n FROM documents WHERE text IS NOT NULL),
@@ -157,7 +189,7 @@ _SPANS = """
  p AS (SELECT doc_id, generate_subscripts(parts, 1) i, unnest(list_transform(parts, lambda x: length(x))) n, total FROM
   (SELECT doc_id, string_split(lower(text), 'route') parts, length(text) total FROM documents WHERE text IS NOT NULL)),
  o AS (SELECT doc_id, i, total, sum(n) OVER (PARTITION BY doc_id ORDER BY i) + (i - 1) * 5 AS pos, max(i) OVER (PARTITION BY doc_id) m FROM p),
- s AS (SELECT doc_id, greatest(pos - 200, 0) lo, least(pos + 205, total) hi FROM o WHERE i < m),
+ s AS (SELECT doc_id, greatest(pos - 200, 0) lo, least(pos + 200, total) hi FROM o WHERE i < m),
  g AS (SELECT *, CASE WHEN lo <= max(hi) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END fresh FROM s),
  k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) isle FROM g)
 """
@@ -165,11 +197,11 @@ _SPANS = """
 
 @query(f"WITH {_SPANS} SELECT doc_id, min(lo)::BIGINT AS lo, max(hi)::BIGINT AS hi FROM k GROUP BY doc_id, isle")
 def merge_spans(t):
-    """Windows of 200 characters around a word, overlapping and touching ones merged."""
+    """Windows from 200 characters before to 200 after the beginning of a word, overlapping and touching ones merged."""
     d = t.documents.filter("text is not null").select("doc_id", F.length("text").alias("total"), F.transform(F.split(F.lower("text"), "route", -1), lambda p: F.length(p)).alias("n"))
     d = d.select("doc_id", "total", F.posexplode("n").alias("i", "n"), F.size("n").alias("m"))
     w = Window.partitionBy("doc_id").orderBy("i")
-    s = d.withColumn("pos", F.sum("n").over(w) + col("i") * 5).filter("i < m - 1").select("doc_id", F.greatest(col("pos") - 200, F.lit(0)).alias("lo"), F.least(col("pos") + 205, col("total")).alias("hi"))
+    s = d.withColumn("pos", F.sum("n").over(w) + col("i") * 5).filter("i < m - 1").select("doc_id", F.greatest(col("pos") - 200, F.lit(0)).alias("lo"), F.least(col("pos") + 200, col("total")).alias("hi"))
     o = Window.partitionBy("doc_id").orderBy("lo", "hi")
     s = s.withColumn("fresh", F.when(col("lo") <= F.max("hi").over(o.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1))
     s = s.withColumn("isle", F.sum("fresh").over(o.rowsBetween(Window.unboundedPreceding, 0)))
@@ -182,6 +214,12 @@ def kwic_context(t):
     return t.documents.select("doc_id", H.context_udf(["router", "looking glass", "traceroute"])("text").alias("context"))
 
 
+@query()
+def keyword_word_positions(t):
+    """Where any of several keywords begins in each text, as whole words."""
+    return t.documents.filter("text is not null").select("doc_id", F.explode(H.positions_udf(["router", "looking glass", "traceroute"])("text")).alias("pos"))
+
+
 _TOK = "regexp_extract_all(lower(coalesce(text, '')), '\\p{L}{4,}', 0)"
 
 
@@ -292,6 +330,20 @@ def two_stage_clusters(t):
     return similarity.two_stage(s1, same.union(across)).toDF("page_id", "cluster")
 
 
+def _kinds():
+    return F.transform(F.split("content", "\n"), lambda l: F.when(F.contains(l, F.lit("](")), "a").when(F.startswith(l, F.lit("- ")), "li").when(F.length(l) > 120, "p").when(l.rlike("^ ?[0-9]"), "tr").otherwise("div"))
+
+
+@query()
+def structure_clusters(t):
+    """Pages clustered by structure (sequences of line kinds, 0.8), clusters of more than 10 then split by near-equal text (0.4) inside them."""
+    d = cut(t.page_content.filter("content is not null and content <> ''").select("page_id", _kinds().alias("tags")))
+    first = cut(similarity.structure_groups(d, "page_id", "tags", 0.8))
+    s = _sets(t)
+    inside = similarity.links_inside(s, "page_id", "s", first, 0.4)
+    return similarity.two_stage(first, inside).toDF("page_id", "cluster")
+
+
 # ---- markup (pages rebuilt as HTML from page_content) ----
 def _html(t):
     li = F.regexp_replace("content", r"\[([^\]]*)\]\(([^)]*)\)", '<li><a href="$2">$1</a></li>')
@@ -307,6 +359,18 @@ def html_text(t):
     return _html(t).select("page_id", F.md5(F.encode(T.html_to_text(col("html")), "UTF-8")).alias("digest"))
 
 
+@query()
+def html_document_text(t):
+    """Text nodes, meta contents and input values of rebuilt pages in document order, by the HTML parser."""
+    return _html(t).select("page_id", H.texts_udf()("html").alias("texts")).select("page_id", F.md5(F.encode(F.array_join("texts", "|"), "UTF-8")).alias("digest"))
+
+
+@query()
+def html_marked_text(t):
+    """Rebuilt pages as markdown-like text with links kept."""
+    return _html(t).select("page_id", F.md5(F.encode(H.marked_udf()("html"), "UTF-8")).alias("digest"))
+
+
 @query("""SELECT page_id, md5(array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda l: trim(regexp_replace(l, '\\s+', ' ', 'g'))), lambda l: length(l) BETWEEN 1 AND 199), chr(10))) AS digest FROM page_content WHERE content IS NOT NULL""")
 def clean_lines(t):
     return t.page_content.filter("content is not null").select("page_id", F.md5(F.encode(T.clean_lines(col("content")), "UTF-8")).alias("digest"))
@@ -320,8 +384,7 @@ def tag_sequence(t):
 @query()
 def tag_similarity(t):
     """Pages by their sequence of line kinds, as classes of equal sequences with the number of similar classes."""
-    kinds = F.transform(F.split("content", "\n"), lambda l: F.when(F.contains(l, F.lit("](")), "a").when(F.startswith(l, F.lit("- ")), "li").when(F.length(l) > 120, "p").when(l.rlike("^ ?[0-9]"), "tr").otherwise("div"))
-    d = t.page_content.filter("content is not null and content <> ''").select("page_id", kinds.alias("tags"))
+    d = t.page_content.filter("content is not null and content <> ''").select("page_id", _kinds().alias("tags"))
     l = cut(similarity.tag_links(d, "page_id", "tags", 0.8))
     rep = d.groupBy(F.md5(F.encode(F.array_join("tags", " "), "UTF-8")).alias("h")).agg(F.min("page_id").alias("rep"))
     deg = l.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
