@@ -69,3 +69,16 @@ def test_regions_across_180_degrees(spark):
     pts = spark.createDataFrame([(1, 0.5, 178.0), (2, 0.5, -179.0), (3, 0.5, -176.0), (4, -10.4, 179.0), (5, -10.4, -179.5), (6, 0.4, 11.0), (7, 0.4, 180.0), (8, 0.4, -180.0)], "id long, latitude double, longitude double")
     got = sorted(tuple(r) for r in near.locate_in_regions(pts, "id", regs, "region", "ring").collect())
     assert got == [(1, 1), (2, 1), (4, 2), (5, 2), (6, 3), (7, 1), (8, 1)]
+
+
+def test_pairs_of_two_hot_places_and_polar_disks(spark):
+    r = random.Random(3)
+    hot = [(i, 10.0, 20.0) for i in range(130)] + [(200 + i, 10.02, 20.0) for i in range(90)]
+    pole = [(400 + i, r.uniform(89.9, 90), r.uniform(-180, 180)) for i in range(40)] + [(500 + i, r.uniform(89.7, 89.96), r.uniform(-180, 180)) for i in range(40)]
+    df = spark.createDataFrame(hot + pole, "id long, latitude double, longitude double")
+    want = sorted(brute(hot + pole, 5.0))
+    assert sorted(tuple(x) for x in near.near_pairs(df, "id").collect()) == want
+    member = df.filter("id < 400").select((F.col("latitude") > 10.01).cast("long").alias("g"), "id")
+    links = spark.createDataFrame([(0, 1)], "a long, b long")
+    got = sorted(tuple(x) for x in near.pairs_across(links, member, "g", "id", block=20).collect())
+    assert got == sorted((a[0], b[0]) for a in hot[:130] for b in hot[130:])

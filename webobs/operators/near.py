@@ -71,11 +71,15 @@ def _sweep(km: float, radius: float):
         held: list[dict] = []
         names = ("tile", "edge", "id", "lat", "lon", "left", "right")
 
-        def flush(x: dict):
+        def flush(x: dict) -> Iterator[pa.RecordBatch]:
+            # Edges are searched by classes of width (powers of 2), so a disk near a pole doesn't widen the search of others.
             e = x["edge"].astype(bool)
-            if e.any() and not e.all():
-                return near({k: v[e] for k, v in x.items()}, {k: v[~e] for k, v in x.items()})
-            return None
+            pt = {k: v[~e] for k, v in x.items()}
+            kind = np.floor(np.log2(np.maximum(x["right"] - x["left"], 1e-9)))
+            for c in np.unique(kind[e]) if len(pt["tile"]) else ():
+                own = e & (kind == c)
+                if (r := near({k: v[own] for k, v in x.items()}, pt)) is not None:
+                    yield r
 
         for b in batches:
             if not b.num_rows:
@@ -85,11 +89,10 @@ def _sweep(km: float, radius: float):
                 continue  # still the first tile
             x = {k: np.concatenate([h[k] for h in held]) for k in names}
             done = np.searchsorted(x["tile"], x["tile"][-1], "left")
-            if (r := flush({k: v[:done] for k, v in x.items()})) is not None:
-                yield r
+            yield from flush({k: v[:done] for k, v in x.items()})
             held = [{k: v[done:] for k, v in x.items()}]
-        if held and (r := flush({k: np.concatenate([h[k] for h in held]) for k in names})) is not None:
-            yield r
+        if held:
+            yield from flush({k: np.concatenate([h[k] for h in held]) for k in names})
 
     return run
 
@@ -154,6 +157,22 @@ def pairs_within(members: DataFrame, group: str, id_col: str, block: int = 4_000
     return left.join(right, ["g", "x", "y"]).filter("a < b").select("a", "b")
 
 
+def pairs_across(links: DataFrame, members: DataFrame, group: str, id_col: str, block: int = 4_000) -> DataFrame:
+    """(a, b), a < b: for each link (a, b) of groups, all pairs of an id of one and an id of the other.
+
+    Groups of more than `block` ids are cut into blocks, and each two blocks of linked groups meet in rows of their own, so
+    two linked hot groups are no single task.
+    """
+    m = members.select(F.col(group).alias("g"), F.col(id_col).alias("id"))
+    n = m.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("k"))
+    m = m.join(n, "g").select("g", "id", F.pmod(F.xxhash64("id"), F.col("k")).cast("int").alias("s"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    l = links.select("a", "b").join(n.toDF("a", "ka"), "a").join(n.toDF("b", "kb"), "b")
+    l = l.withColumn("sa", every("ka")).withColumn("sb", every("kb")).select("a", "b", "sa", "sb")
+    got = l.join(m.toDF("a", "x", "sa"), ["a", "sa"]).join(m.toDF("b", "y", "sb"), ["b", "sb"])
+    return got.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
 def near_pairs(df: DataFrame, id_col: str, lat: str = "latitude", lon: str = "longitude", km: float = 5.0, block: int = 20_000) -> DataFrame:
     """(a, b), a < b: pairs of rows at most km apart on the sphere; equal points count.
 
@@ -164,8 +183,7 @@ def near_pairs(df: DataFrame, id_col: str, lat: str = "latitude", lon: str = "lo
     places = rows.groupBy("lat", "lon").agg(F.min("id").alias("place"))
     member = rows.join(places, ["lat", "lon"]).select("place", "id")
     near = near_classes(places.select(F.col("place").alias("id"), "lat", "lon"), km, block)
-    other = near.join(member.toDF("a", "x"), "a").join(member.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return pairs_within(member, "place", "id").union(other)
+    return pairs_within(member, "place", "id").union(pairs_across(near, member, "place", "id"))
 
 
 def locate_in_regions(points: DataFrame, id_col: str, regions: DataFrame, region_col: str, ring_col: str, lat: str = "latitude", lon: str = "longitude", slab: float = 1.0, block: int = 50_000) -> DataFrame:

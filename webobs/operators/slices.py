@@ -14,7 +14,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
 
     Only one count per partition goes to the driver. Ties get any order among themselves, so end `order` with a unique column.
     """
-    laid = cut(df.repartitionByRange(width(df.sparkSession), *order).sortWithinPartitions(*order)).withColumn("__id", F.monotonically_increasing_id())
+    laid = cut(df.repartitionByRange(width(df), *order).sortWithinPartitions(*order)).withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftright("__id", 33)
     counts = {r["p"]: r["c"] for r in laid.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect()}
     at, starts = 0, []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,9 +48,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def width(spark: SparkSession) -> int:
-    """Partitions of a shuffle that is planned by hand (range partitioning)."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def width(df: DataFrame | SparkSession, part: int = 128 << 20) -> int:
+    """Partitions of a shuffle that is planned by hand (range partitioning): the session's number, or more for large data.
+
+    The optimizer's estimate of the size decides; a partition gets about `part` bytes. For a session it is the session's number.
+    """
+    if isinstance(df, SparkSession):
+        return int(df.conf.get("spark.sql.shuffle.partitions"))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # no estimate, as on a remote session
+        return least
+    return max(least, min(-(-size // part), 100_000)) if size < 1 << 60 else least  # joins without statistics multiply up to absurd sizes
 
 
 def ship(spark: SparkSession) -> None:
@@ -76,10 +87,19 @@ def stage(df: DataFrame) -> DataFrame:
     at = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(at)
     sc = df.sparkSession.sparkContext
+    if not hasattr(sc, "_webobs_stages"):  # what isn't dropped before is deleted when the application ends
+        atexit.register(_quietly, df.sparkSession)
     sc._webobs_stages = [*getattr(sc, "_webobs_stages", []), at]
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def _quietly(spark: SparkSession) -> None:
+    try:
+        drop_stages(spark)
+    except Exception:  # the session has ended before
+        pass
+
+
 def drop_stages(spark: SparkSession) -> int:
     """Delete the staged tables of this application, once no result that reads them is needed; gives their number."""
     sc = spark.sparkContext
