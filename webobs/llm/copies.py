@@ -73,7 +73,7 @@ def sorted_runs(df: DataFrame, key: Column, id_col: str) -> DataFrame:
     Ids must be unique; rows with a null id are left out; an empty table gives an empty result.
     """
     rows = df.select(key.alias("key"), F.col(id_col).cast("long").alias("id")).filter("id is not null")
-    laid = cut(rows.repartitionByRange(width(df.sparkSession), "key", "id").sortWithinPartitions("key", "id"))
+    laid = cut(rows.repartitionByRange(width(df), "key", "id").sortWithinPartitions("key", "id"))
     marks = sorted(laid.mapInArrow(_summaries, "part int, first string, last string, tail_id long, tail_n long, runs long").collect())
     carry: dict[int, tuple[int, int]] = {}  # by partition: keep id and rows so far of the run that is open at its start
     key_, keep_, n_ = None, 0, 0
