@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webobs.functions.vectext import Words
@@ -179,25 +179,29 @@ def line_scorer(index: Index, idf: np.ndarray, other: float, window: int = 24, l
     return run
 
 
-def address_parts(url: Column) -> Column:
+_BLANKS, _WRAP = re.compile("[ \\t\u00a0\u1680\u180e\u2000-\u200a\u202f\u205f\u3000]+"), re.compile(r"^[\s<\[(\"']+(?=[A-Za-z]+ ?:)|[\s,.\"']+$", re.A)
+_OPENS, _CLOSES, _SCHEME = re.compile(r"[<\[(]"), re.compile(r"[\s>\])]+$", re.A), re.compile(r"^\s*[a-z]+\s*:[\s/\\]*", re.A)
+_STEPS, _PORT, _QUERY, _VALUE = re.compile(r"[/\\]+"), re.compile(r":[0-9]*$"), re.compile(r"\?(.*)$"), re.compile("=(.*)$")
+_STAND = re.compile(
+    r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|<your[ _-]\w+>|@@\w+@@|__\w+__|%\(\w+\)s|%[a-z_]{3,}%|\$\w+\$|\[[a-z_]+\](?=[/:.]|$)"
+    r"|[/\\]\s*:[a-z_]+|(?<=[/=.])%[sd](?=[/&;.:]|$)",
+    re.A,
+)
+
+
+def address_parts(url: str | None) -> list[str]:
     """The parts of an address: labels of its host, steps of its path, values of its parameters, and each placeholder (phslot) by itself.
 
     Wrapping brackets and quotes around the whole address and percent-encoded characters are no placeholders. Null has no parts.
     """
-    u = F.regexp_replace(F.coalesce(url, F.lit("")), r"\h+", " ")
-    u = F.regexp_replace(u, r"^[\s<\[(\"']+(?=[A-Za-z]+ ?:)|[\s,.\"']+$", "")
-    # A closing bracket at the end belongs to the wrapping only if none opens inside.
-    u = F.when(~u.rlike(r"[<\[(]"), F.regexp_replace(u, r"[\s>\])]+$", "")).otherwise(u)
-    slot = (
-        r"\{\{[^{}]*\}\}|\$\{\w+\}|#\{\w+\}|\{\w+\}|\{%[^%]*%\}|<%=?[^%]*%>|<your[ _-]\w+>|@@\w+@@|__\w+__|%\(\w+\)s|%[a-z_]{3,}%|\$\w+\$|\[[a-z_]+\](?=[/:.]|$)"
-        r"|[/\\]\s*:[a-z_]+|(?<=[/=.])%[sd](?=[/&;.:]|$)"
-    )
-    u = F.regexp_replace(F.regexp_replace(F.lower(u), slot, "/phslot/"), r"^\s*[a-z]+\s*:[\s/\\]*", "")
-    path = F.split(F.regexp_replace(u, r"[?#].*$", ""), r"[/\\]+")
-    host = F.split(F.regexp_replace(F.element_at(path, 1), r":\d*$", ""), r"\.")
-    values = F.transform(F.split(F.regexp_extract(u, r"\?(.*)$", 1), "[&;]"), lambda p: F.regexp_extract(p, "=(.*)$", 1))
-    steps = F.slice(path, 2, F.greatest(F.size(path) - 1, F.lit(0)))
-    return F.filter(F.flatten(F.array(host, steps, F.flatten(F.transform(values, lambda v: F.split(v, "/+"))))), lambda p: p != "")
+    u = _WRAP.sub("", _BLANKS.sub(" ", url or ""))
+    if not _OPENS.search(u):  # a closing bracket at the end belongs to the wrapping only if none opens inside
+        u = _CLOSES.sub("", u)
+    u = _SCHEME.sub("", _STAND.sub("/phslot/", u.lower()))
+    host, *steps = _STEPS.split(re.split("[?#]", u, maxsplit=1)[0])
+    query = _QUERY.search(u)
+    values = [v for p in re.split("[&;]", query[1]) if (m := _VALUE.search(p)) for v in m[1].split("/")] if query else []
+    return [p for p in [*_PORT.sub("", host).split("."), *steps, *values] if p]
 
 
 def residue_addresses(df: DataFrame, id_col: str, url_col: str, least: float = 0.6) -> DataFrame:
@@ -210,14 +214,14 @@ def residue_addresses(df: DataFrame, id_col: str, url_col: str, least: float = 0
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1)
-            w = Words(x.flatten(), lower=True, punctuation=True)
+            parts = [address_parts(u) for u in b.column(1).to_pylist()]
+            w = Words(pa.array([p for x in parts for p in x], pa.string()), lower=True, punctuation=True)
             at = index.ids(w.hashes(1)[1])
             at[w.numeric()] = FREE
-            off = np.r_[0, np.cumsum(x.value_lengths().to_numpy())]
+            off = np.r_[0, np.cumsum([len(x) for x in parts])].astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(np.diff(w.first).astype(np.int32))), pa.ListArray.from_arrays(pa.array(w.first[off].astype(np.int32)), pa.array(at.astype(np.int16)))], ["id", "n", "voc"])
 
-    d = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), address_parts(F.col(url_col)).alias("parts")).filter(F.size("parts") > 0)
+    d = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url")).filter("url <> ''")
     d = stage(d.mapInArrow(looked_up, "id long, n array<int>, voc array<short>"))
     total, seen = document_frequencies(d, index)
     idf = np.log((total + 1) / (seen + 1)) + 0.1
