@@ -37,3 +37,22 @@ def test_stream_interval_join(spark, tmp_path):
     j = inc.joined_windows(inc.read(spark, str(tmp_path / "p"), p.schema), inc.read(spark, str(tmp_path / "w"), w.schema))
     inc.append_results(j, lambda b: b.select("vp", "ip"), str(tmp_path / "o"), str(tmp_path / "c"))
     assert rows(spark.read.parquet(str(tmp_path / "o")).select("vp", "ip")) == [(7, "a")]
+
+
+def test_frontier_hands_out_what_no_result_covers(spark, tmp_path):
+    src = tmp_path / "f"
+    schema = "asn long, is_result boolean"
+    for part in ([(1, False), (2, False), (3, False), (2, True), (1, False)], [(3, True), (4, False), (3, False), (None, False)], [(4, True), (5, True), (5, False), (6, None)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src))
+    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", inc.ROCKSDB)
+    try:
+        s = inc.read(spark, str(src), spark.read.parquet(str(src)).schema, files=100)
+        inc.append_results(inc.frontier(s, "asn", "is_result"), lambda b: b, str(tmp_path / "o"), str(tmp_path / "c"))
+        assert rows(spark.read.parquet(str(tmp_path / "o")).select("key")) == [(1,), (6,)]
+        spark.createDataFrame([(1, False), (7, False), (6, True)], schema).coalesce(1).write.mode("append").parquet(str(src))
+        s = inc.read(spark, str(src), spark.read.parquet(str(src)).schema, files=100)
+        inc.append_results(inc.frontier(s, "asn", "is_result"), lambda b: b, str(tmp_path / "o"), str(tmp_path / "c"))
+        assert rows(spark.read.parquet(str(tmp_path / "o")).select("key")) == [(1,), (6,), (7,)]  # state lives on over restarts
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)

@@ -119,15 +119,21 @@ def packed(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, int]:
     return (row.astype(np.uint64) << np.uint64(bits)) | (h >> np.uint64(64 - bits)), bits
 
 
-def common_and_union(row: np.ndarray, h: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows 2i and 2i+1 as sets of hashes: sizes of intersection and union, for all i."""
-    key, bits = packed(row, h, rows)
-    key.sort()
-    key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
-    size = np.bincount((key >> np.uint64(bits)).astype(np.int64), minlength=rows)
-    low = np.uint64((1 << bits) - 1)
-    pair = ((key >> np.uint64(bits + 1)) << np.uint64(bits)) | (key & low)
-    pair.sort()
-    twice = pair[1:][pair[1:] == pair[:-1]]
-    both = np.bincount((twice >> np.uint64(bits)).astype(np.int64), minlength=rows // 2)
-    return both, size[0::2] + size[1::2] - both
+def run_sets(docs, id_col: str, text: str, k: int, name: str = "s"):
+    """(id_col, name): the distinct runs of k words (split at white space) of each text, as hashes; texts of fewer words are left out."""
+    from pyspark.sql import functions as F
+
+    kind = dict(docs.dtypes)[id_col]
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                c = b.slice(lo, 512)
+                w = Words(c.column(1))
+                i, h = w.hashes(k)
+                row, h, _ = distinct_in_rows(w.doc[i], h)
+                off = pa.array(np.searchsorted(row, np.arange(c.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.ListArray.from_arrays(off, pa.array(h.view(np.int64)))], [id_col, name])
+
+    one = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return docs.select(id_col, one.alias("__t")).mapInArrow(run, f"`{id_col}` {kind}, `{name}` array<long>").filter(F.size(name) > 0)

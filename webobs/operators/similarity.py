@@ -33,7 +33,8 @@ def overlap_links(docs: DataFrame, id_col: str, items: str, least: float, log: C
     their whole sets. The list of an item of more than `block` sets is cut into parts, each of which meets the prefixes in a
     task of its own. Sets are arrays of distinct items.
     """
-    d = docs.filter(F.size(items) > 0).select(F.col(id_col).alias("id"), F.transform(F.col(items), lambda x: F.xxhash64(x)).alias("s"))
+    hashed = F.col(items) if dict(docs.dtypes)[items] == "array<bigint>" else F.transform(F.col(items), lambda x: F.xxhash64(x))
+    d = docs.filter(F.size(items) > 0).select(F.col(id_col).alias("id"), hashed.alias("s"))
     rep = classes(docs, id_col, items).select(F.col("rep").alias("id")).distinct()
     d = stage(d.join(rep, "id", "left_semi"))
     t = d.select("id", F.size("s").alias("n"), F.explode("s").alias("item"))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from webobs.functions import html as H
 from webobs.functions import text as T
 from webobs.functions import urls as U
+from webobs.functions.vectext import run_sets
 from webobs.operators import dedup, graph, joins, similarity, slices, tfidf
 from webobs.plans.registry import query
 from webobs.runtime import cut, stage
@@ -249,8 +250,7 @@ def shingles(t):
 
 def _sets(t):
     """(page_id, s): hashes of each page's shingles, made once and staged."""
-    s = F.transform(T.shingle_set(T.word_list(col("content")), 5), lambda x: F.xxhash64(x))
-    return stage(t.page_content.select("page_id", s.alias("s")).filter(F.size("s") > 0))
+    return stage(run_sets(t.page_content, "page_id", "content", 5))
 
 
 _LINKS = f"""

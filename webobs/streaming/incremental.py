@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from webobs.runtime import checkpoint_dir
@@ -21,15 +24,16 @@ def read(spark: SparkSession, path: str, schema: StructType, files: int = 64) ->
 
 
 def summary_until_now(spark: SparkSession, path: str, schema: StructType, key: str) -> DataFrame:
-    """(key, hops, answers, least) over all rows seen so far; each batch replaces the stored state's result.
+    """(key, hops, answers, least) over all rows seen so far; each batch stores the keys it changed, the last of which counts.
 
     The aggregate is kept by the state store, so the result is exact however rows are split over batches and however late
     they come: no watermark drops any.
     """
     out, ckpt = _at(spark, "out"), _at(spark, "ckpt")
     agg = read(spark, path, schema).groupBy(key).agg(F.count("*").alias("hops"), F.count("rtt").alias("answers"), F.round(F.min("rtt"), 3).alias("least"))
-    agg.writeStream.outputMode("complete").option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(out)).start().awaitTermination()
-    return spark.read.parquet(out)
+    agg.writeStream.outputMode("update").option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}")).start().awaitTermination()
+    last = spark.read.parquet(out).groupBy(key).agg(F.max_by(F.struct("hops", "answers", "least"), "batch").alias("m"))
+    return last.select(key, "m.*")
 
 
 def first_seen_until_now(spark: SparkSession, path: str, schema: StructType, key: str, order: str) -> DataFrame:
@@ -63,3 +67,37 @@ def joined_windows(packets: DataFrame, windows: DataFrame, delay: str = "10 minu
 def append_results(stream: DataFrame, score, path: str, ckpt: str) -> None:
     """Scores what is new and appends it: the checkpoint remembers what is done, as a log of results would."""
     stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(lambda b, i: score(b).write.mode("overwrite").parquet(f"{path}/batch={i}")).start().awaitTermination()
+
+
+class _Frontier(StatefulProcessor):
+    """Per key: whether a result has covered it, and whether its task was handed out."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.done = handle.getValueState("done", "covered boolean, given boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        covered, given = self.done.get() if self.done.exists() else (False, False)
+        task = False
+        for r in rows:  # the rows of one batch in any order: results count before tasks
+            covered = covered or bool(r["is_result"].any())
+            task = task or bool((~r["is_result"]).any())
+        give = task and not covered and not given
+        self.done.update((covered, given or give))
+        if give:
+            yield pd.DataFrame({"key": [key[0]]})
+
+    def close(self) -> None:
+        pass
+
+
+def frontier(stream: DataFrame, key: str, is_result: str) -> DataFrame:
+    """(key): tasks of a stream of tasks and results that no result has covered yet, each handed out once.
+
+    A key's state is two flags in the state store, kept over batches and restarts. Needs the RocksDB state store provider.
+    """
+    kind = dict(stream.dtypes)[key]
+    s = stream.filter(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.coalesce(is_result, F.lit(False)).alias("is_result"))
+    return s.groupBy("key").transformWithStateInPandas(statefulProcessor=_Frontier(), outputStructType=f"key {kind}", outputMode="Append", timeMode="None")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
