@@ -18,7 +18,8 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     are; which way is drawn so that probabilities keep their expectation. At most two fractional units remain.
     """
     p = p.astype(float).copy()
-    live = [i for i in range(len(p)) if 1e-12 < p[i] < 1 - 1e-12]
+    p[p < 1e-12], p[p > 1 - 1e-12] = 0.0, 1.0
+    live = np.flatnonzero((p > 0) & (p < 1)).tolist()
     hold: list[int] = []
     draws, at = rng.random(len(live) + 1), 0
     for i in live:
@@ -50,42 +51,43 @@ def flight(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
-def rounded(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """At most two fractional units made whole with their probabilities, so that as few as can be differ from their sum."""
-    p, left = p.copy(), np.flatnonzero((p > 0) & (p < 1))
-    if len(left) == 1:
-        p[left] = rng.random() < p[left]
-    elif len(left):
-        a, b = left
-        x, over = rng.random(), max(0.0, p[a] + p[b] - 1)
-        if x < over:
-            p[a], p[b] = 1.0, 1.0
-        elif x < p[a]:
-            p[a], p[b] = 1.0, 0.0
-        else:
-            p[a], p[b] = 0.0, float(x < p[a] + p[b] - over)
-    return p
+def outcomes(p: np.ndarray) -> list[tuple[float, tuple[float, ...]]]:
+    """(probability, values) of a rounding of one or two units that keeps their probabilities and, as nearly as can be, their sum."""
+    if len(p) == 1:
+        return [(p[0], (1.0,)), (1 - p[0], (0.0,))]
+    a, b = p
+    over = max(0.0, a + b - 1)
+    return [(q, v) for q, v in ((over, (1.0, 1.0)), (a - over, (1.0, 0.0)), (b - over, (0.0, 1.0)), (1 - a - b + over, (0.0, 0.0))) if q > 0]
 
 
 def landing(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """The last units of a source, made whole with their inclusion probabilities and a total close to what these sum to.
 
     Units are taken by classes of size (powers of 2), the largest first: a flight leaves two units at most, which are rounded at
-    random. What this puts the total off is made good by the smaller units, whose probabilities are moved in proportion to
-    it. How far is set beforehand, by the most that the total can be off, so that none can pass 0 or 1: as the error has the
-    expectation 0, so has the move, and every unit keeps its probability over all draws. In the end the total is off by
-    about the smallest units that together are large enough to make good what larger ones left.
+    random. What that puts the total off is owed by the smaller units, whose probabilities are scaled to make it good. Before
+    the draw it is known how far off each outcome is, and the part that is owed is chosen so that no outcome takes a
+    probability past 0 or 1: as the error has the expectation 0, so has that part, and every unit keeps its probability over all
+    draws. In the end the total is off by about the smallest units that are enough to make good what larger ones left.
     """
-    p, out, off, most = p.astype(float), np.where((p > 0) & (p < 1), 0.0, p), 0.0, 0.0
+    p, out, owed = p.astype(float), np.where((p > 0) & (p < 1), 0.0, p), 0.0
     live = np.flatnonzero((p > 0) & (p < 1))
     kind = np.floor(np.log2(np.maximum(size, 1))).astype(int)
     for k in sorted(set(kind[live].tolist()), reverse=True):
-        own, rest = live[kind[live] == k], live[kind[live] <= k]
-        total, mine = float((p[rest] * size[rest]).sum()), float((p[own] * size[own]).sum())
-        gain = min(1.0, float(min(1.0, ((1 - p[own]) / p[own]).min())) * total / most) if most else 1.0
-        out[own] = rounded(flight(p[own] * (1 - gain * off / total), size[own], rng), rng)
-        off += float(((out[own] - p[own]) * size[own]).sum())
-        most = most * (1 - gain * mine / total) + 2 * float(size[own].max())
+        own, rest = live[kind[live] == k], live[kind[live] < k]
+        mine, less = float((p[own] * size[own]).sum()), float((p[rest] * size[rest]).sum())
+        q = flight(p[own] * (1 - owed / (mine + less)), size[own], rng)
+        owed *= less / (mine + less)
+        left = np.flatnonzero((q > 0) & (q < 1))
+        if len(left):
+            every = outcomes(q[left])
+            off = [float(((np.array(v) - q[left]) * size[own][left]).sum()) for _, v in every]
+            # Room to scale the smaller units: down to 0, up until the first of them is certain.
+            room = less, less * float(((1 - p[rest]) / p[rest]).min()) if len(rest) else 0.0
+            part = min([1.0, *(max(0.0, ((room[0] - owed) if x > 0 else (room[1] + owed)) / abs(x)) for x in off if x)])
+            at = int(np.searchsorted(np.cumsum([w for w, _ in every])[:-1], rng.random(), "right"))
+            q[left] = every[at][1]
+            owed += part * off[at]
+        out[own] = q
     return out
 
 
@@ -95,8 +97,9 @@ def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str
     The mixture is as large as the plan allows: the total T is the least of max_repeats x tokens / target_share over the
     sources. A document of a source is used floor(f) times, f = share x T / tokens of the source, and once more with
     probability f - floor(f) <= 1, balanced by the cube method on tokens and documents. Flights run in blocks of about `block`
-    documents, and what each leaves (at most two) joins the next round; about `held` documents of a source, chosen by hash,
-    stay out of the blocks and make with the last of these the landing, which is small. Probabilities are kept throughout, and
+    documents, and what each leaves (at most two) joins the next round; some documents of a source, chosen by hash, stay
+    out of the blocks and make with the last of these the landing: about `held`, or enough to outweigh the largest document 20
+    times, at most a block. Probabilities are kept throughout, and
     f <= max_repeats bounds the use of every document. Documents of sources without a plan, with a null source, and without
     tokens aren't used. A planned source without tokens has no part in the mixture: the others keep their shares in proportion.
     """
@@ -104,14 +107,16 @@ def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str
     known = plan.filter("target_share > 0").groupBy("source").agg(F.first("target_share").alias("share"), F.first("max_repeats").alias("most"))  # one row a source
     d = stage(with_tokens(d.join(F.broadcast(known.select("source")), "source", "left_semi"), "text", path).filter("n_tokens > 0"))
     spark = d.sparkSession
-    stats = {r["source"]: r for r in d.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n")).collect()}  # one row a source
+    stats = {r["source"]: r for r in d.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("n"), F.max("n_tokens").alias("top")).collect()}  # one row a source
     rows = [r for r in known.collect() if r["source"] in stats]
     if not rows:
         return d.select("doc_id", "source", "n_tokens", F.lit(0).cast("long").alias("n_used")).limit(0)
     total = min(r["most"] * stats[r["source"]]["t"] / r["share"] for r in rows)
     f = {r["source"]: min(float(r["most"]), r["share"] * total / stats[r["source"]]["t"]) for r in rows}
     whole = {s: int(x + 1e-12) for s, x in f.items()}
-    plan_f = spark.createDataFrame([(s, whole[s], max(0.0, f[s] - whole[s]), max(1, stats[s]["n"] // held), -(-stats[s]["n"] // block)) for s in f], "source string, whole long, p double, apart long, blocks long")
+    # Held out: `held` documents, or so many that they outweigh the largest document 20 times, but no more than a block.
+    part = {s: min(max(held / v["n"], 20 * v["top"] / v["t"]), block / v["n"], 1.0) for s, v in stats.items()}
+    plan_f = spark.createDataFrame([(s, whole[s], max(0.0, f[s] - whole[s]), int(part[s] * 1_000_000), -(-stats[s]["n"] // block)) for s in f], "source string, whole long, p double, apart long, blocks long")
     d = d.join(F.broadcast(plan_f), "source")
     schema = "source string, doc_id long, n_tokens long, p double"
 
@@ -128,10 +133,11 @@ def mixture(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str
 
     hashed = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(seed + salt)), n)
     todo = d.filter("p > 0 and p < 1").select("source", "doc_id", "n_tokens", "p", "apart", "blocks")
-    last, got = todo.filter((F.col("blocks") == 1) | (hashed(F.col("apart"), 1) == 0)).select(*_FLOWN), spark.createDataFrame([], schema)
+    apart = (F.col("blocks") == 1) | (hashed(F.lit(1_000_000), 1) < F.col("apart"))
+    last, got = todo.filter(apart).select(*_FLOWN), spark.createDataFrame([], schema)
     blocks = max(-(-v["n"] // block) for v in stats.values())
     if blocks > 1:
-        todo = todo.filter((F.col("blocks") > 1) & (hashed(F.col("apart"), 1) != 0)).withColumn("blk", hashed(F.col("blocks"), 2)).drop("apart", "blocks")
+        todo = todo.filter(~apart).withColumn("blk", hashed(F.col("blocks"), 2)).drop("apart", "blocks")
         while True:
             flown = stage(todo.groupBy("source", "blk").applyInPandas(fly(False), schema))
             got, left = got.union(flown.filter("p = 1")), flown.filter("p > 0 and p < 1")

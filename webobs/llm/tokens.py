@@ -61,9 +61,8 @@ def ship_vocabulary(spark, path: str = DEFAULT) -> None:
     sc = spark.sparkContext
     done = getattr(sc, "_webobs_vocabularies", set())
     if path not in done and os.path.exists(path):
-        sc.addFile(os.path.realpath(path))
-        if os.path.basename(os.path.realpath(path)) == os.path.basename(path):
-            sc._webobs_vocabularies = done | {path}
+        sc.addFile(path)
+        sc._webobs_vocabularies = done | {path}
 
 
 def with_tokens(df: DataFrame, text: str, path: str = DEFAULT, name: str = "n_tokens") -> DataFrame:
