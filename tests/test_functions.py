@@ -25,7 +25,7 @@ def test_url_scalars(spark):
     assert one(spark, urls.registrable(F.col("u")), u="lg.site.co.example").asDict() == {"fld": "site.co.example", "domain": "site"}
     assert one(spark, urls.registrable(F.col("u")), u="198.18.0.1")["fld"] is None
     assert one(spark, urls.slug(F.col("u")), u="  São  Paulo -- 1! ") == "so_paulo_--_1"
-    assert one(spark, urls.resolve(F.col("b"), F.col("l")), b="http://a.x/p/q/", l="r") == "http://a.x/p/r"
+    assert one(spark, urls.resolve(F.col("b"), F.col("l")), b="http://a.x/p/q/", l="r") == "http://a.x/p/q/r"
     assert one(spark, urls.resolve(F.col("b"), F.col("l")), b="http://a.x", l="/r") == "http://a.x/r"
     assert one(spark, urls.from_breadcrumb(F.col("u")), u="a.x › b › c...") == "https://a.x/b"
     assert one(spark, urls.pick_option(F.array(F.lit("bgp"), F.lit("Trace v4")), ["trace"])) == "Trace v4"
