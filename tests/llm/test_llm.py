@@ -214,6 +214,14 @@ def test_matching(spark):
     assert rows(match.match(a.limit(0), n)) == [] and rows(match.match(a, n.limit(0))) == []
 
 
+def test_nearest_of_both_sides(spark):
+    a = spark.createDataFrame([(1, None, "Zorbatel Cloud"), (2, None, "Zorbatil Cloud"), (3, None, "Plidorgam Cable"), (4, None, "Plidorgma Cable"), (5, None, "Kimodavel Mobile")], "as_id long, asn string, orgname string")
+    n = spark.createDataFrame([(10, "Zorbatel Cloud", None, None), (11, "Zorbatil Cloud", None, None), (12, "Plidorgam Cable", None, None), (13, "Kimodavol Mobile", None, None)], "net_id long, name string, asn long, website string")
+    got = rows(match.match(a, n))
+    # Two organisations one edit apart aren't mixed up; a misspelled row goes with the right one beside it, and a lone one too.
+    assert [x[:2] for x in got] == [(1, 10), (2, 11), (3, 12), (4, 12), (5, 13)]
+
+
 def test_matching_of_an_organisation_of_many_forms(spark):
     a = spark.createDataFrame([(i, str(64500 + i), f"Zorbatel {x}{y}qua Networks GmbH") for i, (x, y) in enumerate(itertools.islice(itertools.product("bdfgklmn", "aeiouyrs"), 60))], "as_id long, asn string, orgname string")
     n = spark.createDataFrame([(100, "Zorbatel Networks", None, None), (101, "Bazotrel Networks", None, None)], "net_id long, name string, asn long, website string")

@@ -159,8 +159,8 @@ def match(orgs: DataFrame, nets: DataFrame, sample: int = 20_000) -> DataFrame:
     org forms; a pair counts when
     - their stems agree by name (or, for initials, by site or number), and their lines of business don't contradict;
     - where one side names no line of business, the stem stands for one line only, or the number decides;
-    - where the stem is equal only but for an edit, the two are mutually nearest: for neither of them is there a better
-      candidate, other than one whose stem is itself within an edit of this one's, as spellings of one organisation are.
+    - where the stem is equal only but for an edit, the two are mutually nearest: one is the best candidate of the other, which
+      in turn has no better one, unless its stem is itself within an edit of this one's, as spellings of one organisation are.
     Confidence is a logistic function of the score, of its gap to the best other stem and of the agreement of the lines of
     business, none of which knows numbers. It is fitted on at most `sample` retrieved pairs of rows that both have numbers; their
     label is whether these agree. As numbers of true pairs often differ, the function is divided by its mean over pairs whose
@@ -215,8 +215,9 @@ def match(orgs: DataFrame, nets: DataFrame, sample: int = 20_000) -> DataFrame:
     best = lambda w, stems: F.max(F.struct(F.round("score", 9).alias("s"), F.col(stems).alias("stems"))).over(w)
     c = c.withColumn("n_all", F.array_union("n_stems", "n_sites")).withColumn("top_l", best(w_l, "o_stems")).withColumn("top_r", best(w_r, "n_all"))
     forms = lambda a: F.flatten(F.transform(a, _near_forms))
-    spelling = lambda own, top: (F.round("score", 9) >= F.col(f"{top}.s")) | F.arrays_overlap(forms(F.col(own)), forms(F.col(f"{top}.stems")))
+    first = lambda top: F.round("score", 9) >= F.col(f"{top}.s")
+    spelling = lambda own, top: first(top) | F.arrays_overlap(forms(F.col(own)), forms(F.col(f"{top}.stems")))
     c = c.filter(F.col("same") | (F.coalesce("lines", F.lit(0)) <= 1) | (F.col("asn") > 0))
-    c = c.filter(F.col("exact") | (spelling("o_stems", "top_l") & spelling("n_all", "top_r")))
+    c = c.filter(F.col("exact") | ((first("top_l") | first("top_r")) & spelling("o_stems", "top_l") & spelling("n_all", "top_r")))
     c = c.select("l", "r", F.round(sure, 6).alias("confidence"))
     return c.join(net.select("net_id", F.col("form").alias("l")), "l").join(org.select("as_id", F.col("form").alias("r")), "r").groupBy("as_id", "net_id").agg(F.max("confidence").alias("confidence"))
