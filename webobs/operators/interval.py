@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webobs.runtime import stage
+
+_SETS = ["everywhere", "often"]
+
 
 def interval_join(points: DataFrame, windows: DataFrame, key: str, ts: str, start: str, end: str, bucket: float) -> DataFrame:
     """Points (key, ts, ...) joined with the windows (key, start, end, ...) that hold them: start < ts < end.
@@ -64,20 +71,90 @@ def assign_pass(cands: list[tuple]) -> list[tuple]:
     return sorted(got.items())
 
 
-def assign(cands: DataFrame, vp: str, ip: str) -> DataFrame:
-    """(vp, ip) of assign_pass. The order of vps matters across all rows, so this runs per connected component of the
-    (vp, address) graph: components don't influence each other, and each is as small as its votes make it."""
+def assign_codes(vp: np.ndarray, ip: np.ndarray, every: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """assign_pass over distinct (vp, ip) rows as arrays: the assigned vps and their addresses.
+
+    Of each set only the number and the sum of the codes of what is left are kept; vps with one address left wait in a heap
+    for their turn in this pass or the next, so time and memory follow the rows, not rows times passes.
+    """
+    vps, v = np.unique(vp, return_inverse=True)
+    ips, i = np.unique(ip, return_inverse=True)
+    order = np.argsort(i, kind="stable")
+    v, i, flags = v[order].astype(np.int32), i[order], [np.asarray(f, bool)[order] for f in (every, often)]
+    at = np.searchsorted(i, np.arange(len(ips) + 1))
+    number = [np.bincount(v[f], minlength=len(vps)) for f in flags]
+    total = [np.zeros(len(vps), np.int64) for _ in flags]
+    for t, f in zip(total, flags):
+        np.add.at(t, v[f], i[f])
+    now, later = np.flatnonzero((number[0] == 1) | (number[1] == 1)).tolist(), []  # in order, so a heap
+    got: dict[int, int] = {}
+    while now:
+        while now:
+            w = heapq.heappop(now)
+            k = 0 if number[0][w] == 1 else 1
+            if w in got or number[k][w] != 1:
+                continue
+            x = got[w] = int(total[k][w])
+            rows = slice(at[x], at[x + 1])
+            for n, t, f in zip(number, total, flags):
+                n[v[rows][f[rows]]] -= 1
+                t[v[rows][f[rows]]] -= x
+            near = v[rows]
+            for u in near[(number[0][near] == 1) | (number[1][near] == 1)].tolist():
+                if u not in got:
+                    heapq.heappush(now if u > w else later, u)
+        now, later = later, []
+    return vps[list(got)], ips[list(got.values())]
+
+
+def _sets_of(sizes: DataFrame, vp: str, n: int) -> DataFrame:
+    """The vps of sizes (vp, __everywhere, __often) with a set of size n, and which of theirs has it."""
+    return sizes.filter(" or ".join(f"__{s} = {n}" for s in _SETS)).select(vp, *[(F.col(f"__{s}") == n).alias(f"__{s}") for s in _SETS])
+
+
+def _may_act(cands: DataFrame, vp: str, ip: str, rounds: int) -> DataFrame | None:
+    """cands without the sets that can never come down to one address, or None if that wasn't settled within `rounds`.
+
+    An address can only be given if a set of some vp can come down to it, so from the sets of one address on, sets with at
+    most one address that can't be given make that one possible. A set with two such addresses for good is left out.
+    """
+    sizes = cands.groupBy(vp).agg(*[F.count(F.when(F.col(s), True)).alias(f"__{s}") for s in _SETS])
+    possible = None
+    for _ in range(rounds):
+        # __every and __often: addresses of each set that can't be given, as far as known
+        now = cands.join(_sets_of(sizes, vp, 1), vp).filter(" or ".join(f"{s} and __{s}" for s in _SETS)).select(ip).distinct()
+        new = stage(now if possible is None else now.join(possible, ip, "left_anti"))
+        if new.isEmpty():
+            return cands.join(_sets_of(sizes, vp, 0), vp).select(vp, ip, *[(F.col(s) & F.col(f"__{s}")).alias(s) for s in _SETS]).filter(" or ".join(_SETS))
+        possible = new if possible is None else possible.union(new)
+        less = cands.join(new, ip, "left_semi").groupBy(vp).agg(*[F.count(F.when(F.col(s), True)).alias(f"__less_{s}") for s in _SETS])
+        sizes = stage(sizes.join(less, vp, "left").select(vp, *[(F.col(f"__{s}") - F.coalesce(f"__less_{s}", F.lit(0))).alias(f"__{s}") for s in _SETS]))
+    return None
+
+
+def assign(cands: DataFrame, vp: str, ip: str, rounds: int = 30) -> DataFrame:
+    """(vp, ip) of assign_pass. Null vps and addresses are left out.
+
+    Sets that can never come down to one address are found by joins and left out first, with addresses in no other set;
+    chains of more than `rounds` vps keep theirs. The order of vps matters across all rows, so the rest runs per connected
+    component of its (vp, address) graph, as arrays: components don't influence each other.
+    """
     from webobs.operators.graph import components
 
-    e = cands.select(F.xxhash64(F.lit("v"), vp).alias("a"), F.xxhash64(F.lit("i"), ip).alias("b"))
-    comp = components(e).select(F.col("id").alias("__n"), "comp")
-    c = cands.withColumn("__n", F.xxhash64(F.lit("v"), vp)).join(comp, "__n")
+    c = cands.filter(F.col(vp).isNotNull() & F.col(ip).isNotNull()).groupBy(vp, ip)
+    c = stage(c.agg(*[F.coalesce(F.bool_or(s), F.lit(False)).alias(s) for s in _SETS]).filter(" or ".join(_SETS)))
+    less = _may_act(c, vp, ip, rounds)
+    c = c if less is None else stage(less)
     kinds = dict(cands.dtypes)
+    e = c.select(F.xxhash64(F.lit("v"), vp).alias("a"), F.xxhash64(F.lit("i"), ip).alias("b"))
+    comp = components(e).select(F.col("id").alias("__n"), "comp")
+    c = c.withColumn("__n", F.xxhash64(F.lit("v"), vp)).join(comp, "__n").select("comp", vp, ip, *_SETS)
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(assign_pass(list(g[[vp, ip, "everywhere", "often"]].itertuples(index=False))), columns=[vp, ip])
+    def run(g: pa.Table) -> pa.Table:
+        v, i = assign_codes(*[g.column(x).to_numpy() for x in (vp, ip, *_SETS)])
+        return pa.table([pa.array(v, g.schema.field(vp).type), pa.array(i, g.schema.field(ip).type)], [vp, ip])
 
-    return c.groupBy("comp").applyInPandas(run, f"{vp} {kinds[vp]}, {ip} {kinds[ip]}")
+    return c.groupBy("comp").applyInArrow(run, f"{vp} {kinds[vp]}, {ip} {kinds[ip]}")
 
 
 def first_round(cands: DataFrame, vp: str, ip: str) -> DataFrame:

@@ -137,7 +137,7 @@ def assign_first_round(t):
 @query()
 def assign_fixpoint(t):
     """The whole ordered assignment, each address given once."""
-    return interval.assign(cut(_candidates(t)), "vp", "ip")
+    return interval.assign(_candidates(t), "vp", "ip")
 
 
 # ---- addresses ----
