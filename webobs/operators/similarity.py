@@ -199,9 +199,112 @@ def tag_links(docs: DataFrame, id_col: str, tags: str, least: float = 0.8, block
     return c.select("x", "y", F.expr("a = b and na = nb").alias("same")).mapInArrow(_verified(least, width), f"a {kind}, b {kind}, sim double")
 
 
+def _joined(ids: list, seq: list[np.ndarray], comp: np.ndarray, side: np.ndarray, least: float, strip: int = 256, most: int = 200_000) -> Iterator[tuple]:
+    """(a, b) with sequence_ratio >= least that join the components of sequences in which such pairs of different comp lie.
+
+    side: 0 and 1 where pairs of two blocks are meant, all 0 where all pairs are. A pair is left out once its ends are joined;
+    every other pair is excluded by its bag of symbols or its longest common subsequence (upper bounds), or scored.
+    """
+    n = np.array([len(q) for q in seq])
+    kinds = min(int(max(q.max() for q in seq)) + 1, 16)
+    bag = np.zeros((kinds, len(seq)), np.min_scalar_type(int(n.max())))
+    bits, codes = np.zeros((len(seq), 65), np.uint64), np.full((len(seq), min(int(n.max()), 64)), 64)
+    for k, q in enumerate(seq):
+        bag[:, k] = np.bincount(q % kinds, minlength=kinds)  # symbols that share a place only make the bounds larger
+        if len(q) <= 64:
+            np.bitwise_or.at(bits[k], q % 64, np.uint64(1) << np.arange(len(q)).astype(np.uint64))
+            codes[k, : len(q)] = q % 64
+    label = np.unique(comp, return_inverse=True)[1]
+    up = list(range(int(label.max()) + 1))
+
+    def root(c: int) -> int:
+        while up[c] != c:
+            up[c] = c = up[up[c]]
+        return c
+
+    two = bool(side.any())
+    xs, ys = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(seq)),) * 2
+    xs, ys = xs[np.argsort(-n[xs], kind="stable")], ys[np.argsort(-n[ys], kind="stable")]
+    for at in range(0, len(xs), strip):
+        x, y = xs[at : at + strip], ys if two else ys[at:]
+        now = np.array([root(c) for c in range(len(up))])[label]
+        both = np.zeros((len(x), len(y)), bag.dtype)
+        for b in bag:
+            both += np.minimum(b[x][:, None], b[y][None, :])
+        # The least that any pair of these lengths needs, as a table over both lengths.
+        lx, ix = np.unique(n[x], return_inverse=True)
+        ly, iy = np.unique(n[y], return_inverse=True)
+        need = np.ceil(least * (np.minimum.outer(lx, ly) + np.log2(np.maximum.outer(lx, ly))) - 1e-9)
+        need = np.where(need > np.minimum.outer(lx, ly), -1, need)
+        top = np.iinfo(bag.dtype).max
+        ok = both >= np.where(need < 0, top, need).astype(bag.dtype)[ix][:, iy]
+        if (need < 0).any() and (both == top).any():
+            ok &= (need >= 0)[ix][:, iy]
+        ok &= now[x][:, None] != now[y][None, :]
+        i, j = np.nonzero(ok)
+        if not two:
+            i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), most):
+            now = np.array([root(c) for c in range(len(up))])[label]
+            p, q = x[i[k : k + most]], y[j[k : k + most]]
+            apart = now[p] != now[q]
+            p, q = p[apart], q[apart]
+            short = np.maximum(n[p], n[q]) <= 64
+            keep = ~short
+            if short.any():
+                keep[short] = _could_match(bits[p[short]], n[p[short]], n[q[short]], codes[q[short]], least)
+            for u, w in zip(p[keep].tolist(), q[keep].tolist()):
+                c, d = root(int(label[u])), root(int(label[w]))
+                if c != d:
+                    u, w = (u, w) if ids[u] < ids[w] else (w, u)
+                    if sequence_ratio(seq[u].tolist(), seq[w].tolist()) >= least:
+                        up[d] = c
+                        yield ids[u], ids[w]
+
+
+def tag_components(docs: DataFrame, id_col: str, tags: str, least: float = 0.8, first: int = 8_000, block: int = 3_000) -> DataFrame:
+    """(id, comp) of distinct tag sequences: the components of tag_links, without a list of all links.
+
+    Links grow with the square of the sequences, what they join doesn't. Blocks of about `first` sequences are solved alone;
+    then all pairs of blocks of about `block` are gone through, where only pairs of different components are looked at.
+    Sequences too short for any link are left out; a sequence without a link is its own component.
+    """
+    size = F.size(tags)
+    d = docs.filter(size > 0).select(F.col(id_col).alias("id"), F.col(tags).alias("tags"))
+    d = d.groupBy(F.md5(F.encode(F.array_join("tags", " "), "UTF-8")).alias("h")).agg(F.min_by(F.struct("id", "tags"), "id").alias("x")).select("x.*")
+    d = cut(d.filter(F.size("tags") >= least * (F.size("tags") + F.log2(F.size("tags").cast("double"))) - 1e-9))
+    code = {r[0]: i for i, r in enumerate(d.select(F.explode("tags")).distinct().collect())}  # one row per kind of tag
+    width, kind = "u1" if len(code) <= 1 << 8 else "u4", dict(d.dtypes)["id"]
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array([code[x] for x in s], width).tobytes() for s in b.column(1).to_pylist()], pa.binary())], ["id", "seq"])
+
+    def run(g: pa.Table) -> pa.Table:
+        seq = [np.frombuffer(x, width) for x in g.column("seq").to_pylist()]
+        side = np.array(g.column("no").to_pylist()) != g.column("i")[0].as_py()
+        got = list(_joined(g.column("id").to_pylist(), seq, np.array(g.column("comp").to_pylist()), side, least))
+        return pa.table([pa.array([x[k] for x in got], g.schema.field("id").type) for k in (0, 1)], ["a", "b"])
+
+    def links(x: DataFrame, n: int, pairs: bool) -> DataFrame:
+        x = x.withColumn("no", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+        x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))) if pairs else F.col("no"))
+        x = x.select("id", "seq", "comp", "no", F.least("no", "o").alias("i"), F.greatest("no", "o").alias("j"))
+        x = x.repartition(min(n * (n + 1) // 2 if pairs else n, 2_000), "i", "j")
+        return stage(x.groupBy("i", "j").applyInArrow(run, f"a {kind}, b {kind}"))
+
+    d = stage(d.mapInArrow(coded, f"id {kind}, seq binary"))
+    n = d.count()
+    labelled = lambda l: d.join(components(l), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    l = links(d.withColumn("comp", F.col("id")), -(-n // first) or 1, False)
+    if n > first:
+        l = l.union(links(labelled(l), -(-n // block), True))
+    return labelled(l).select("id", "comp")
+
+
 def structure_groups(docs: DataFrame, id_col: str, tags: str, least: float = 0.8) -> DataFrame:
-    """(id, cluster): components of documents by tag_links; equal sequences are together. Empty sequences are left out."""
+    """(id, cluster): components of documents by links of tag_links; equal sequences are together. Empty sequences are left out."""
     d = docs.filter(F.size(tags) > 0).select(F.col(id_col).alias("id"), F.md5(F.encode(F.array_join(tags, " "), "UTF-8")).alias("h"))
     rep = d.groupBy("h").agg(F.min("id").alias("rep"))
-    comp = components(tag_links(docs, id_col, tags, least).select("a", "b")).select(F.col("id").alias("rep"), "comp")
+    comp = tag_components(docs, id_col, tags, least).select(F.col("id").alias("rep"), "comp")
     return d.join(rep, "h").join(comp, "rep", "left").select("id", F.coalesce("comp", "rep").alias("cluster"))
